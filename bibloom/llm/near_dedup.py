@@ -1,10 +1,11 @@
 """MinHash near-dedup: a chosen-path set similarity join.
 
 Texts become sets of word shingles. Equal sets collapse into one class first. Independent trees then branch the
-classes by minwise hash values: the root of tree t deals its classes by coordinate t, an oversize node branches again
-by two further coordinates. Small nodes are compared exhaustively on full sets; an oversize node is dealt into blocks
-that all hold the node's pivot, and what the pivot and the blocks do not bring into one component branches on. Nodes
-at the last depth are compared block against block, so no node is cut off. Only verified spanning links leave a task.
+classes by minwise hash values: the root of tree t deals its classes by coordinate t. Small nodes are compared
+exhaustively on full sets; an oversize node is dealt into blocks that all hold the node's pivot, and what the pivot and
+the blocks do not bring into one component branches on: by pairs of further coordinates, and by set size, as linked sets
+differ little in size. Oversize nodes of the last depth are compared block against block, so no node is cut off. Only
+verified spanning links leave a task.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. Fewer words than a shingle takes:
 the whole sequence is the only shingle. Repeated rows and ties: the smallest doc_id leads. Other columns are not read.
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.llm.common import U64, Union, components, groups, mix, partitions, sliced, texts_of, word_hashes, written
@@ -27,8 +28,10 @@ TREES = 8
 FIRST = 2
 #: Minwise coordinates: one for each root, the rest for deeper levels.
 COORDINATES = 16
-#: Classes compared exhaustively in one task, and levels of branching.
-NODE, DEPTH = 96, 3
+#: Classes, and their shingles, that one task compares exhaustively.
+NODE, NODE_SHINGLES = 256, 2_000_000
+#: Pairs of coordinates by which an oversize node branches, and levels of branching.
+BRANCHES, DEPTH = 4, 1
 _MASKS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * U64(0xD1B54A32D192ED03))
 _ODD = mix(_MASKS) | U64(1)
 _WEIGHTS = mix(np.arange(101, 133, dtype=np.uint64)) | U64(1)
@@ -123,26 +126,44 @@ def _compare(words: int, percent: int):
 
 
 def _tasks(members: DataFrame, last: bool) -> DataFrame:
-    """(task, rep, comp) from members (node, rep, comp): only nodes with two components at least.
+    """(task, rep, comp) from members (node, rep, n, comp): only nodes with two components at least.
 
-    A node of at most NODE classes is one task. A larger one is dealt into blocks that all hold its pivot; at the last
-    depth each pair of blocks is a task.
+    A node of at most NODE classes and NODE_SHINGLES shingles is one task. A larger one is dealt into blocks that all
+    hold its pivot; at the last depth each pair of blocks is a task.
     """
-    size = members.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 1 and lo <> hi")
-    full = members.join(size.select("node", "size", "pivot"), "node")
-    small = full.where(F.col("size") <= NODE).select(F.xxhash64("node").alias("task"), "rep", "comp")
-    large = full.where(F.col("size") > NODE).withColumn("blocks", F.ceil(F.col("size") / (NODE // 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    size = members.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("bulk"), F.min("rep").alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 1 and lo <> hi")
+    size = size.withColumn("blocks", F.when(_small(), 1).otherwise(F.greatest(F.lit(2), F.ceil(2 * F.greatest(F.col("size") / NODE, F.col("bulk") / NODE_SHINGLES)))).cast("int"))
+    full = members.join(size.select("node", "pivot", "blocks"), "node")
+    small = full.where("blocks = 1").select(F.xxhash64("node").alias("task"), "rep", "comp")
+    large = full.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     if last:
         pairs = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = pairs.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "rep", "comp")
     else:
-        pivot = size.where(F.col("size") > NODE).join(members.select("rep", "comp").distinct(), F.col("pivot") == F.col("rep"))
-        blocks = F.ceil(F.col("size") / (NODE // 2)).cast("int")
-        pivot = pivot.select("node", "rep", "comp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-        dealt = large.where("rep <> pivot").select("node", "rep", "comp", "block").unionByName(pivot).select(F.xxhash64("node", "block").alias("task"), "rep", "comp")
+        pivots = full.where("blocks > 1 and rep = pivot").select("node", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        dealt = large.where("rep <> pivot").select("node", "rep", "comp", "block").unionByName(pivots).select(F.xxhash64("node", "block").alias("task"), "rep", "comp")
     return small.unionByName(dealt)
 
 
+def _small() -> Column:
+    return (F.col("size") <= NODE) & (F.col("bulk") <= NODE_SHINGLES)
+
+
+def _with_components(members: DataFrame, comps: DataFrame | None) -> DataFrame:
+    if comps is None:
+        return members.withColumn("comp", F.col("rep"))
+    return members.join(comps, members["rep"] == comps["id"], "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+
+
+def _branched(members: DataFrame, leads: DataFrame, depth: int, percent: int) -> DataFrame:
+    """The children of nodes: by pairs of coordinates and cells of set size; sets that may link share a cell."""
+    pairs = [(TREES + (i + depth) % (COORDINATES - TREES), TREES + (i + depth + 1 + i // 4) % (COORDINATES - TREES)) for i in range(0, 2 * BRANCHES, 2)]
+    pick = F.array(*[F.xxhash64(F.lit(k), F.element_at("marks", a + 1), F.element_at("marks", b + 1)) for k, (a, b) in enumerate(pairs)])
+    cell = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)) if percent < 100 else 1e-9)).cast("long")
+    split = members.join(leads.select("rep", "marks"), "rep").select("node", "rep", "n", F.explode(pick).alias("mark"), F.array(cell, cell + 1).alias("cells"))
+    return split.select("rep", "n", "node", "mark", F.explode("cells").alias("cell")).select(F.xxhash64("node", "mark", "cell").alias("node"), "rep", "n")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; links have 100 * |A & B| >= percent * |A | B|."""
     spark = docs.sparkSession
@@ -150,8 +171,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sketch = written(source.mapInArrow(_sketch(words), "doc_id long, n_shingles long, d1 long, d2 long, marks array<long>"), "sketch")
     classes = sketch.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
-    leads = written(sketch.select("doc_id", "marks").join(classes.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), "marks"), "leads")
-    roots = leads.select("rep", F.posexplode(F.slice("marks", 1, TREES)).alias("tree", "mark")).select("tree", F.xxhash64("tree", "mark").alias("node"), "rep")
+    leads = written(sketch.select("doc_id", "n_shingles", "marks").join(classes.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "marks"), "leads")
+    roots = leads.select("rep", "n", F.posexplode(F.slice("marks", 1, TREES)).alias("tree", "mark")).select("tree", F.xxhash64("tree", "mark").alias("node"), "rep", "n")
     shared = roots.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
     roots = written(roots.join(shared, "node"), "roots")
     needed = roots.select(F.col("rep").alias("doc_id")).distinct()
@@ -161,25 +182,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found: DataFrame | None = None
     comps: DataFrame | None = None
     for low, high in ((0, FIRST), (FIRST, TREES)):
-        members = roots.where((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "rep")
+        members = roots.where((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "rep", "n")
         for depth in range(DEPTH + 1):
-            here = members.withColumn("comp", F.col("rep")) if comps is None else members.join(comps, members["rep"] == comps["id"], "left").select("node", "rep", F.coalesce("component", "rep").alias("comp"))
-            tasks = _tasks(here, depth == DEPTH).join(texts, "rep").repartition(n, "task").sortWithinPartitions("task", "rep")
+            tasks = _tasks(_with_components(members, comps), depth == DEPTH).join(texts, "rep").repartition(n, "task").sortWithinPartitions("task", "rep")
             links = written(tasks.mapInArrow(_compare(words, percent), "a long, b long"), "links")
             if not links.isEmpty():
                 found = links if found is None else found.unionByName(links)
                 comps = written(components(found), "components")
-            if depth == DEPTH:
-                break
-            held = members if comps is None else members.join(comps, members["rep"] == comps["id"], "left").select("node", "rep", F.coalesce("component", "rep").alias("comp"))
-            if comps is None:
-                held = members.withColumn("comp", F.col("rep"))
-            open_nodes = held.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where((F.col("size") > NODE) & (F.col("lo") != F.col("hi"))).select("node")
-            open_nodes = written(open_nodes, "open")
-            if open_nodes.isEmpty():
-                break
-            pick = F.array(*[F.struct(F.lit(k).alias("k"), F.element_at("marks", k + 1).alias("mark")) for k in range(TREES + 2 * depth, TREES + 2 * depth + 2)])
-            members = written(members.join(open_nodes, "node").join(leads, "rep").select("node", "rep", F.explode(pick).alias("c")).select(F.xxhash64("node", "c.k", "c.mark").alias("node"), "rep"), "members")
+            if depth < DEPTH:
+                sizes = _with_components(members, comps).groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("bulk"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                left = written(sizes.where(~_small() & (F.col("lo") != F.col("hi"))).select("node"), "open")
+                if left.isEmpty():
+                    break
+                members = written(_branched(members.join(left, "node"), leads, depth, percent), "members")
 
     own = sketch.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left")
     if comps is not None:
