@@ -23,7 +23,8 @@ def test_parse():
     nodes = bib.parse(SOURCE)
     assert [n["kind"] for n in nodes] == ["comment", "entry", "entry", "raw"]
     assert nodes[0]["is_banner"] and nodes[1]["lead_comment"].strip() == "note on the next"
-    assert dict((f[0], f[1:]) for f in nodes[2]["fields"])["month"] == ('jan # "~1"', "raw")
+    assert dict((f[0], f[1:]) for f in nodes[2]["fields"])["month"] == ('jan # "~1"', "bare")
+    assert bib.parse('@misc{a, month = "1~" # jan}')[0]["fields"] == [("month", '"1~" # jan', "raw")]
 
 
 @pytest.mark.parametrize("source", ["@article{a, title = {x", "@{a}", "@article a", "@article{a, title {x}}", '@misc{a, title = "x}', "@misc{a, t = {x}, t = {y}}"])
