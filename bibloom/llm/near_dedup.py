@@ -159,8 +159,10 @@ def _branched(members: DataFrame, leads: DataFrame, depth: int, percent: int) ->
     """The children of nodes: by pairs of coordinates and cells of set size; sets that may link share a cell."""
     pairs = [(TREES + (i + depth) % (COORDINATES - TREES), TREES + (i + depth + 1 + i // 4) % (COORDINATES - TREES)) for i in range(0, 2 * BRANCHES, 2)]
     pick = F.array(*[F.xxhash64(F.lit(k), F.element_at("marks", a + 1), F.element_at("marks", b + 1)) for k, (a, b) in enumerate(pairs)])
-    cell = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)) if percent < 100 else 1e-9)).cast("long")
-    split = members.join(leads.select("rep", "marks"), "rep").select("node", "rep", "n", F.explode(pick).alias("mark"), F.array(cell, cell + 1).alias("cells"))
+    step = float(np.log(100 / percent)) if percent < 100 else 1e-9
+    size = F.log("n") / F.lit(4 * step)
+    cells = F.array_distinct(F.array(F.floor(size), F.floor(size + 0.25)))  # a linked larger set is less than a step away
+    split = members.join(leads.select("rep", "marks"), "rep").select("node", "rep", "n", F.explode(pick).alias("mark"), cells.alias("cells"))
     return split.select("rep", "n", "node", "mark", F.explode("cells").alias("cell")).select(F.xxhash64("node", "mark", "cell").alias("node"), "rep", "n")
 
 
