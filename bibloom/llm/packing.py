@@ -81,7 +81,7 @@ def curve_keys(texts: list[str], doc_ids: np.ndarray) -> np.ndarray:
 class _Memory(dict):
     """A dictionary that encodes what it lacks, of two generations so that its size is bounded."""
 
-    MOST = 300_000
+    MOST = 800_000
 
     def __init__(self, encode):
         super().__init__()
