@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -117,14 +118,27 @@ class Backend:
     MOST = 300_000
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        self.spec = spec = parse_model(Path(path).read_bytes())
-        self.own, self.other = build(spec), sentencepiece.SentencePieceProcessor(model_file=path)
+        self.path, self.spec = path, parse_model(Path(path).read_bytes())
+        spec = self.spec
         inner = any(MARK in p.lstrip(MARK) for p, _, _ in spec["pieces"])
         self.by_word = spec["normalizer"] == "identity" and spec["add_dummy_prefix"] and spec["escape_whitespaces"] and not spec["remove_extra_whitespaces"] and not inner and not any(k == USER for *_, k in spec["pieces"])
         self.known: dict[str, tuple[bytes, bool]] = {}
 
+    @cached_property
+    def own(self):
+        return build(self.spec)
+
+    @cached_property
+    def other(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=self.path)
+
+    @cached_property
+    def spelled(self) -> list[bytes]:
+        """The bytes of each piece, the space marker as a space, byte pieces as their byte."""
+        return [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.spec["pieces"]]
+
     def _fresh(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """(ids, parity) of each text."""
         mine, theirs = self.own.encode_batch_fast(texts, add_special_tokens=False), self.other.encode(texts)
@@ -153,7 +167,17 @@ class Backend:
         return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
-        return self.own.decode_batch([np.frombuffer(i, "<u4").tolist() for i in ids], skip_special_tokens=False)
+        """Texts of ids; ids whose bytes are no UTF-8 are left to the library's decoder, which marks what is broken."""
+        out = []
+        for raw in ids:
+            numbers = np.frombuffer(raw, "<u4").tolist()
+            try:
+                text = b"".join(map(self.spelled.__getitem__, numbers)).decode()
+            except UnicodeDecodeError:
+                out.append(self.own.decode(numbers, skip_special_tokens=False))
+                continue
+            out.append(text[1:] if self.spec["add_dummy_prefix"] and text[:1] == " " else text)
+        return out
 
 
 _backends: dict[str, Backend] = {}

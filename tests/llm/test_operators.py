@@ -168,6 +168,13 @@ def test_sentencepiece_parity_and_round_trip(docs, texts):
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == model.encode(text) and r["text"] == text and r["parity"]
 
 
+def test_decoding_equals_the_library():
+    own = sentencepiece_backend.backend(vocabulary("piece_bpe_32k.model"))
+    rng = np.random.default_rng(3)
+    for ids in [[], [259, 260], [3 + 0xE6, 3 + 0xBC, 3 + 0xA2], [3 + 0xE6, 300], *rng.integers(3, 32000, (20, 12)).tolist()]:
+        assert own.decode([np.array(ids, "<u4").tobytes()]) == [own.own.decode(ids, skip_special_tokens=False)]
+
+
 def test_language(spark):
     rng = random.Random(5)
     sounds = {"xa": ["the", "and", "ing", "tion"], "yb": ["der", "und", "sch", "keit"]}
