@@ -154,7 +154,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, net: Network, least: float = 0.4) -> DataFrame:
+def accepted(docs: DataFrame, net: Network, least: float = 0.3) -> DataFrame:
     """The rows of docs, all columns as they were, whose text has a language of score `least` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
