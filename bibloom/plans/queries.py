@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bibloom.functions import numeric
 from bibloom.functions import text as T
-from bibloom.operators import bib, dedup, evidence, gate, graph, relevance, screening
+from bibloom.operators import bib, dedup, evidence, gate, graph, relevance, reports, screening, verification
 from bibloom.sources import payloads
 
 FORBIDDEN = ["tionly", "enbleed", "ostmente"]
@@ -462,3 +462,59 @@ def snowball_rounds(spark, sf_dir):
 @query("SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn FROM conversations GROUP BY conv_id")
 def latest_verdict(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"), F.max("turn").alias("turn"))
+
+
+def _checked_entries(spark, sf_dir):
+    """The parts' entries against records of four of five DOIs, some with another year, and without search hits."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    year = (F.lit(1950) + F.col("p_size") + F.when(k % 8 == 0, 5).otherwise(0)).cast("string")
+    blank = {c: F.lit("") for c in ("journal", "volume", "pages", "url")}
+    records = p.where(k % 10 != 4).select(F.when(k % 4 == 0, "crossref").otherwise("datacite").alias("source"), F.concat(F.lit("10.1234/"), k.cast("string")).alias("doi"), F.col("p_name").alias("title"), F.array(F.concat(F.lit("Smith, "), "p_brand")).alias("authors"), year.alias("year")).withColumns(blank | {"volume": F.substring_index("doi", "/", -1)})
+    hits = records.where("1 = 0").select(F.lit("").alias("file"), F.lit(0).alias("node_pos"), F.lit(0).alias("place"), "*")
+    return verification.verified(_entries(spark, sf_dir), records, hits)
+
+
+_SQL_CHECKED = f"""SELECT key, CASE WHEN NOT (k % 2 = 0 AND k % 6 <> 0 AND k % 10 <> 4) THEN 'not_found' WHEN t OR y THEN 'mismatched' ELSE 'verified' END AS verdict
+    FROM (SELECT *, k % 5 <> 0 AND k % 11 = 0 AS t, k % 8 = 0 AND k % 13 <> 0 AS y FROM ({_SQL_PARTS}))"""
+
+
+@query(_SQL_CHECKED)
+def entry_verification(spark, sf_dir):
+    return _checked_entries(spark, sf_dir).select("key", "verdict")
+
+
+@query(f"SELECT key, 'k' || CAST(k AS VARCHAR) = key AS filled FROM ({_SQL_PARTS}) WHERE k % 2 = 0 AND k % 6 <> 0 AND k % 10 <> 4")
+def suggestions_applied(spark, sf_dir):
+    done = verification.applied(_checked_entries(spark, sf_dir)).where("record is not null")
+    return done.select("key", (bib.field("volume") == F.substring("key", 2, 20)).alias("filled"))
+
+
+@query(f"""SELECT file, CAST(errors AS BIGINT) AS errors, CASE WHEN errors > 0 THEN 2 ELSE 0 END AS exit_code FROM (
+    SELECT CAST(o_orderkey AS VARCHAR) AS file, count(*) FILTER (l_returnflag = 'R') AS errors FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)""")
+def exit_codes(spark, sf_dir):
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("file"), F.when(F.col("l_returnflag") == "R", "error").otherwise("info").alias("level"))
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file"))
+    return reports.exit_codes(found, files).select("file", "errors", "exit_code")
+
+
+@query(f"{_SQL_GATE} SELECT g.k AS place, '| ' || substr(t, 1, 70) || ' | ' || CASE g.k % 3 WHEN 0 THEN '10.1234/' || g.k WHEN 1 THEN '10.5281/' || g.k ELSE '-' END || ' | - | ' || CASE WHEN src <> '' THEN 'title disagrees with ' || src WHEN g.k % 3 = 2 THEN 'no DOI, no arXiv id, and no index match on title' ELSE 'DOI ' || CASE g.k % 3 WHEN 0 THEN '10.1234/' ELSE '10.5281/' END || g.k || ' not found in Crossref or DataCite' END || ' |' AS line FROM g JOIN w ON w.k = g.k WHERE NOT ok")
+def quarantine_report(spark, sf_dir):
+    return reports.quarantine_rows(_gated(spark, sf_dir)).select("place", "line")
+
+
+@query(f"""SELECT CAST(row_number() OVER (ORDER BY rate DESC, in_corpus DESC, cited_by_count DESC, position) AS INT) AS place, '| ' || CAST(rate AS VARCHAR) || ' | ' || cited_by_count || ' | ' || in_corpus || ' | ' || year || ' | ' || CASE role WHEN '' THEN '-' ELSE role END || ' | t' || work_id || ' | v |  | - |' AS line
+    FROM ({SQL_SIGNALS}) QUALIFY place <= 50""")
+def shortlist_report(spark, sf_dir):
+    w = ranked(spark, sf_dir).withColumns({"title": F.concat(F.lit("t"), F.col("work_id").cast("string")), "venue": F.lit("v"), "oa_pdf_url": F.lit(""), "validation_source": F.lit("")})
+    return reports.shortlist_rows(w, 50).select("place", "line")
+
+
+@query("""SELECT CAST(s_nationkey AS VARCHAR) AS file, n AS number, '[' || n || '] ' || s_name || '. ' || 'T' || s_suppkey || '. J ' || s_nationkey || ', 1-9 (2001). https://doi.org/10.1/' || s_suppkey AS line
+    FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier)""")
+def plain_bibliography(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    f = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("text"), F.lit("brace").alias("delim"))
+    n = F.col("s_suppkey").cast("string")
+    fields = F.array(f("author", F.col("s_name")), f("title", F.concat(F.lit("T"), n)), f("journal", F.lit("J")), f("volume", F.col("s_nationkey").cast("string")), f("pages", F.lit("1--9")), f("year", F.lit("2001")), f("doi", F.concat(F.lit("10.1/"), n)))
+    e = s.select(F.col("s_nationkey").cast("string").alias("file"), F.col("s_suppkey").cast("int").alias("node_pos"), F.lpad(n, 12, "0").alias("key"), fields.alias("fields"))
+    return reports.plain_references(e).select("file", F.col("number").cast("long").alias("number"), "line")
