@@ -29,7 +29,7 @@ FIRST = 2
 #: Minwise coordinates: one for each root, the rest for deeper levels.
 COORDINATES = 16
 #: Classes, and their shingles, that one task compares exhaustively.
-NODE, NODE_SHINGLES = 256, 2_000_000
+NODE, NODE_SHINGLES = 1024, 2_000_000
 #: Pairs of coordinates by which an oversize node branches, and levels of branching.
 BRANCHES, DEPTH = 4, 1
 _MASKS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * U64(0xD1B54A32D192ED03))
@@ -79,13 +79,17 @@ def _sketch(words: int):
 
 
 def linked(sets: list[np.ndarray], block: int = 1 << 14) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, by products of blocks of the incidence matrix."""
+    """Sizes of the intersections of all pairs of different sets, by products of blocks of the incidence matrix.
+
+    Values that only one set holds meet no other set and are left out.
+    """
     m = len(sets)
     if m == 2:
         both = np.intersect1d(sets[0], sets[1], assume_unique=True).size
         return np.array([[0, both], [both, 0]])
-    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    values, inverse, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(m), [len(s) for s in sets]), holders > 1
+    row, inverse, values = row[shared[inverse]], (np.cumsum(shared) - 1)[inverse[shared[inverse]]], values[shared]
     order = np.argsort(inverse, kind="stable")
     row, inverse = row[order], inverse[order]
     out = np.zeros((m, m))
@@ -129,19 +133,24 @@ def _tasks(members: DataFrame, last: bool) -> DataFrame:
     """(task, rep, comp) from members (node, rep, n, comp): only nodes with two components at least.
 
     A node of at most NODE classes and NODE_SHINGLES shingles is one task. A larger one is dealt into blocks that all
-    hold its pivot; at the last depth each pair of blocks is a task.
+    hold its pivot. At the last depth each pair of blocks is a task, but for pairs within the node's largest component,
+    which hangs together already.
     """
-    size = members.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("bulk"), F.min("rep").alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 1 and lo <> hi")
-    size = size.withColumn("blocks", F.when(_small(), 1).otherwise(F.greatest(F.lit(2), F.ceil(2 * F.greatest(F.col("size") / NODE, F.col("bulk") / NODE_SHINGLES)))).cast("int"))
-    full = members.join(size.select("node", "pivot", "blocks"), "node")
-    small = full.where("blocks = 1").select(F.xxhash64("node").alias("task"), "rep", "comp")
-    large = full.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    parts = members.groupBy("node", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("bulk"), F.min("rep").alias("pivot"))
+    size = parts.groupBy("node").agg(F.sum("size").alias("size"), F.sum("bulk").alias("bulk"), F.min("pivot").alias("pivot"), F.count("*").alias("comps"), F.max(F.struct("size", "bulk", "comp")).alias("most")).where("comps > 1")
+    blocks = lambda n, bulk: F.ceil(2 * F.greatest(n / NODE, bulk / NODE_SHINGLES)).cast("int")
+    size = size.select("node", "pivot", _small().alias("small"), F.greatest(F.lit(2), blocks(F.col("size"), F.col("bulk"))).alias("blocks"), F.col("most.comp").alias("most"), blocks(F.col("most.size"), F.col("most.bulk")).alias("within"), blocks(F.col("size") - F.col("most.size"), F.col("bulk") - F.col("most.bulk")).alias("rest"))
+    full = members.join(size, "node")
+    small, large = full.where("small").select(F.xxhash64("node").alias("task"), "rep", "comp"), full.where("not small")
     if last:
-        pairs = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        own = F.col("comp") == F.col("most")
+        dealt = large.withColumn("block", F.when(own, F.col("rest") + F.pmod(F.xxhash64("rep"), "within")).otherwise(F.pmod(F.xxhash64("rep"), "rest")).cast("int"))
+        pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(own, F.col("rest")).otherwise(F.col("rest") + F.col("within")) - 1))).where("other <> block")
         dealt = pairs.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "rep", "comp")
     else:
-        pivots = full.where("blocks > 1 and rep = pivot").select("node", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        dealt = large.where("rep <> pivot").select("node", "rep", "comp", "block").unionByName(pivots).select(F.xxhash64("node", "block").alias("task"), "rep", "comp")
+        block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        pivots = large.where("rep = pivot").select("node", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        dealt = large.where("rep <> pivot").select("node", "rep", "comp", block.alias("block")).unionByName(pivots).select(F.xxhash64("node", "block").alias("task"), "rep", "comp")
     return small.unionByName(dealt)
 
 
