@@ -2,11 +2,13 @@
 
 Lines are normalised (lower case, one space for white space) and equal ones collapse into one class. A class is
 sketched by minwise hashes of its character shingles of SHINGLE characters that begin at word starts (in scripts
-without spaces, at every character); pairs of minima form the bands. Classes that share a band meet their bucket's
-representative, the earliest line, and, so that a chance representative hides nothing, the next classes of the bucket
-in a second order. Every candidate pair is verified by its exact Jaccard similarity over all VERIFY-character
-shingles of both lines, and verified pairs are joined into components by distributed union-find. One line of a
-component stays: the earliest by (doc_id, line).
+without spaces, and in a long token after its first SHINGLE characters, at every character); pairs of minima form the
+bands. Classes that share a band are compared: first with their bucket's earliest and last class, then all pairs of the
+bucket that these have not brought into one component. Sets of linked lines differ little in size, so a bucket is cut
+into cells of set size, and large cells are dealt into blocks that meet block against block; no pair is left out.
+Every pair is verified by its exact Jaccard similarity over all VERIFY-character shingles of both lines, and verified
+pairs are joined into components by distributed union-find. One line of a component stays: the earliest by
+(doc_id, line).
 
 Null text counts as empty. Blank lines and lines under LEAST_CHARS characters (without spaces around them) always stay and are in no component but
 their own. Repeated rows are repeated lines. Very long lines are sketched whole. An empty table gives no lines.
@@ -14,6 +16,8 @@ their own. Repeated rows are repeated lines. Very long lines are sketched whole.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +25,12 @@ from bibloom.llm.common import components, written
 
 SHINGLE, VERIFY, SIMILARITY, LEAST_CHARS = 12, 5, 0.8, 10
 BANDS = 6
+#: Classes of a bucket that meet in one task.
+BLOCK = 256
 #: Masks whose exclusive-or with a hash orders the shingles anew: multiples of an odd constant.
 MASKS = [((k + 1) * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63) for k in range(BANDS)]
-#: Place of a shingle: the line's begin, after a space, after a character of a script that writes no spaces.
-ANCHORED = rf"(?:^|(?<=[ ฀-໿က-႟ក-៿぀-ヿ㐀-鿿]))(?=(.{{1,{SHINGLE}}}))"
+#: Place of a shingle: the line's begin, after a space, after a character of a script that writes no spaces, inside a long token.
+ANCHORED = rf"(?:^|(?<=[ ฀-໿က-႟ក-៿぀-ヿ㐀-鿿])|(?<=[^ ]{{{SHINGLE}}}))(?=(.{{1,{SHINGLE}}}))"
 
 
 def normal(line: Column) -> Column:
@@ -55,17 +61,54 @@ def sketched(lines: DataFrame) -> DataFrame:
     return hashes.select("doc_id", "line", "d1", "d2", *keys)
 
 
+def shingles(norm: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{VERIFY}}}))"), F.lit(1)))
+
+
 def scored(pairs: DataFrame) -> DataFrame:
     """pairs (a, b, x, y) with their exact Jaccard similarity over the sets of VERIFY-character shingles.
 
     Each step is a projection of its own, so that no set is computed twice.
     """
-    shingles = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{VERIFY}}}))"), F.lit(1)))
     sets = pairs.select("a", "b", shingles("x").alias("x"), shingles("y").alias("y"))
     sizes = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), F.size("x").alias("n"), F.size("y").alias("m"))
     return sizes.select("a", "b", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("jaccard"))
 
 
+def _near(n: str, m: str) -> Column:
+    """Whether sets of n and m shingles can be similar."""
+    return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
+
+
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar. texts: (rep, norm, n) of all their classes."""
+    side = lambda rep, norm, n: texts.select(F.col("rep").alias(rep), F.col("norm").alias(norm), F.col("n").alias(n))
+    both = pairs.join(side("a", "x", "n"), "a").join(side("b", "y", "m"), "b").where(_near("n", "m"))
+    return written(scored(both), "scored").where(F.col("jaccard") >= SIMILARITY).select("a", "b")
+
+
+def _texts(lines: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, norm, n) of the classes reps (rep), n being the size of the shingle set."""
+    found = lines.select(F.struct("doc_id", "line").alias("rep"), "norm").join(reps.hint("shuffle_hash"), "rep")
+    return written(found.select("rep", "norm", F.size(shingles("norm")).alias("n")), "texts")
+
+
+def _met(rest: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket in rest (bucket, rep, comp, n) that are in two components and can be similar.
+
+    Cells of set size: of two linked sets the larger is less than a cell away.
+    """
+    cell = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(SIMILARITY) * 1.001)).cast("int")
+    cells = rest.select("bucket", "rep", "comp", "n", cell.alias("cell")).select("bucket", "rep", "comp", "n", F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
+    sizes = cells.groupBy("bucket", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    dealt = cells.join(sizes.select("bucket", "cell", "blocks"), ["bucket", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("bucket", "cell", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "rep", "comp", "n", "block", "other")
+    x = dealt.select("task", F.col("rep").alias("a"), F.col("comp").alias("p"), "n", F.col("block").alias("i"), F.col("other").alias("j"))
+    y = dealt.select("task", F.col("rep").alias("b"), F.col("comp").alias("q"), F.col("n").alias("m"), F.col("block").alias("k"))
+    return x.join(y, "task").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & ((F.col("i") != F.col("k")) | (F.col("i") == F.col("j"))) & _near("n", "m")).select("a", "b").distinct()
+
+
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, members): every line's digest, and each class with its earliest line and component."""
     source = docs.select("doc_id", "text")
@@ -80,11 +123,17 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = banded.join(met, "bucket").select(F.explode(F.array(F.struct(F.col("rep").alias("a"), F.col("lead").alias("b")), F.struct(F.col("rep").alias("a"), F.col("last").alias("b")))).alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a <> b").distinct()
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = written(lines.select(rank.alias("rep"), "norm").join(ends.hint("shuffle_hash"), "rep"), "texts")
-    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("rep").alias("b"), F.col("norm").alias("y")), "b")
-    near = F.least(F.length("x"), F.length("y")) >= SIMILARITY * 0.5 * F.greatest(F.length("x"), F.length("y"))
-    links = written(scored(both.where(near)), "scored").where(F.col("jaccard") >= SIMILARITY)
+    texts = _texts(lines, ends)
+    links = _linked(pairs, texts)
     comps = components(links).withColumnRenamed("id", "rep")
+    # what met neither end of its bucket: the pairs with an end are all verified
+    inner = banded.join(met, "bucket").where("rep <> lead and rep <> last").join(comps, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+    inner = written(inner, "inner")
+    several = inner.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    rest = inner.join(several, "bucket").join(texts.select("rep", "n"), "rep")
+    more = _linked(written(_met(rest), "pairs"), texts)
+    if not more.isEmpty():
+        comps = components(links.unionByName(more)).withColumnRenamed("id", "rep")
     members = classes.select("d1", "d2", "rep").join(comps, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     return rows.select("doc_id", "line", "d1", "d2"), members
 

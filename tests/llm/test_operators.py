@@ -247,6 +247,26 @@ def test_line_dedup(spark):
     assert texts == {1: rows[0][1], 2: "short", 3: "", 4: None, 5: "", 6: prose(40, 9)}
 
 
+def line_brute_force(rows):
+    """{row: first row of its component} of one-line texts, by all pairs."""
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for _, t in rows]
+    return linked_components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+
+
+@pytest.mark.parametrize("anchored", [None, "^(?=(.{1,12}))"])
+def test_line_dedup_compares_whole_buckets(spark, monkeypatch, anchored):
+    if anchored:  # every line in one bucket
+        monkeypatch.setattr(line_dedup, "ANCHORED", anchored)
+        monkeypatch.setattr(line_dedup, "BLOCK", 8, raising=False)
+    rng = random.Random(4)
+    paths = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=90)) for _ in range(40)]
+    rows = list(enumerate("https://example.org/archive/" + p + end for end in ("a", "b") for p in paths))
+    rows += [(len(rows) + k, "https://example.org/archive/" + p[: 20 + k]) for k, p in enumerate(paths)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["kept_doc_id"] for r in line_dedup.fuzzy_lines(docs).collect()}
+    assert [got[k] for k, _ in rows] == line_brute_force(rows)
+
+
 @pytest.mark.parametrize("run", [near_dedup.near_duplicates, exact_dedup.dedup, line_dedup.fuzzy_lines, substring_dedup.dedup, lambda d: packing.pack(d, vocabulary("byte_bpe_50k.json"))])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
