@@ -1,10 +1,12 @@
 """Substring dedup by hashing lines and their sentences.
 
-A text's units are its lines, cut further at sentence ends so that a passage set into a longer line is seen too. A unit
-is normalised (lower case, one space between words) and hashed; short units are not looked up. Digests are grouped over
-the whole table, the earliest ranked occurrence (least doc_id, then place) stays. A run of neighbouring units that all
-have an earlier occurrence goes if it has RUN_WORDS words, or fills whole lines; units too short to be looked up go
-with a run they stand inside. Removed spans keep their character offsets in the original text.
+A text's units are its lines, cut further at sentence ends of any script so that a passage set into a longer line is
+seen too. A unit is normalised (lower case, one space between words) and hashed; short units inside a line are not
+looked up. A whole line is looked up from LINE_CHARS characters on, as one unit or, where it has short units, besides
+them. Words are counted so that scripts without spaces and long tokens have their share. Digests are grouped over the
+whole table, the earliest ranked occurrence (least doc_id, then place) stays. A run of neighbouring units that all have
+an earlier occurrence goes if it has RUN_WORDS words, or fills whole lines; units too short to be looked up go with a
+run they stand inside. Removed spans keep their character offsets in the original text.
 
 Null text counts as empty; empty texts have no unit. Ties: rows of equal doc_id count as one document. Long texts are
 read whole. Other columns are carried along where a whole table is asked for.
@@ -24,25 +26,50 @@ from bibloom.llm.common import sliced, texts_of, written
 
 #: Words of a unit that is looked up; words of a removed run that does not fill its lines.
 UNIT_WORDS, RUN_WORDS = 4, 20
-_UNIT = re.compile(r"[^\n.!?]*(?:[.!?](?![\s]|\Z)[^\n.!?]*)*(?:[.!?]+|(?=\n)|\Z)[^\S\n]*")
+#: Characters of a shorter line that is looked up all the same; characters that count as a word at least.
+LINE_CHARS, WORD_CHARS = 5, 16
+#: Sentence ends: before white space, and those of scripts that write none after them.
+_SPACED, _BARE = ".!?؟۔।॥።", "。！？｡．"
+_UNIT = re.compile(rf"[^\n{_SPACED}{_BARE}]*(?:[{_SPACED}](?![\s{_SPACED}{_BARE}]|\Z)[^\n{_SPACED}{_BARE}]*)*(?:[{_SPACED}{_BARE}]+[\"'”’»)\]」』）】]*|(?=\n)|\Z)[^\S\n]*")
+#: Scripts without spaces; every character counts as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
-def units(text: str) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, line, words, digest) of each unit; digest 0 where the unit is too short to be looked up."""
+def _words(tokens: list[str]) -> int:
+    joined = "".join(tokens)
+    unspaced = 0 if joined.isascii() else len(_UNSPACED.findall(joined))
+    return max(len(tokens), unspaced, len(joined) // WORD_CHARS)
+
+
+def _digest(tokens: list[str], kind: bytes = b"") -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(tokens).encode("utf-8", "surrogatepass"), digest_size=16, person=kind).digest(), "little") | 1
+
+
+def units(text: str) -> list[tuple[int, int, int, int, int, int]]:
+    """(start, end, line, words, digest, whole) of each unit.
+
+    digest 0: too short to be looked up. whole: the digest of its line where the line has several units and one of
+    them is too short, else 0.
+    """
     out, base = [], 0
     for line, body in enumerate(text.split("\n")):
-        at = 0
+        at, own, tokens = 0, [], []
         while at < len(body):
             end = _UNIT.match(body, at).end()
             if end == at:
                 end = at + 1
             words = body[at:end].lower().split()
             if words:
-                digest = 0
-                if len(words) >= UNIT_WORDS:
-                    digest = int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest(), "little") | 1
-                out.append((base + at, base + end, line, len(words), digest))
+                own.append((base + at, base + end, words))
+                tokens += words
             at = end
+        looked_up = len(" ".join(tokens)) >= LINE_CHARS
+        digests = []
+        for _, _, words in own:
+            long = _words(words) >= UNIT_WORDS or len(own) == 1 and looked_up
+            digests.append(_digest(words) if long else 0)
+        whole = _digest(tokens, b"line") if len(own) > 1 and looked_up and not all(digests) else 0
+        out += [(a, b, line, _words(words), d, whole) for (a, b, words), d in zip(own, digests)]
         base += len(body) + 1
     return out
 
@@ -50,9 +77,12 @@ def units(text: str) -> list[tuple[int, int, int, int, int]]:
 def removed(text: str, later: set[int]) -> list[tuple[int, int]]:
     """Spans of text to remove. later: digests whose earliest occurrence is in an earlier document."""
     own, seen = units(text), set()
-    again = []
-    for *_, digest in own:
-        again.append(bool(digest) and (digest in later or digest in seen))
+    again, line = [], -1
+    for *_, at, _, digest, whole in own:
+        if at != line:  # the line as a whole
+            line, copied = at, bool(whole) and (whole in later or whole in seen)
+            seen.add(whole)
+        again.append(copied or bool(digest) and (digest in later or digest in seen))
         seen.add(digest)
     spans, k = [], 0
     while k < len(own):
@@ -92,7 +122,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text"):
         ids, high, low = [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
-            for d in {u[4] for u in units(text)} - {0}:
+            for d in {d for u in units(text) for d in u[4:]} - {0}:
                 ids.append(doc)
                 high.append((d >> 64) - (1 << 63))
                 low.append((d & (1 << 64) - 1) - (1 << 63))

@@ -247,6 +247,16 @@ def test_line_dedup(spark):
     assert texts == {1: rows[0][1], 2: "short", 3: "", 4: None, 5: "", 6: prose(40, 9)}
 
 
+def test_substring_dedup_without_spaces_and_short_lines(spark):
+    passage = "春天来了花园里的花都开了。孩子们在树下唱歌跳舞。老人坐在长椅上看书喝茶。"
+    thai = "สวัสดีครับยินดีต้อนรับสู่ประเทศไทย"
+    rows = [(1, "第一篇文章自己的开头。" + passage + "第一篇的结尾。"), (2, "第二篇不同的开头文字。" + passage + "另一个结尾。"), (3, thai + "\nsource one"), (4, "own\n" + thai), (5, "Read more\nSkip it. Yes. No.\nfirst"), (6, "second\nread  More\nSkip it. Yes. No."), (7, "x/" * 200 + ". Mine here."), (8, "Other. " + "x/" * 200 + ". Too.")]
+    rows += [(9, "Read more of it. Yes. Own end"), (10, "a read more b")]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2] == "第二篇不同的开头文字。另一个结尾。" and got[4] == "own\n" and got[6] == "second\n" and got[8] == "Other. Too."
+    assert all(got[d] == t for d, t in rows if d in (1, 3, 5, 7, 9, 10))
+
+
 def line_brute_force(rows):
     """{row: first row of its component} of one-line texts, by all pairs."""
     sets = [{t[i : i + 5] for i in range(len(t) - 4)} for _, t in rows]
