@@ -5,7 +5,8 @@ host's pages are laid end to end, and a suffix array over the first REACH words
 words that distinct pages repeat. A block that such runs cover is boilerplate. Blocks inside menus, headers, footers,
 side bars, notices, adverts, forms and reader comments never count as text. Inside an article a block counts as
 boilerplate only if WIDE of the pages it is compared with repeat it, so that copied articles stay; outside, if REPEATS
-pages do. Where a page marks up an article, only blocks inside it are kept.
+pages do. Where a page marks up an article, only blocks inside it are kept. Pages whose kept blocks are all equal are
+copies and count as one page, so that copies never make each other boilerplate.
 
 Pages of one host are dealt into chunks of about CHUNK_BYTES, so a host of any size is worked on in bounded pieces; a page
 is compared with its own chunk. Null html is empty, null url is a host of its own. Broken markup is read to its end,
@@ -125,10 +126,24 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(pages: list[list[str]], least: int = LEAST) -> list[np.ndarray]:
+def bodies_of(read: list[list[tuple[int, str]]]) -> list[int]:
+    """For each page of blocks the number of its body, equal for copies: the texts that markup lets stay."""
+    known: dict[tuple[str, ...], int] = {}
+    return [known.setdefault(tuple(t for place, t in r if place == _kept_place(r)), len(known)) for r in read]
+
+
+def _kept_place(read: list[tuple[int, str]]) -> int:
+    return INSIDE if any(place == INSIDE for place, _ in read) else OUTSIDE
+
+
+def wide_limit(n_bodies: int) -> int:
+    return max(WIDE_PAGES, int(np.ceil(WIDE * n_bodies)))
+
+
+def repeated(pages: list[list[str]], bodies: list[int], least: int = LEAST) -> list[np.ndarray]:
     """For each block of each page, over how many distinct pages at least its repeated runs go.
 
-    pages: the blocks' texts of each page. A block's count is the largest k of 1, REPEATS and the wide count such
+    pages: the blocks' texts of each page; pages of one body count once. A block's count is the largest k of 1, REPEATS and the wide count such
     that every word of the block lies in a run of `least` words or more that k distinct pages hold.
     """
     words: dict[str, int] = {}
@@ -138,13 +153,13 @@ def repeated(pages: list[list[str]], least: int = LEAST) -> list[np.ndarray]:
             ids = [words.setdefault(w, len(words) + 2) for w in text.split()]
             stream += [1, *ids]  # 1: a block begins
             block_of += [n_blocks] * (len(ids) + 1)
-            page_of += [p] * (len(ids) + 1)
+            page_of += [bodies[p]] * (len(ids) + 1)
             n_blocks += 1
         stream += [1, -1 - p]  # ends that no other page has
         block_of += [n_blocks, n_blocks]
-        page_of += [p, p]
+        page_of += [bodies[p]] * 2
     count = np.ones(n_blocks + 1, np.int64)
-    wide = max(WIDE_PAGES, int(np.ceil(WIDE * len(pages))))
+    wide = wide_limit(len(set(bodies)))
     if len(pages) >= 2 and stream:
         s, page = np.array(stream, np.int64), np.array(page_of)
         n = len(s)
@@ -210,13 +225,13 @@ def _shared(order: np.ndarray, common: np.ndarray, page: np.ndarray, k: int, lea
 def extract_chunk(pages: list[str]) -> list[str]:
     """Main text of each page of one chunk of one host."""
     read = [blocks(p) for p in pages]
-    counts = repeated([[t for _, t in r] for r in read])
-    wide = max(WIDE_PAGES, int(np.ceil(WIDE * len(pages))))
+    bodies = bodies_of(read)
+    counts = repeated([[t for _, t in r] for r in read], bodies)
+    wide = wide_limit(len(set(bodies)))
     out = []
     for own, count in zip(read, counts):
-        marked = any(place == INSIDE for place, _ in own)
-        keep = INSIDE if marked else OUTSIDE
-        limit = wide if marked else REPEATS
+        keep = _kept_place(own)
+        limit = wide if keep == INSIDE else REPEATS
         out.append("\n\n".join(t for (place, t), c in zip(own, count.tolist()) if place == keep and c < limit))
     return out
 

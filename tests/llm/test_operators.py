@@ -218,6 +218,15 @@ def test_html_blocks_and_boilerplate():
     assert copies == ["Same title\n\nSame text of copies"] * 4
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_copies_stay(tag):
+    others = [f"<nav>menu</nav><{tag}><h1>Title {prose(3, k)}</h1><p>{prose(20, 50 + k)}</p></{tag}>" for k in range(2)]
+    copies = [f"<nav>menu {k}</nav><{tag}><h1>Same title</h1><p>Same text of copies</p></{tag}>" for k in range(12)]
+    assert html_extraction.extract_chunk(copies + others)[:12] == ["Same title\n\nSame text of copies"] * 12
+    notice = "<p>The notice of this host</p>"
+    assert html_extraction.extract_chunk([f"<{tag}>{notice}<p>{prose(20, k)}</p></{tag}>" for k in range(10)]) == [prose(20, k) for k in range(10)]
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.b/x", "<p>x"), (2, None, None), (3, "http://a.b/y", "")], "page_id long, url string, html string")
     assert {tuple(r) for r in html_extraction.extract(pages).collect()} == {(1, "http://a.b/x", "x", 1), (2, None, "", 0), (3, "http://a.b/y", "", 0)}
