@@ -8,13 +8,16 @@ boilerplate only if WIDE of the pages it is compared with repeat it, so that cop
 pages do. Where a page marks up an article, only blocks inside it are kept. Pages whose kept blocks are all equal are
 copies and count as one page, so that copies never make each other boilerplate.
 
-Pages of one host are dealt into chunks of about CHUNK_BYTES, so a host of any size is worked on in bounded pieces; a page
-is compared with its own chunk. Null html is empty, null url is a host of its own. Broken markup is read to its end,
+Pages of one host are dealt into chunks of about CHUNK_BYTES of blocks, copies into the same chunk, so a host of any
+size is worked on in bounded pieces. A run of LEAST words or more goes over k pages just if each LEAST words of it do;
+so the chunks of a large host count, for every LEAST words in a row, the distinct pages that hold them, the counts are
+summed over the host, and each chunk decides by the host's sums what the suffix array decides on a small host. Null html is empty, null url is a host of its own. Broken markup is read to its end,
 an article start closes what was left open. Copies of a page get equal text. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as markup
 import re
 from collections.abc import Iterator
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import groups, partitions, written
+from bibloom.llm.common import MULTIPLIER, U64, groups, mix, partitions, sliced, written
 
 #: Words of a suffix that are sorted (a power of two), least words of a repeated run (block ends count as words).
 REACH, LEAST = 16, 3
@@ -222,12 +225,63 @@ def _shared(order: np.ndarray, common: np.ndarray, page: np.ndarray, k: int, lea
     return np.minimum(out, n - np.arange(n))
 
 
-def extract_chunk(pages: list[str]) -> list[str]:
-    """Main text of each page of one chunk of one host."""
-    read = [blocks(p) for p in pages]
-    bodies = bodies_of(read)
-    counts = repeated([[t for _, t in r] for r in read], bodies)
-    wide = wide_limit(len(set(bodies)))
+def grams(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, at, page, block): the digest of every LEAST words in a row of a page, block begins counting as words.
+
+    gram and at: digests and where they begin in the stream; page and block: of each place of the stream, block -1
+    where a block begins.
+    """
+    words: dict[str, int] = {}
+    stream, page_of, block_of, n_blocks = [], [], [], 0
+    for p, texts in enumerate(pages):
+        for text in texts:
+            ids = [words.setdefault(w, len(words) + 1) for w in text.split()]
+            stream += [0, *ids]
+            block_of += [-1] + [n_blocks] * len(ids)
+            page_of += [p] * (len(ids) + 1)
+            n_blocks += 1
+        stream.append(0)
+        block_of.append(-1)
+        page_of.append(p)
+    raw = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words)
+    digest = np.concatenate((np.ones(1, np.uint64), np.frombuffer(raw, "<u8").astype(np.uint64)))[np.array(stream, np.int64)]
+    page, n = np.array(page_of, np.int64), max(0, len(stream) - LEAST + 1)
+    gram = np.zeros(n, np.uint64)
+    for k in range(LEAST):
+        gram = mix(gram * U64(MULTIPLIER) + digest[k : n + k])
+    at = np.flatnonzero(page[:n] == page[LEAST - 1 :])
+    return gram[at].view(np.int64), at, page, np.array(block_of, np.int64)
+
+
+def gram_counts(pages: list[list[str]], bodies: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, count): over how many distinct bodies each gram of one chunk goes."""
+    gram, at, page, _ = grams(pages)
+    known, place = np.unique(gram, return_inverse=True)
+    body = np.array(bodies, np.int64)[page[at]]
+    wide = max(bodies, default=0) + 1
+    return known, np.bincount(np.unique(place * wide + body) // wide, minlength=len(known))
+
+
+def repeated_on_host(pages: list[list[str]], hot: np.ndarray, count: np.ndarray, wide: int) -> list[np.ndarray]:
+    """What `repeated` gives, by the sums of a host: count pages of it hold the gram hot (sorted)."""
+    gram, at, page, block = grams(pages)
+    n_blocks = sum(len(texts) for texts in pages)
+    out = np.ones(n_blocks, np.int64)
+    place = np.searchsorted(hot, gram)
+    held = np.zeros(len(gram), np.int64)
+    fits = place < len(hot)
+    fits[fits] = hot[place[fits]] == gram[fits]
+    held[fits] = count[place[fits]]
+    for k in sorted({REPEATS, wide}):
+        covered = np.zeros(len(page), bool)
+        for j in range(LEAST):
+            covered[at[held >= k] + j] = True
+        bare = np.bincount(block[block >= 0], weights=~covered[block >= 0], minlength=n_blocks)
+        out[bare == 0] = k
+    return np.split(out, np.cumsum([len(texts) for texts in pages])[:-1])
+
+
+def _texts(read: list[list[tuple[int, str]]], counts: list[np.ndarray], wide: int) -> list[str]:
     out = []
     for own, count in zip(read, counts):
         keep = _kept_place(own)
@@ -236,23 +290,84 @@ def extract_chunk(pages: list[str]) -> list[str]:
     return out
 
 
+def extract_chunk(pages: list[str]) -> list[str]:
+    """Main text of each page of a host that is one chunk."""
+    return _host_texts([blocks(p) for p in pages])
+
+
+def _host_texts(read: list[list[tuple[int, str]]]) -> list[str]:
+    bodies = bodies_of(read)
+    return _texts(read, repeated([[t for _, t in r] for r in read], bodies), wide_limit(len(set(bodies))))
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, host, body, places, texts) of pages; body is a digest of the texts that markup lets stay."""
+    for batch in sliced(batches, "html"):
+        read = [blocks(p) for p in batch.column("html").to_pylist()]
+        kept = ["\n".join(t for place, t in r if place == _kept_place(r)) for r in read]
+        body = [int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in kept]
+        columns = [pa.array(body, pa.int64()), pa.array([bytes(place for place, _ in r) for r in read], pa.binary()), pa.array(["\n".join(t for _, t in r) for r in read], pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "url", "host")] + columns, names=["page_id", "url", "host", "body", "places", "texts"])
+
+
+def _read_of(table: pa.Table) -> list[list[tuple[int, str]]]:
+    return [list(zip(p, t.split("\n"))) if p else [] for p, t in zip(table.column("places").to_pylist(), table.column("texts").to_pylist())]
+
+
+def _pages(table: pa.Table, texts: list[str]) -> pa.RecordBatch:
+    ids, urls = (table.column(c).combine_chunks() for c in ("page_id", "url"))
+    return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, chunk, gram, n) of each chunk; gram null has the chunk's bodies."""
+    for table in groups(batches, "chunk"):
+        read = _read_of(table)
+        bodies = bodies_of(read)
+        gram, n = gram_counts([[t for _, t in r] for r in read], bodies)
+        host, chunk, size = table.column("host")[0].as_py(), table.column("chunk")[0].as_py(), len(gram) + 1
+        arrays = [pa.array([host] * size, pa.string()), pa.array(np.full(size, chunk)), pa.array([*gram.tolist(), None], pa.int64()), pa.array([*n.tolist(), len(set(bodies))], pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["host", "chunk", "gram", "n"])
+
+
+def _decide(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """The pages of one chunk by the host's sums (chunk, gram, total)."""
+    read = _read_of(left)
+    grams_of, totals = right.column("gram").to_pylist(), right.column("total").to_pylist()
+    bodies = next(t for g, t in zip(grams_of, totals) if g is None)
+    hot = sorted((g, t) for g, t in zip(grams_of, totals) if g is not None)
+    gram, count = (np.array([x[k] for x in hot], np.int64) for k in (0, 1))
+    wide = wide_limit(bodies)
+    texts = _texts(read, repeated_on_host([[t for _, t in r] for r in read], gram, count, wide), wide)
+    return pa.Table.from_batches([_pages(left, texts)])
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html)."""
     spark = pages.sparkSession
+    kind = "page_id long, url string, text string, n_chars long"
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit("")))
-    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html").cast("long")) / CHUNK_BYTES).cast("int").alias("chunks"))
+    read = written(rows.mapInArrow(_read_blocks, "page_id long, url string, host string, body long, places binary, texts string"), "blocks")
+    sizes = read.groupBy("host").agg(F.ceil(F.sum(F.octet_length("texts").cast("long")) / CHUNK_BYTES).cast("int").alias("chunks"))
     large = written(sizes.where("chunks > 1"), "hosts")
-    if large.count() <= BROADCAST_HOSTS:  # a checked bound; beyond it html is shuffled once more
-        large = F.broadcast(large)
-    chunk = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("chunks", F.lit(1)))
-    rows = rows.join(large, "host", "left").select("page_id", "url", "html", F.xxhash64("host", chunk).alias("chunk"))
+    n_large = large.count()
+    hosts = F.broadcast(large) if n_large <= BROADCAST_HOSTS else large  # a checked bound; beyond it blocks are shuffled once more
+    n = partitions(spark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "chunk"):
-            texts = extract_chunk(table.column("html").to_pylist())
-            ids, urls = (table.column(c).combine_chunks() for c in ("page_id", "url"))
-            yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            yield _pages(table, _host_texts(_read_of(table)))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(n, "chunk").sortWithinPartitions("chunk", "page_id")
 
-    dealt = rows.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "page_id")
-    return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    out = dealt(read.join(hosts, "host", "left_anti").withColumn("chunk", F.xxhash64("host"))).mapInArrow(small, kind)
+    if not n_large:
+        return out
+    chunked = read.join(hosts, "host").withColumn("chunk", F.xxhash64("host", F.pmod(F.xxhash64("body"), "chunks"))).drop("chunks")
+    counts = written(dealt(chunked).mapInArrow(_count, "host string, chunk long, gram long, n long"), "grams")
+    totals = counts.groupBy("host", "gram").agg(F.sum("n").alias("total")).where(F.col("gram").isNull() | (F.col("total") >= REPEATS))
+    mine = counts.withColumnRenamed("host", "h").withColumnRenamed("gram", "g").join(totals, F.expr("h = host and g <=> gram")).select("chunk", "gram", "total")
+    decided = chunked.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_decide, kind)
+    return out.unionByName(decided)

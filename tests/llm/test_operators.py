@@ -227,6 +227,18 @@ def test_html_copies_stay(tag):
     assert html_extraction.extract_chunk([f"<{tag}>{notice}<p>{prose(20, k)}</p></{tag}>" for k in range(10)]) == [prose(20, k) for k in range(10)]
 
 
+def test_html_chunks_of_a_host_decide_alike(spark, monkeypatch):
+    notice = "<p>The notice of this host stands here</p>"
+    html = [f"<nav>menu</nav>{notice if k % 12 == 0 else ''}<p>{prose(30, k)}</p><p>Read on {prose(2, k % 9)}</p>" for k in range(60)]
+    html += [html[0]] * 9 + [f"<main><p>Part of the site</p>{prose(12, 200 + k)}</main>" for k in range(80)] + [""]
+    pages = spark.createDataFrame([(k, "http://a.b/%d" % k, h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    run = lambda: [r["text"] for r in sorted(html_extraction.extract(pages).collect(), key=lambda r: r["page_id"])]
+    want = html_extraction.extract_chunk(html)
+    assert run() == want and not any("notice" in t for t in want) and not any("Part of the" in t for t in want)
+    monkeypatch.setattr(html_extraction, "CHUNK_BYTES", 600)
+    assert run() == want
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.b/x", "<p>x"), (2, None, None), (3, "http://a.b/y", "")], "page_id long, url string, html string")
     assert {tuple(r) for r in html_extraction.extract(pages).collect()} == {(1, "http://a.b/x", "x", 1), (2, None, "", 0), (3, "http://a.b/y", "", 0)}
