@@ -3,8 +3,8 @@
 Texts become sets of word shingles. Equal sets collapse into one class first. Independent trees then branch the
 classes by minwise hash values: the root of tree t deals its classes by coordinate t. Small nodes are compared
 exhaustively on full sets; an oversize node is dealt into blocks that all hold the node's pivot, and what the pivot and
-the blocks do not bring into one component branches on: by pairs of further coordinates, and by set size, as linked sets
-differ little in size. Oversize nodes of the last depth are compared block against block, so no node is cut off. Only
+the blocks do not bring into one component branches on: by pairs of further coordinates that no other tree uses, taken
+only for the texts in such nodes, and by set size, as linked sets differ little in size. Oversize nodes of the last depth are compared block against block, so no node is cut off. Only
 verified spanning links leave a task.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. Fewer words than a shingle takes:
@@ -26,12 +26,12 @@ from bibloom.llm.common import U64, Union, components, groups, mix, partitions,
 TREES = 8
 #: Trees of the first pass. The second pass skips nodes that the first has brought into one component.
 FIRST = 2
-#: Minwise coordinates: one for each root, the rest for deeper levels.
-COORDINATES = 16
 #: Classes, and their shingles, that one task compares exhaustively.
 NODE, NODE_SHINGLES = 1024, 2_000_000
 #: Pairs of coordinates by which an oversize node branches, and levels of branching.
 BRANCHES, DEPTH = 4, 1
+#: Minwise coordinates: one for each root, then two for each branch of each tree and level.
+COORDINATES = TREES + 2 * BRANCHES * TREES * DEPTH
 _MASKS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * U64(0xD1B54A32D192ED03))
 _ODD = mix(_MASKS) | U64(1)
 _WEIGHTS = mix(np.arange(101, 133, dtype=np.uint64)) | U64(1)
@@ -57,23 +57,43 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
+def _marks(flat: np.ndarray, start: np.ndarray, some: np.ndarray, low: int, high: int) -> pa.ListArray:
+    """The minwise hashes low to high - 1 of sets that lie end to end in flat; zeros where some is false."""
+    marks = np.zeros((len(some), high - low), np.uint64)
+    if len(start):
+        for k in range(low, high):
+            marks[some, k - low] = np.minimum.reduceat((flat ^ _MASKS[k]) * _ODD[k], start)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (len(some) + 1) * (high - low), high - low, dtype=np.int32)), pa.array(marks.view(np.int64).ravel()))
+
+
+def _laid(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(size, flat, start, some): the texts' shingle sets end to end, and where those that are not empty begin."""
+    sets = shingle_sets(texts, words)
+    n = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    return n, flat, np.concatenate(([0], np.cumsum(n)[:-1]))[n > 0], n > 0
+
+
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            sets = shingle_sets(texts_of(batch.column("text")), words)
-            n = np.array([len(s) for s in sets], np.int64)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            some = n > 0
-            start = np.concatenate(([0], np.cumsum(n)[:-1]))[some]
+            n, flat, start, some = _laid(texts_of(batch.column("text")), words)
             d1, d2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            marks = np.zeros((len(n), COORDINATES), np.uint64)
             if len(start):
                 d1[some] = np.add.reduceat(mix(flat + U64(7)), start)
                 d2[some] = np.add.reduceat(mix(flat ^ U64(0x5851F42D4C957F2D)), start)
-                for k in range(COORDINATES):
-                    marks[some, k] = np.minimum.reduceat((flat ^ _MASKS[k]) * _ODD[k], start)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * COORDINATES, COORDINATES, dtype=np.int32)), pa.array(marks.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists], names=["doc_id", "n_shingles", "d1", "d2", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _marks(flat, start, some, 0, TREES)], names=["doc_id", "n_shingles", "d1", "d2", "marks"])
+
+    return run
+
+
+def _further(words: int):
+    """(rep, marks) of texts (rep, text): the coordinates of deeper levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            _, flat, start, some = _laid(texts_of(batch.column("text")), words)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), _marks(flat, start, some, TREES, COORDINATES)], names=["rep", "marks"])
 
     return run
 
@@ -164,15 +184,17 @@ def _with_components(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return members.join(comps, members["rep"] == comps["id"], "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("comp"))
 
 
-def _branched(members: DataFrame, leads: DataFrame, depth: int, percent: int) -> DataFrame:
-    """The children of nodes: by pairs of coordinates and cells of set size; sets that may link share a cell."""
-    pairs = [(TREES + (i + depth) % (COORDINATES - TREES), TREES + (i + depth + 1 + i // 4) % (COORDINATES - TREES)) for i in range(0, 2 * BRANCHES, 2)]
-    pick = F.array(*[F.xxhash64(F.lit(k), F.element_at("marks", a + 1), F.element_at("marks", b + 1)) for k, (a, b) in enumerate(pairs)])
+def _branched(members: DataFrame, texts: DataFrame, depth: int, words: int, percent: int) -> DataFrame:
+    """The children of nodes: by pairs of their tree's own coordinates and cells of set size; sets that may link share a cell."""
+    first = 2 * BRANCHES * (TREES * depth + F.col("tree"))
+    pick = F.array(*[F.xxhash64(F.lit(k), F.element_at("marks", first + 2 * k + 1), F.element_at("marks", first + 2 * k + 2)) for k in range(BRANCHES)])
     step = float(np.log(100 / percent)) if percent < 100 else 1e-9
     size = F.log("n") / F.lit(4 * step)
     cells = F.array_distinct(F.array(F.floor(size), F.floor(size + 0.25)))  # a linked larger set is less than a step away
-    split = members.join(leads.select("rep", "marks"), "rep").select("node", "rep", "n", F.explode(pick).alias("mark"), cells.alias("cells"))
-    return split.select("rep", "n", "node", "mark", F.explode("cells").alias("cell")).select(F.xxhash64("node", "mark", "cell").alias("node"), "rep", "n")
+    open_texts = texts.join(members.select("rep").distinct().hint("shuffle_hash"), "rep", "left_semi")
+    marks = written(open_texts.select("rep", "text").mapInArrow(_further(words), "rep long, marks array<long>"), "marks")
+    split = members.join(marks, "rep").select("node", "rep", "n", "tree", F.explode(pick).alias("mark"), cells.alias("cells"))
+    return split.select("rep", "n", "tree", "node", "mark", F.explode("cells").alias("cell")).select(F.xxhash64("node", "mark", "cell").alias("node"), "rep", "n", "tree")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -183,7 +205,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = sketch.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
     leads = written(sketch.select("doc_id", "n_shingles", "marks").join(classes.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "marks"), "leads")
-    roots = leads.select("rep", "n", F.posexplode(F.slice("marks", 1, TREES)).alias("tree", "mark")).select("tree", F.xxhash64("tree", "mark").alias("node"), "rep", "n")
+    roots = leads.select("rep", "n", F.posexplode("marks").alias("tree", "mark")).select("tree", F.xxhash64("tree", "mark").alias("node"), "rep", "n")
     shared = roots.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
     roots = written(roots.join(shared, "node"), "roots")
     needed = roots.select(F.col("rep").alias("doc_id")).distinct()
@@ -193,7 +215,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found: DataFrame | None = None
     comps: DataFrame | None = None
     for low, high in ((0, FIRST), (FIRST, TREES)):
-        members = roots.where((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "rep", "n")
+        members = roots.where((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "rep", "n", "tree")
         for depth in range(DEPTH + 1):
             tasks = _tasks(_with_components(members, comps), depth == DEPTH).join(texts, "rep").repartition(n, "task").sortWithinPartitions("task", "rep")
             links = written(tasks.mapInArrow(_compare(words, percent), "a long, b long"), "links")
@@ -205,7 +227,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                 left = written(sizes.where(~_small() & (F.col("lo") != F.col("hi"))).select("node"), "open")
                 if left.isEmpty():
                     break
-                members = written(_branched(members.join(left, "node"), leads, depth, percent), "members")
+                members = written(_branched(members.join(left, "node"), texts, depth, words, percent), "members")
 
     own = sketch.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left")
     if comps is not None:

@@ -92,6 +92,35 @@ def test_near_dedup(spark, docs, texts, monkeypatch, words, percent, node):
     assert all(got[d]["n_shingles"] == len(sets[d]) and got[d]["kept"] == (want[d] == d) for d in got)
 
 
+def test_near_dedup_trees_branch_by_coordinates_of_their_own(spark):
+    texts = spark.createDataFrame([(k, edited(prose(120, 1), 6, k)) for k in range(40)], "rep long, text string")
+    n = spark.createDataFrame([(t, k, 360, t) for k in range(40) for t in range(near_dedup.TREES)], "node long, rep long, n long, tree int")
+    rows = near_dedup._branched(n, texts, 0, 3, 85).collect()
+    held = [defaultdict(set) for _ in range(near_dedup.TREES)]
+    for r in rows:
+        held[r["tree"]][r["node"]].add(r["rep"])
+    met = [{(a, b) for reps in h.values() for a in reps for b in reps if a < b} for h in held]
+    assert all(met[a] != met[b] for a in range(len(met)) for b in range(a))
+    assert len({k for h in held for k in h}) == sum(map(len, held)) and len(set.union(*met)) > max(map(len, met))
+
+
+def test_near_dedup_of_a_templated_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "NODE", 32)
+    template, rows = prose(270, 9), []
+    for k in range(1200):
+        own = template + " " + prose(50, 1000 + k // 2)
+        rows.append((k, own if k % 2 else edited(own, 8, k)))
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append(frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)))
+    # texts of two pairs share at most about the template, 268 of 368 shingles
+    links = [(k + 1, k) for k in range(0, len(rows), 2) if 100 * len(sets[k] & sets[k + 1]) >= 85 * len(sets[k] | sets[k + 1])]
+    want = linked_components(len(sets), links)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert len(links) > 500 and [got[k] for k, _ in rows] == want
+
+
 def test_exact_dedup(docs, texts):
     groups = defaultdict(list)
     for d, t in texts:
