@@ -140,9 +140,9 @@ class Backend:
         return [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.spec["pieces"]]
 
     def _fresh(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """(ids, parity) of each text."""
+        """(ids of the rebuilt pipeline, whether sentencepiece gives the same) of each text."""
         mine, theirs = self.own.encode_batch_fast(texts, add_special_tokens=False), self.other.encode(texts)
-        return [(np.array(b, "<u4").tobytes(), a.ids == b) for a, b in zip(mine, theirs)]
+        return [(np.array(a.ids, "<u4").tobytes(), a.ids == b) for a, b in zip(mine, theirs)]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         out: list = [None] * len(texts)

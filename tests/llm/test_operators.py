@@ -197,6 +197,18 @@ def test_sentencepiece_parity_and_round_trip(docs, texts):
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == model.encode(text) and r["text"] == text and r["parity"]
 
 
+def test_ids_are_those_of_the_rebuilt_pipeline():
+    class Other:
+        def encode(self, texts):
+            return [[7] for _ in texts]
+
+    path = vocabulary("piece_bpe_32k.model")
+    own = sentencepiece_backend.Backend(path)
+    own.other = Other()
+    (ids, parity), = own.encode(["two words"])
+    assert not parity and own.decode([ids]) == ["two words"]
+
+
 def test_decoding_equals_the_library():
     own = sentencepiece_backend.backend(vocabulary("piece_bpe_32k.model"))
     rng = np.random.default_rng(3)
