@@ -18,6 +18,8 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Bytes hashed at once; bounds the memory of a worker whatever a text's length is.
 BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch that goes to a Python worker, about.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches to Python hold about BATCH_BYTES (one row at least), so that workers' memory is bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star steps (distributed union-find).
 
@@ -177,6 +184,39 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+class Memory:
+    """What `fill` gives for words, remembered for the words met last: two generations of about `most` words.
+
+    A generation that is full becomes the old one; a word met again comes back from there.
+    """
+
+    def __init__(self, fill, most: int):
+        self.fill, self.most, self.known, self.old = fill, most, {}, {}
+
+    def of(self, lists: list[list[str]]) -> list[list[bytes]]:
+        """The value of every word of the lists; what is new is filled in one call."""
+        if len(self.known) > self.most:
+            self.old, self.known = self.known, {}
+        get, back, put = self.known.get, self.old.get, self.known.__setitem__
+        out, new = [list(map(get, words)) for words in lists], {}
+        late = [(words, found, [i for i, x in enumerate(found) if x is None]) for words, found in zip(lists, out) if None in found]
+        for words, found, gaps in late:
+            for i in gaps:
+                w = words[i]
+                x = found[i] = get(w) or back(w)
+                if x is None:
+                    new[w] = None
+                else:
+                    put(w, x)
+        if new:
+            self.known.update(zip(new, self.fill(list(new))))
+            for words, found, gaps in late:
+                for i in gaps:
+                    if found[i] is None:
+                        found[i] = get(words[i])
+        return out
+
+
 class Union:
     """Union-find over 0..n-1, the smaller root wins."""
 

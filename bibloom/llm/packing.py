@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,26 +22,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import U64, ids_of, mix, partitions, sliced, texts_of, written
+from bibloom.llm.common import U64, Memory, bounded_batches, ids_of, mix, partitions, sliced, texts_of, written
 
 #: Bits of each of the three curve coordinates; the key has three times as many, and 33 bits more from doc_id.
 BITS = 10
 FEATURES = 1 << 12
-_PROJECTION = (mix(np.arange(1, FEATURES + 1, dtype=np.uint64)[None, :] * (U64(2) * np.arange(1, 4, dtype=np.uint64)[:, None] + U64(1)) * U64(0x9E3779B97F4A7C15)) >> U64(40)).astype(np.float32) / (1 << 23) - 1
+_PROJECTION = (mix(np.arange(1, FEATURES + 1, dtype=np.uint64)[None, :] * (U64(2) * np.arange(1, 4, dtype=np.uint64)[:, None] + U64(1)) * U64(0x9E3779B97F4A7C15)) >> U64(40)).astype(np.float64) / (1 << 23) - 1
 
 
 def vectors(texts: list[str]) -> np.ndarray:
     """(n, 3) projections of the hashed trigram counts, divided by the root of their number."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     size = np.array([len(r) for r in raw])
-    out = np.zeros((len(raw), 3), np.float32)
     data = np.frombuffer(b"".join(raw).lower() + b"\0\0", dtype=np.uint8).astype(np.uint16)
-    some = size > 0
-    if some.any():
-        slot = (data[:-2] * np.uint16(0x9E35) ^ data[1:-1] * np.uint16(0x58D1) ^ data[2:] * np.uint16(0x2C1B)) >> np.uint16(4)
-        start = np.concatenate(([0], np.cumsum(size)[:-1]))[some]
-        for d in range(3):
-            out[some, d] = np.add.reduceat(_PROJECTION[d][slot], start) / np.sqrt(size[some])
+    slot = (data[:-2] * np.uint16(0x9E35) ^ data[1:-1] * np.uint16(0x58D1) ^ data[2:] * np.uint16(0x2C1B)) >> np.uint16(4)
+    out, at = np.zeros((len(raw), 3)), 0
+    for i, n in enumerate(size.tolist()):  # a text's counts, then one product
+        if n:
+            out[i] = _PROJECTION @ np.bincount(slot[at : at + n], minlength=FEATURES) / np.sqrt(n)
+        at += n
     return out
 
 
@@ -78,61 +78,56 @@ def curve_keys(texts: list[str], doc_ids: np.ndarray) -> np.ndarray:
     return (hilbert(cells) << 33) | (mix(doc_ids.astype(np.int64).view(np.uint64)) >> U64(31)).astype(np.int64)
 
 
-class _Memory(dict):
-    """A dictionary that encodes what it lacks, of two generations so that its size is bounded."""
-
-    MOST = 800_000
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.old = encode, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.MOST:
-            self.old = dict(self)
-            self.clear()
-        found = self.old.get(word)
-        if found is None:
-            found = self.encode(word)
-        self[word] = found
-        return found
-
-
 class Words:
     """Token ids of texts as the tokenizers library gives them, through a bounded memory of encoded words.
 
     A byte-level pre-tokenizer never joins what a single space or line feed parts, so a text of single gaps is encoded
-    word by word, each with the space before it. Texts with other gaps or special strings go to the library whole, and
-    so does every text if the tokenizer file has another normaliser or pre-tokenizer.
+    word by word, each with the gap before it; a slice's new words go to the library in one batch. Texts with other gaps
+    or special strings go to the library whole, and so does every text if the tokenizer file has another normaliser or
+    pre-tokenizer.
     """
 
+    #: Words of a generation of the memory.
+    MOST = 700_000
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         own = self.tokenizer = Tokenizer.from_file(path)
-        special = "".join("|" + re.escape(t.content) for t in own.get_added_tokens_decoder().values())
-        self.whole = re.compile(rf"\s\s|[^\S \n]{special}").search
+        special = "|".join(re.escape(t.content) for t in own.get_added_tokens_decoder().values())
+        self.special = re.compile(special).search if special else lambda _: None
         known = json.loads(own.to_str())
-        if known["normalizer"] is not None or known["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
-            self.whole = lambda _: True
+        self.by_word = known["normalizer"] is None and known["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         if own.get_vocab_size() > 1 << 16:
             raise ValueError("ids are held in 16 bits")
-        ids = lambda w: np.array(own.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
-        self.ids, self.feed = ids, ids("\n")
-        self.bare, self.spaced = _Memory(ids), _Memory(lambda w: ids(" " + w))
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 16-bit ids."""
-        if self.whole(text):
-            return self.ids(text)
-        parts = []
+        self.memory = Memory(self._fill, self.MOST)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fill(self, keys: list[str]) -> list[bytes]:
+        """Keys: a text's first word after a carriage return, a line's first word after its line feed, others bare."""
+        return self._library([k[1:] if k[0] == "\r" else k if k[0] == "\n" else " " + k for k in keys])
+
+    def _split(self, text: str) -> list[str] | None:
+        """The keys of a text; None where it has to go to the library whole."""
+        keys, before = [], "\r"
         for line in text.split("\n"):
-            words = line.split(" ")
-            parts.append(self.bare[words[0]])
-            parts += map(self.spaced.__getitem__, words[1:])
-            parts.append(self.feed)
-        return b"".join(parts[:-1])
+            words = line.split()
+            if not words or " ".join(words) != line:
+                return None
+            words[0] = before + words[0]
+            keys += words
+            before = "\n"
+        return None if self.special(text) else keys
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 16-bit ids of each text."""
+        keys = [self._split(t) if self.by_word else None for t in texts]
+        known = iter(self.memory.of([k for k in keys if k is not None]))
+        whole = iter(self._library([t for t, k in zip(texts, keys) if k is None]))
+        return [next(whole) if k is None else b"".join(next(known)) for k in keys]
 
 
 _words: dict[str, Words] = {}
@@ -158,7 +153,7 @@ def _encoded(path: str, bounds: np.ndarray, end: int):
             texts, ids = texts_of(batch.column("text")), batch.column("doc_id")
             key = curve_keys(texts, ids_of(ids))
             part = np.searchsorted(bounds, key, "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(part), pa.array(key), pa.array([encode(t) + stop for t in texts], pa.binary())], names=["doc_id", "part", "key", "ids"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(part), pa.array(key), pa.array([e + stop for e in encode(texts)], pa.binary())], names=["doc_id", "part", "key", "ids"])
 
     return run
 
@@ -225,6 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, length: int = 1024) -> D
     keys; they only deal the work, every document is packed.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select("doc_id", "text")
     n = partitions(spark)
     keys = written(source.mapInArrow(_keys, "key long"), "keys")

@@ -71,7 +71,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bibloom.llm import sentencepiece_backend as backend
 
     docs, model = table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")
-    decoded = backend.decode(backend.encode(docs, model), model)
+    decoded = backend.round_trip(docs, model)
     return decoded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "parity")
 
 
