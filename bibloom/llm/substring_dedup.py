@@ -8,21 +8,27 @@ whole table, the earliest ranked occurrence (least doc_id, then place) stays. A
 an earlier occurrence goes if it has RUN_WORDS words, or fills whole lines; units too short to be looked up go with a
 run they stand inside. Removed spans keep their character offsets in the original text.
 
-Null text counts as empty; empty texts have no unit. Ties: rows of equal doc_id count as one document. Long texts are
-read whole. Other columns are carried along where a whole table is asked for.
+Null text stays null and has no unit, and so do empty texts; an empty table gives no rows. Ties: rows of equal doc_id
+count as one document, so that a repeated row keeps what its first one keeps; rows without doc_id lose only repeats
+within their own text. Very long texts are read whole, one at a time. Other columns, whatever their names, are carried
+along as they are where a whole table is asked for.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import sliced, texts_of, written
+from bibloom.llm.common import bounded_batches, sliced, texts_of, written
 
 #: Words of a unit that is looked up; words of a removed run that does not fill its lines.
 UNIT_WORDS, RUN_WORDS = 4, 20
@@ -41,15 +47,23 @@ def _words(tokens: list[str]) -> int:
     return max(len(tokens), unspaced, len(joined) // WORD_CHARS)
 
 
-def _digest(tokens: list[str], kind: bytes = b"") -> int:
-    return int.from_bytes(hashlib.blake2b(" ".join(tokens).encode("utf-8", "surrogatepass"), digest_size=16, person=kind).digest(), "little") | 1
+def _digest(tokens: list[str], kind: bytes = b"") -> bytes:
+    return hashlib.blake2b(" ".join(tokens).encode("utf-8", "surrogatepass"), digest_size=16, person=kind).digest()
 
 
-def units(text: str) -> list[tuple[int, int, int, int, int, int]]:
+class Rule(NamedTuple):
+    """What is looked up and what goes. Rule(1, 1, 1) looks up every unit and removes every repeat."""
+
+    unit_words: int = UNIT_WORDS
+    run_words: int = RUN_WORDS
+    line_chars: int = LINE_CHARS
+
+
+def units(text: str, rule: Rule = Rule()) -> list[tuple[int, int, int, int, bytes, bytes]]:
     """(start, end, line, words, digest, whole) of each unit.
 
-    digest 0: too short to be looked up. whole: the digest of its line where the line has several units and one of
-    them is too short, else 0.
+    digest empty: too short to be looked up. whole: the digest of its line where the line has several units and one of
+    them is too short, else empty.
     """
     out, base = [], 0
     for line, body in enumerate(text.split("\n")):
@@ -60,23 +74,20 @@ def units(text: str) -> list[tuple[int, int, int, int, int, int]]:
                 end = at + 1
             words = body[at:end].lower().split()
             if words:
-                own.append((base + at, base + end, words))
+                own.append((base + at, base + end, _words(words), words))
                 tokens += words
             at = end
-        looked_up = len(" ".join(tokens)) >= LINE_CHARS
-        digests = []
-        for _, _, words in own:
-            long = _words(words) >= UNIT_WORDS or len(own) == 1 and looked_up
-            digests.append(_digest(words) if long else 0)
-        whole = _digest(tokens, b"line") if len(own) > 1 and looked_up and not all(digests) else 0
-        out += [(a, b, line, _words(words), d, whole) for (a, b, words), d in zip(own, digests)]
+        looked_up = len(" ".join(tokens)) >= rule.line_chars
+        digests = [_digest(words) if n >= rule.unit_words or len(own) == 1 and looked_up else b"" for _, _, n, words in own]
+        whole = _digest(tokens, b"line") if len(own) > 1 and looked_up and not all(digests) else b""
+        out += [(a, b, line, n, d, whole) for (a, b, n, _), d in zip(own, digests)]
         base += len(body) + 1
     return out
 
 
-def removed(text: str, later: set[int]) -> list[tuple[int, int]]:
+def removed(text: str, later: set[bytes], rule: Rule = Rule()) -> list[tuple[int, int]]:
     """Spans of text to remove. later: digests whose earliest occurrence is in an earlier document."""
-    own, seen = units(text), set()
+    own, seen = units(text, rule), set()
     again, line = [], -1
     for *_, at, _, digest, whole in own:
         if at != line:  # the line as a whole
@@ -93,7 +104,7 @@ def removed(text: str, later: set[int]) -> list[tuple[int, int]]:
         while j < len(own) and (again[j] or not own[j][4]):
             last, j = (j if again[j] else last), j + 1
         words = sum(u[3] for u in own[k : last + 1])
-        if words >= RUN_WORDS:
+        if words >= rule.run_words:
             spans.append((own[k][0], own[last][1]))
         else:  # whole lines inside the run
             for line in range(own[k][2], own[last][2] + 1):
@@ -118,22 +129,35 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(parts)
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, "text"):
-        ids, high, low = [], [], []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
-            for d in {d for u in units(text) for d in u[4:]} - {0}:
-                ids.append(doc)
-                high.append((d >> 64) - (1 << 63))
-                low.append((d & (1 << 64) - 1) - (1 << 63))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], names=["doc_id", "high", "low"])
+def _occurrences(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 1 << 20):
+            ids, found = [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
+                own = {d for u in units(text, rule) for d in u[4:]} - {b""}
+                ids += [doc] * len(own)
+                found += own
+            high, low = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(high), pa.array(low)], names=["doc_id", "high", "low"])
+
+    return run
+
+
+def _sets(later: pa.ListArray) -> Iterator[set[bytes]]:
+    """The digests of each row of a list of (high, low)."""
+    pairs = later.flatten()
+    raw = np.stack([pairs.field(k).to_numpy().astype("<i8") for k in (0, 1)], 1).tobytes()
+    at = 0
+    for n in pc.fill_null(pc.list_value_length(later), 0).to_pylist():
+        yield {raw[k : k + 16] for k in range(at, at + 16 * n, 16)}
+        at += 16 * n
 
 
-def _rewrite(keep: list[str], with_spans: bool):
+def _rewrite(keep: list[str], later: str, rule: Rule, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            old, later = batch.column("text").to_pylist(), batch.column("later").to_pylist()
-            spans = [removed(t or "", {((d["high"] + (1 << 63)) << 64) | (d["low"] + (1 << 63)) for d in x or ()}) for t, x in zip(old, later)]
+        for batch in sliced(batches, "text", 1 << 20):
+            old = batch.column("text").to_pylist()
+            spans = [removed(t or "", x, rule) for t, x in zip(old, _sets(batch.column(later)))]
             new = pa.array([None if t is None else without(t, s) for t, s in zip(old, spans)], pa.string())
             arrays = [new if c == "text" else batch.column(c) for c in keep]
             if with_spans:
@@ -144,22 +168,28 @@ def _rewrite(keep: list[str], with_spans: bool):
     return run
 
 
-def _with_later(docs: DataFrame) -> DataFrame:
-    """docs and the digests of each document that an earlier one holds."""
-    seen = written(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_occurrences, "doc_id long, high long, low long"), "units")
+def _with_later(docs: DataFrame, rule: Rule) -> tuple[DataFrame, str]:
+    """docs and the digests of each document that an earlier one holds, in a column of the name returned.
+
+    Copies of a unit are reduced to their least doc_id on the map side; what is later is found by a sort-merge join that
+    Spark splits where a digest is common.
+    """
+    bounded_batches(docs.sparkSession)
+    name, id_ = f"later_{uuid.uuid4().hex}", f"id_{uuid.uuid4().hex}"
+    seen = written(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_occurrences(rule), "doc_id long, high long, low long"), "units")
     first = seen.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("high", "low", "first")
-    later = seen.join(first, ["high", "low"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("high", "low")).alias("later"))
-    later = written(later, "later").withColumnRenamed("doc_id", "_doc_id")
-    return docs.join(later.hint("shuffle_hash"), docs["doc_id"] == later["_doc_id"], "left").drop("_doc_id")
+    later = seen.join(first, ["high", "low"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("high", "low")).alias(name))
+    later = written(later, "later").withColumnRenamed("doc_id", id_)
+    return docs.join(later, docs["doc_id"] == later[id_], "left").drop(id_), name
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, text, removed, n_removed) for each row of docs: text without its repeats, removed as spans [start, end) of the original."""
-    found = _with_later(docs.select("doc_id", "text"))
-    return found.mapInArrow(_rewrite(["doc_id", "text"], True), "doc_id long, text string, removed array<struct<start:long,end:long>>, n_removed long")
+    found, later = _with_later(docs.select("doc_id", "text"), rule)
+    return found.mapInArrow(_rewrite(["doc_id", "text"], later, rule, True), "doc_id long, text string, removed array<struct<start:long,end:long>>, n_removed long")
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """All rows and columns of docs, text without its repeats."""
-    found = _with_later(docs)
-    return found.mapInArrow(_rewrite(docs.columns, False), docs.schema)
+    found, later = _with_later(docs, rule)
+    return found.mapInArrow(_rewrite(docs.columns, later, rule, False), docs.schema)

@@ -356,3 +356,31 @@ def test_pipeline_stages(spark):
         assert name == "packing" or out.columns == docs.columns
         docs = out
     assert docs.count() > 0
+
+
+def substring_brute_force(rows, rule):
+    """Texts without their repeats by plain loops over all earlier units, in order of doc_id."""
+    out, held = {}, set()
+    for d, text in sorted(rows, key=lambda r: r[0]):
+        own = substring_dedup.units(text or "", rule)
+        out[d] = text if text is None else substring_dedup.without(text, substring_dedup.removed(text, held, rule))
+        held |= {x for u in own for x in u[4:] if x}
+    return out
+
+
+@pytest.mark.parametrize("rule", [substring_dedup.Rule(), substring_dedup.Rule(1, 1, 1)])
+def test_substring_dedup_equals_plain_loops(spark, rule):
+    rng = random.Random(8)
+    sentences = [prose(rng.randint(1, 25), 300 + k).capitalize() + "." for k in range(40)]
+    rows = [(k, rng.choice(" \n").join(rng.choice(sentences) for _ in range(rng.randint(0, 12)))) for k in range(80)] + [(200, None), (201, "x" * 300_000 + ". " + sentences[0])]
+    docs = spark.createDataFrame([(d, t, "a", 1) for d, t in rows], "doc_id long, text string, later string, _doc_id long").repartition(4)
+    want = substring_brute_force(rows, rule)
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.dedup(docs, rule).collect()} == want
+    whole = substring_dedup.cleaned(docs, rule)
+    assert whole.columns == docs.columns and {r["doc_id"]: (r["text"], r["later"], r["_doc_id"]) for r in whole.collect()} == {d: (t, "a", 1) for d, t in want.items()}
+
+
+def test_substring_rule_without_cuts_removes_every_repeat(spark):
+    docs = spark.createDataFrame([(1, "A b. Long own text. Yes."), (2, "My own. A b. Yes. Other.")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(docs, substring_dedup.Rule(1, 1, 1)).collect()}
+    assert got == {1: "A b. Long own text. Yes.", 2: "My own. Other."}
