@@ -3,15 +3,16 @@
 Bytes are embedded, filters of several widths slide over fixed-length windows in steps of STRIDE bytes, each filter's
 maximum over a window feeds a softmax. The network is trained in numpy on a bounded sample of labelled rows (SAMPLE
 rows, those with the least hash of doc_id) and applied to all windows of every text; a text's score is the softmax of
-the mean of its windows' logits, weighted by their bytes.
+the mean of its windows' logits, weighted by their bytes. One more output learns noise, windows whose bytes are in
+random order; it takes no part in the scores of languages and serves to reject texts.
 
 Null text and text without a letter give `und` with score 0. Without any labelled row everything is `und`. Only text
-is an input of a prediction. Repeated rows get equal results. Other columns are not read.
+is an input of a prediction. Repeated rows get equal results. Very long texts are read whole. An empty table gives no
+rows. Other columns, whatever their names, are not read by `predict` and stay as they are in `accepted`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import sliced, texts_of
+from bibloom.llm.common import bounded_batches, sliced, texts_of
 
 #: Labelled rows that the network is fitted on, at most; windows taken from each.
 SAMPLE, CROPS = 2000, 4
 WINDOW, STRIDE, EMBED, WIDTHS, FILTERS = 128, 2, 8, (2, 4, 6), 16
 EPOCHS, BATCH, RATE = 6, 64, 0.004
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
+#: Share of the windows that are learnt a second time with their bytes in random order, as noise.
+NOISE = 0.25
+#: By how much the logit of noise must lead for a text to be rejected, so that short texts stay.
+MARGIN = 1.0
 
 
 def _cut(data: np.ndarray) -> np.ndarray:
@@ -47,8 +51,8 @@ class Network:
         self.mask = np.concatenate([np.repeat(np.arange(wide) < w, EMBED)[:, None].repeat(FILTERS, 1) for w in WIDTHS], 1).astype(np.float32)
         self.filters = (rng.normal(0, 0.3, self.mask.shape) * self.mask).astype(np.float32)
         self.bias = np.zeros(self.mask.shape[1], np.float32)
-        self.dense = rng.normal(0, 0.1, (self.mask.shape[1], len(classes))).astype(np.float32)
-        self.offset = np.zeros(len(classes), np.float32)
+        self.dense = rng.normal(0, 0.1, (self.mask.shape[1], len(classes) + 1)).astype(np.float32)  # the last one: noise
+        self.offset = np.zeros(len(classes) + 1, np.float32)
 
     def _columns(self, windows: np.ndarray) -> np.ndarray:
         """(n * positions, widest * EMBED): the embedded bytes that each filter position sees."""
@@ -98,23 +102,33 @@ class Network:
                     setattr(self, k, (getattr(self, k) - move).astype(np.float32))
         return self
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        some = [i for i, t in enumerate(texts) if _LETTER(t)]
+    def scores(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The places of texts with a letter, their probabilities of the classes, and whether noise leads all by MARGIN."""
+        some = [i for i, t in enumerate(texts) if any(c.isalpha() for c in t)]
         if not some or not self.classes:
-            return names, scores
+            return [], np.zeros((0, len(self.classes))), np.zeros(0, bool)
         cut = [_cut(np.frombuffer(texts[i].encode("utf-8", "surrogatepass"), np.uint8)) for i in some]
         windows = np.concatenate(cut)
         weight = np.maximum((windows != 0).sum(1), 1).astype(np.float32)[:, None]
         start = np.concatenate(([0], np.cumsum([len(c) for c in cut])[:-1]))
         z = np.add.reduceat(self.logits(windows) * weight, start) / np.add.reduceat(weight, start)
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        for i, row in zip(some, p):
+        p = np.exp(z[:, :-1] - z[:, :-1].max(1, keepdims=True))
+        return some, p / p.sum(1, keepdims=True), z[:, -1] > z[:, :-1].max(1) + MARGIN
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        for i, row in zip(*self.scores(texts)[:2]):
             k = int(row.argmax())
             names[i], scores[i] = self.classes[k], min(1.0, float(row[k]))
         return names, scores
 
+    def accepts(self, texts: list[str], least: float) -> list[bool]:
+        """Whether a text is likelier of a language than noise, and its score that share of the way from chance to certainty."""
+        out, chance = [False] * len(texts), 1 / max(1, len(self.classes))
+        for i, row, noise in zip(*self.scores(texts)):
+            out[i] = not noise and bool(row.max() >= chance + least * (1 - chance))
+        return out
+
 
 def train(texts: list[str], langs: list[str], seed: int = 3) -> Network:
     """A network fitted on windows cut at random places, some of them shortened so that short texts are known too."""
@@ -127,6 +141,9 @@ def train(texts: list[str], langs: list[str], seed: int = 3) -> Network:
             part = data[at : at + (WINDOW if rng.random() < 0.5 else int(rng.integers(8, WINDOW)))]
             windows.append(_cut(part)[0])
             labels.append(classes.index(lang))
+            if rng.random() < NOISE:
+                windows.append(_cut(rng.permutation(part))[0])
+                labels.append(len(classes))
     net = Network(classes)
     return net.fit(np.array(windows), np.array(labels)) if windows and len(classes) else net
 
@@ -137,14 +154,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network from at most `sample` labelled rows that are not held out, those with the least hash of doc_id."""
+    """A network from at most `sample` labelled rows that are not held out, those with the least hash of doc_id.
+
+    The rows are ranked by hash and id alone; only the texts of those chosen come to the driver.
+    """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample).collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    rank = F.xxhash64("doc_id").alias("h")
+    least = rows.select(rank, "doc_id").orderBy("h", "doc_id").limit(sample).distinct()
+    chosen = rows.select(rank, "doc_id", "lang", "text").join(F.broadcast(least), ["h", "doc_id"]).collect()  # `sample` ids
+    chosen = sorted((r["h"], r["doc_id"], r["lang"], r["text"]) for r in chosen)[:sample]
+    return train([r[3] for r in chosen], [r[2] for r in chosen])
 
 
 def predict(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of docs."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 20):
@@ -154,12 +178,12 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, net: Network, least: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns as they were, whose text has a language of score `least` or more."""
+def accepted(docs: DataFrame, net: Network, least: float = 0.05) -> DataFrame:
+    """The rows of docs, all columns as they were, whose text has a language: see Network.accepts."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 20):
-            names, scores = net.predict(texts_of(batch.column("text")))
-            yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], pa.bool_()))
+            yield batch.filter(pa.array(net.accepts(texts_of(batch.column("text")), least), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
