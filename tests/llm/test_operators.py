@@ -327,11 +327,13 @@ def line_brute_force(rows):
     return linked_components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
 
 
-@pytest.mark.parametrize("anchored", [None, "^(?=(.{1,12}))"])
-def test_line_dedup_compares_whole_buckets(spark, monkeypatch, anchored):
-    if anchored:  # every line in one bucket
-        monkeypatch.setattr(line_dedup, "ANCHORED", anchored)
-        monkeypatch.setattr(line_dedup, "BLOCK", 8, raising=False)
+@pytest.mark.parametrize("one_bucket", [False, True])
+def test_line_dedup_compares_whole_buckets(spark, monkeypatch, one_bucket):
+    if one_bucket:  # the begin of a line is its only shingle
+        own = line_dedup.shingled
+        monkeypatch.setattr(line_dedup, "shingled", lambda *a: own(*a).where("at = 1"))
+        monkeypatch.setattr(line_dedup, "BLOCK", 8)
+        monkeypatch.setattr(line_dedup, "PIVOTS", 2)
     rng = random.Random(4)
     paths = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=90)) for _ in range(40)]
     rows = list(enumerate("https://example.org/archive/" + p + end for end in ("a", "b") for p in paths))
@@ -341,6 +343,33 @@ def test_line_dedup_compares_whole_buckets(spark, monkeypatch, anchored):
     assert [got[k] for k, _ in rows] == line_brute_force(rows)
 
 
+def test_line_dedup_of_odd_lines(spark):
+    rows = [(1, "春 天      来"), (2, "春 天        来"), (3, "夏天          "), (4, "=" * 30 + "\n" + "=" * 120), (5, "\t" * 12), (6, "x" * 100_000), (7, "x" * 100_000 + "\r"), (8, "añb çd éf gh ij kl mn\nanb cd ef gh ij kl mn"), (8, "añb çd éf gh ij kl mn\nanb cd ef gh ij kl mn")]
+    docs = spark.createDataFrame([(d, t, "g", 1) for d, t in rows], "doc_id long, text string, _gone string, gone int")
+    got = {(r["doc_id"], r["line"]): (r["kept_doc_id"], r["kept_line"]) for r in line_dedup.fuzzy_lines(docs, 1).collect()}
+    assert got[2, 0] == (1, 0) and got[4, 1] == (4, 0) and got[7, 0] == (6, 0) and got[8, 0] == (8, 0) and got[8, 1] == (8, 1) and got[3, 0] == (3, 0)
+    out = line_dedup.cleaned(docs)
+    assert out.columns == docs.columns and out.count() == len(rows) and {r["_gone"] for r in out.collect()} == {"g"}
+
+
+def test_line_dedup_recall(spark):
+    """Pairs of lines just over the threshold, by edits of characters and of words, against all pairs."""
+    rng, rows = random.Random(12), []
+    for k in range(150):
+        line = prose(rng.randint(12, 60), 500 + k)
+        chars = list(line)
+        for _ in range(len(chars) // 50):
+            chars[rng.randrange(len(chars))] = rng.choice("abcdefgh")
+        rows += [line, "".join(chars), edited(line, max(1, len(line.split()) // 12), k)]
+    rows = list(enumerate(rows))
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["kept_doc_id"] for r in line_dedup.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = linked_components(len(rows), links)
+    assert all(want[k] == want[got[k]] for k, _ in rows)  # nothing is linked that should not be
+    assert len(links) > 150 and sum(got[a] == got[b] for a, b in links) >= 0.95 * len(links)
+
+
 @pytest.mark.parametrize("run", [near_dedup.near_duplicates, exact_dedup.dedup, line_dedup.fuzzy_lines, substring_dedup.dedup, lambda d: packing.pack(d, vocabulary("byte_bpe_50k.json"))])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
@@ -384,3 +413,26 @@ def test_substring_rule_without_cuts_removes_every_repeat(spark):
     docs = spark.createDataFrame([(1, "A b. Long own text. Yes."), (2, "My own. A b. Yes. Other.")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(docs, substring_dedup.Rule(1, 1, 1)).collect()}
     assert got == {1: "A b. Long own text. Yes.", 2: "My own. Other."}
+
+
+def test_language_rejects_noise_and_keeps_short_texts(spark):
+    rng = random.Random(6)
+    sounds = {"xa": ["the", "and", "ing", "tion", "er"], "yb": ["der", "und", "sch", "keit", "ein"], "zc": ["que", "les", "eau", "ment", "oir"]}
+    text = lambda lang, n: " ".join("".join(rng.choices(sounds[lang], k=2)) for _ in range(n))
+    rows = [(k, text(lang, rng.randint(4, 80)), lang, "n") for k in range(900) for lang in [list(sounds)[k % 3]]]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)) for _ in range(20)] + ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(80)) for _ in range(20)]
+    rows += [(1000 + k, t, None, "n") for k, t in enumerate(noise)] + [(2000 + k, text(lang, 4), None, "n") for k, lang in enumerate(list(sounds) * 10)]
+    rows += [(3000, "½ ²", None, "n"), (3001, "①", None, "n"), (3002, None, None, "n"), (3003, "", None, "n"), (3004, text("xa", 30_000), None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string")
+    net = language.fit(docs)
+    out = language.accepted(docs, net)
+    kept = {r["doc_id"] for r in out.collect()}
+    assert out.columns == docs.columns and not any(1000 <= k < 1040 for k in kept) and not any(3000 <= k < 3004 for k in kept) and 3004 in kept
+    assert sum(k < 1000 for k in kept) >= 890 and sum(2000 <= k < 2030 for k in kept) >= 28
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, net).collect()}
+    assert got[3000] == got[3001] == got[3002] == got[3003] == "und" and got[3004] == "xa"
+
+
+def test_language_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k % 50, "the and " * (k + 1), "xa") for k in range(200)], "doc_id long, text string, lang string")
+    assert language.fit(docs, 20).classes == ["xa"] and language.fit(docs, 20).dense.shape[1] == 2
