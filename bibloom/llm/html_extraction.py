@@ -1,18 +1,23 @@
 """Main text of web pages by markup and a suffix array over each host.
 
-A page is read into blocks of words with the place they stand in (article, furniture or neither). The word streams of a
-host's pages are laid end to end, and a suffix array over the first REACH words of every suffix finds the runs of
-words that distinct pages repeat. A block that such runs cover is boilerplate. Blocks inside menus, headers, footers,
-side bars, notices, adverts, forms and reader comments never count as text. Inside an article a block counts as
-boilerplate only if WIDE of the pages it is compared with repeat it, so that copied articles stay; outside, if REPEATS
-pages do. Where a page marks up an article, only blocks inside it are kept. Pages whose kept blocks are all equal are
-copies and count as one page, so that copies never make each other boilerplate.
-
-Pages of one host are dealt into chunks of about CHUNK_BYTES of blocks, copies into the same chunk, so a host of any
-size is worked on in bounded pieces. A run of LEAST words or more goes over k pages just if each LEAST words of it do;
-so the chunks of a large host count, for every LEAST words in a row, the distinct pages that hold them, the counts are
-summed over the host, and each chunk decides by the host's sums what the suffix array decides on a small host. Null html is empty, null url is a host of its own. Broken markup is read to its end,
-an article start closes what was left open. Copies of a page get equal text. Other columns are not read.
+A page is read into blocks of words with the place they stand in (article, furniture or neither). Blocks inside menus,
+headers, footers, side bars, notices, adverts, forms and reader comments never count as text. Where a page marks up an
+article, what stands in it is kept, and of that a block goes only if WIDE of the host's marked pages hold the same
+block, so that copied articles and their passages stay. Pages without such markup are decided by the suffix array:
+the word streams of a host's unmarked pages are laid end to end, a suffix array over the first REACH words of every
+suffix finds the runs of words that REPEATS distinct pages hold, blocks that such runs cover are boilerplate, and what
+is left is the text. Pages whose kept blocks are all equal are copies and count as one page in both, so that copies never
+make each other boilerplate.
+
+Unmarked pages of one host are dealt into chunks of about CHUNK_BYTES of blocks, copies into the same chunk, so a host of
+any size is worked on in bounded pieces. A run of LEAST words or more goes over k pages just if each LEAST words of it
+do; so the chunks of a large host count, for every LEAST words in a row, the distinct pages that hold them, the counts
+are summed over the host, and each chunk decides by the host's sums what the suffix array decides on a small host: the
+number of chunks does not change a result.
+
+Null html is empty and has an empty text, null url is a host of its own, an empty table gives no rows. Broken markup is
+read to its end, an article start closes what was left open. Very long pages are read whole. Copies of a page and
+repeated rows get equal text. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import MULTIPLIER, U64, groups, mix, partitions, sliced, written
+from bibloom.llm.common import MULTIPLIER, U64, bounded_batches, groups, mix, partitions, sliced, written
 
 #: Words of a suffix that are sorted (a power of two), least words of a repeated run (block ends count as words).
 REACH, LEAST = 16, 3
-#: Distinct pages that make a run outside articles boilerplate; least pages and their share inside an article.
+#: Distinct pages that make a run of unmarked pages boilerplate; least pages that make a block of an article so, and their share.
 REPEATS, WIDE_PAGES, WIDE = 3, 8, 0.5
 CHUNK_BYTES = 2 << 20
 #: Hosts of several chunks whose sizes are broadcast, at most.
@@ -129,16 +134,21 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def bodies_of(read: list[list[tuple[int, str]]]) -> list[int]:
-    """For each page of blocks the number of its body, equal for copies: the texts that markup lets stay."""
+def bodies_of(pages: list[list[str]]) -> list[int]:
+    """For each page of kept texts the number of its body, equal for copies."""
     known: dict[tuple[str, ...], int] = {}
-    return [known.setdefault(tuple(t for place, t in r if place == _kept_place(r)), len(known)) for r in read]
+    return [known.setdefault(tuple(p), len(known)) for p in pages]
 
 
 def _kept_place(read: list[tuple[int, str]]) -> int:
     return INSIDE if any(place == INSIDE for place, _ in read) else OUTSIDE
 
 
+def kept(read: list[tuple[int, str]]) -> list[str]:
+    """The texts that markup lets stay, of the blocks of a page."""
+    return [t for place, t in read if place == _kept_place(read)]
+
+
 def wide_limit(n_bodies: int) -> int:
     return max(WIDE_PAGES, int(np.ceil(WIDE * n_bodies)))
 
@@ -146,8 +156,8 @@ def wide_limit(n_bodies: int) -> int:
 def repeated(pages: list[list[str]], bodies: list[int], least: int = LEAST) -> list[np.ndarray]:
     """For each block of each page, over how many distinct pages at least its repeated runs go.
 
-    pages: the blocks' texts of each page; pages of one body count once. A block's count is the largest k of 1, REPEATS and the wide count such
-    that every word of the block lies in a run of `least` words or more that k distinct pages hold.
+    pages: the blocks' texts of each page; pages of one body count once. A block's count is REPEATS if every word of the
+    block lies in a run of `least` words or more that as many distinct pages hold, else 1.
     """
     words: dict[str, int] = {}
     stream, page_of, block_of, n_blocks = [], [], [], 0
@@ -162,7 +172,6 @@ def repeated(pages: list[list[str]], bodies: list[int], least: int = LEAST) -> l
         block_of += [n_blocks, n_blocks]
         page_of += [bodies[p]] * 2
     count = np.ones(n_blocks + 1, np.int64)
-    wide = wide_limit(len(set(bodies)))
     if len(pages) >= 2 and stream:
         s, page = np.array(stream, np.int64), np.array(page_of)
         n = len(s)
@@ -186,14 +195,13 @@ def repeated(pages: list[list[str]], bodies: list[int], least: int = LEAST) -> l
             right[same] += size
         common = np.minimum(common, REACH)
         block = np.array(block_of)
-        for k in sorted({REPEATS, wide}):
-            reach_of = _shared(order, common, page, k, least)
-            covered = np.zeros(n + 1, np.int64)
-            hit = reach_of > 0
-            np.add.at(covered, np.flatnonzero(hit), 1)
-            np.add.at(covered, np.flatnonzero(hit) + reach_of[hit], -1)
-            bare = np.bincount(block, weights=(np.cumsum(covered)[:n] == 0) & (s > 1), minlength=n_blocks + 1)
-            count[bare[: n_blocks + 1] == 0] = k
+        reach_of = _shared(order, common, page, REPEATS, least)
+        covered = np.zeros(n + 1, np.int64)
+        hit = reach_of > 0
+        np.add.at(covered, np.flatnonzero(hit), 1)
+        np.add.at(covered, np.flatnonzero(hit) + reach_of[hit], -1)
+        bare = np.bincount(block, weights=(np.cumsum(covered)[:n] == 0) & (s > 1), minlength=n_blocks + 1)
+        count[bare[: n_blocks + 1] == 0] = REPEATS
     out, at = [], 0
     for texts in pages:
         out.append(count[at : at + len(texts)])
@@ -262,112 +270,108 @@ def gram_counts(pages: list[list[str]], bodies: list[int]) -> tuple[np.ndarray,
     return known, np.bincount(np.unique(place * wide + body) // wide, minlength=len(known))
 
 
-def repeated_on_host(pages: list[list[str]], hot: np.ndarray, count: np.ndarray, wide: int) -> list[np.ndarray]:
-    """What `repeated` gives, by the sums of a host: count pages of it hold the gram hot (sorted)."""
+def repeated_on_host(pages: list[list[str]], hot: np.ndarray) -> list[np.ndarray]:
+    """What `repeated` gives, by the sums of a host: REPEATS pages of it hold the grams hot (sorted)."""
     gram, at, page, block = grams(pages)
     n_blocks = sum(len(texts) for texts in pages)
     out = np.ones(n_blocks, np.int64)
-    place = np.searchsorted(hot, gram)
-    held = np.zeros(len(gram), np.int64)
-    fits = place < len(hot)
-    fits[fits] = hot[place[fits]] == gram[fits]
-    held[fits] = count[place[fits]]
-    for k in sorted({REPEATS, wide}):
-        covered = np.zeros(len(page), bool)
-        for j in range(LEAST):
-            covered[at[held >= k] + j] = True
-        bare = np.bincount(block[block >= 0], weights=~covered[block >= 0], minlength=n_blocks)
-        out[bare == 0] = k
+    covered = np.zeros(len(page), bool)
+    for j in range(LEAST):
+        covered[at[np.isin(gram, hot)] + j] = True
+    bare = np.bincount(block[block >= 0], weights=~covered[block >= 0], minlength=n_blocks)
+    out[bare == 0] = REPEATS
     return np.split(out, np.cumsum([len(texts) for texts in pages])[:-1])
 
 
-def _texts(read: list[list[tuple[int, str]]], counts: list[np.ndarray], wide: int) -> list[str]:
-    out = []
-    for own, count in zip(read, counts):
-        keep = _kept_place(own)
-        limit = wide if keep == INSIDE else REPEATS
-        out.append("\n\n".join(t for (place, t), c in zip(own, count.tolist()) if place == keep and c < limit))
-    return out
-
-
-def extract_chunk(pages: list[str]) -> list[str]:
-    """Main text of each page of a host that is one chunk."""
-    return _host_texts([blocks(p) for p in pages])
-
-
-def _host_texts(read: list[list[tuple[int, str]]]) -> list[str]:
-    bodies = bodies_of(read)
-    return _texts(read, repeated([[t for _, t in r] for r in read], bodies), wide_limit(len(set(bodies))))
+def _texts(pages: list[list[str]], counts: list[np.ndarray]) -> list[str]:
+    return ["\n\n".join(t for t, c in zip(own, count.tolist()) if c < REPEATS) for own, count in zip(pages, counts)]
 
 
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, host, body, places, texts) of pages; body is a digest of the texts that markup lets stay."""
+    """(page_id, url, host, body, marked, texts) of pages: the texts that markup lets stay, a line each, and their digest."""
     for batch in sliced(batches, "html"):
         read = [blocks(p) for p in batch.column("html").to_pylist()]
-        kept = ["\n".join(t for place, t in r if place == _kept_place(r)) for r in read]
-        body = [int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in kept]
-        columns = [pa.array(body, pa.int64()), pa.array([bytes(place for place, _ in r) for r in read], pa.binary()), pa.array(["\n".join(t for _, t in r) for r in read], pa.string())]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "url", "host")] + columns, names=["page_id", "url", "host", "body", "places", "texts"])
+        texts = ["\n".join(kept(r)) for r in read]
+        body = [int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in texts]
+        columns = [pa.array(body, pa.int64()), pa.array([_kept_place(r) == INSIDE for r in read], pa.bool_()), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "url", "host")] + columns, names=["page_id", "url", "host", "body", "marked", "texts"])
 
 
-def _read_of(table: pa.Table) -> list[list[tuple[int, str]]]:
-    return [list(zip(p, t.split("\n"))) if p else [] for p, t in zip(table.column("places").to_pylist(), table.column("texts").to_pylist())]
+def _pages_of(table: pa.Table) -> list[list[str]]:
+    return [t.split("\n") if t else [] for t in table.column("texts").to_pylist()]
 
 
-def _pages(table: pa.Table, texts: list[str]) -> pa.RecordBatch:
+def _result(table: pa.Table, texts: list[str]) -> pa.RecordBatch:
     ids, urls = (table.column(c).combine_chunks() for c in ("page_id", "url"))
     return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages of hosts of one chunk."""
+    for table in groups(batches, "chunk"):
+        pages = _pages_of(table)
+        yield _result(table, _texts(pages, repeated(pages, bodies_of(pages))))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, chunk, gram, n) of each chunk; gram null has the chunk's bodies."""
+    """(host, chunk, gram, n) of each chunk."""
     for table in groups(batches, "chunk"):
-        read = _read_of(table)
-        bodies = bodies_of(read)
-        gram, n = gram_counts([[t for _, t in r] for r in read], bodies)
-        host, chunk, size = table.column("host")[0].as_py(), table.column("chunk")[0].as_py(), len(gram) + 1
-        arrays = [pa.array([host] * size, pa.string()), pa.array(np.full(size, chunk)), pa.array([*gram.tolist(), None], pa.int64()), pa.array([*n.tolist(), len(set(bodies))], pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["host", "chunk", "gram", "n"])
+        pages = _pages_of(table)
+        gram, n = gram_counts(pages, bodies_of(pages))
+        host, chunk, size = table.column("host")[0].as_py(), table.column("chunk")[0].as_py(), len(gram)
+        yield pa.RecordBatch.from_arrays([pa.array([host] * size, pa.string()), pa.array(np.full(size, chunk)), pa.array(gram), pa.array(n.astype(np.int64))], names=["host", "chunk", "gram", "n"])
 
 
 def _decide(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """The pages of one chunk by the host's sums (chunk, gram, total)."""
-    read = _read_of(left)
-    grams_of, totals = right.column("gram").to_pylist(), right.column("total").to_pylist()
-    bodies = next(t for g, t in zip(grams_of, totals) if g is None)
-    hot = sorted((g, t) for g, t in zip(grams_of, totals) if g is not None)
-    gram, count = (np.array([x[k] for x in hot], np.int64) for k in (0, 1))
-    wide = wide_limit(bodies)
-    texts = _texts(read, repeated_on_host([[t for _, t in r] for r in read], gram, count, wide), wide)
-    return pa.Table.from_batches([_pages(left, texts)])
+    """The pages of one chunk by the grams (chunk, gram) that are repeated on its host."""
+    pages = _pages_of(left)
+    hot = np.sort(right.column("gram").to_numpy())
+    return pa.Table.from_batches([_result(left, _texts(pages, repeated_on_host(pages, hot)))])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for each row of pages (page_id, url, html)."""
-    spark = pages.sparkSession
-    kind = "page_id long, url string, text string, n_chars long"
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit("")))
-    read = written(rows.mapInArrow(_read_blocks, "page_id long, url string, host string, body long, places binary, texts string"), "blocks")
+_KIND = "page_id long, url string, text string, n_chars long"
+
+
+def unmarked(read: DataFrame) -> DataFrame:
+    """Results of pages (page_id, url, host, body, texts) without an article, by the suffix arrays of their hosts."""
+    n = partitions(read.sparkSession)
     sizes = read.groupBy("host").agg(F.ceil(F.sum(F.octet_length("texts").cast("long")) / CHUNK_BYTES).cast("int").alias("chunks"))
     large = written(sizes.where("chunks > 1"), "hosts")
     n_large = large.count()
     hosts = F.broadcast(large) if n_large <= BROADCAST_HOSTS else large  # a checked bound; beyond it blocks are shuffled once more
-    n = partitions(spark)
-
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, "chunk"):
-            yield _pages(table, _host_texts(_read_of(table)))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(n, "chunk").sortWithinPartitions("chunk", "page_id")
 
-    out = dealt(read.join(hosts, "host", "left_anti").withColumn("chunk", F.xxhash64("host"))).mapInArrow(small, kind)
+    out = dealt(read.join(hosts, "host", "left_anti").withColumn("chunk", F.xxhash64("host"))).mapInArrow(_small, _KIND)
     if not n_large:
         return out
     chunked = read.join(hosts, "host").withColumn("chunk", F.xxhash64("host", F.pmod(F.xxhash64("body"), "chunks"))).drop("chunks")
     counts = written(dealt(chunked).mapInArrow(_count, "host string, chunk long, gram long, n long"), "grams")
-    totals = counts.groupBy("host", "gram").agg(F.sum("n").alias("total")).where(F.col("gram").isNull() | (F.col("total") >= REPEATS))
-    mine = counts.withColumnRenamed("host", "h").withColumnRenamed("gram", "g").join(totals, F.expr("h = host and g <=> gram")).select("chunk", "gram", "total")
-    decided = chunked.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_decide, kind)
-    return out.unionByName(decided)
+    totals = counts.groupBy("host", "gram").agg(F.sum("n").alias("total")).where(F.col("total") >= REPEATS).select("host", "gram")
+    mine = counts.join(totals, ["host", "gram"], "left_semi").select("chunk", "gram")
+    return out.unionByName(chunked.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_decide, _KIND))
+
+
+def marked(read: DataFrame) -> DataFrame:
+    """Results of pages (page_id, url, host, body, texts) with an article: without the blocks that WIDE of the host's bodies hold."""
+    block = lambda t: F.xxhash64(t)
+    lines = F.split("texts", "\n")
+    held = read.select("host", "body", F.explode(F.transform(lines, block)).alias("block")).distinct().groupBy("host", "block").agg(F.count("*").alias("n"))
+    bodies = read.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("bodies"))
+    hot = held.where(F.col("n") >= WIDE_PAGES).join(bodies, "host").where(F.col("n") >= F.ceil(WIDE * F.col("bodies")))
+    # of the blocks of a page, twice their mean number at most are held by half of the pages
+    hot = written(hot.groupBy("host").agg(F.collect_set("block").alias("hot")), "hot")
+    hosts = F.broadcast(hot) if hot.count() <= BROADCAST_HOSTS else hot
+    text = F.array_join(F.when(F.col("hot").isNull(), lines).otherwise(F.filter(lines, lambda t: ~F.array_contains("hot", block(t)))), "\n\n")
+    out = read.join(hosts, "host", "left").select("page_id", "url", text.alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_chars) for each row of pages (page_id, url, html)."""
+    bounded_batches(pages.sparkSession)
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit("")))
+    read = written(rows.mapInArrow(_read_blocks, "page_id long, url string, host string, body long, marked boolean, texts string"), "blocks")
+    return marked(read.where("marked").drop("marked")).unionByName(unmarked(read.where("not marked").drop("marked")))

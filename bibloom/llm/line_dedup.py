@@ -1,22 +1,27 @@
 """Fuzzy line dedup in DataFrame operations only.
 
 Lines are normalised (lower case, one space for white space) and equal ones collapse into one class. A class is
-sketched by minwise hashes of its character shingles of SHINGLE characters that begin at word starts (in scripts
-without spaces, and in a long token after its first SHINGLE characters, at every character); pairs of minima form the
-bands. Classes that share a band are compared: first with their bucket's earliest and last class, then all pairs of the
-bucket that these have not brought into one component. Sets of linked lines differ little in size, so a bucket is cut
-into cells of set size, and large cells are dealt into blocks that meet block against block; no pair is left out.
-Every pair is verified by its exact Jaccard similarity over all VERIFY-character shingles of both lines, and verified
-pairs are joined into components by distributed union-find. One line of a component stays: the earliest by
-(doc_id, line).
-
-Null text counts as empty. Blank lines and lines under LEAST_CHARS characters (without spaces around them) always stay and are in no component but
-their own. Repeated rows are repeated lines. Very long lines are sketched whole. An empty table gives no lines.
+sketched by minwise hashes of its character shingles: SHINGLE bytes of UTF-8 that begin at word starts, at characters of
+three bytes or more (scripts without spaces), and at every byte of a long token after its first SHINGLE. The shingles are
+exploded and aggregated, so that the minima are taken map-side in generated code. Pairs of minima form the bands.
+Classes that share a band are compared: first with their bucket's lead, then with PIVOTS of its classes, then all pairs
+of the bucket that these have not brought into one component. Large buckets are dealt into blocks that meet block
+against block, and bitmaps of the shingle sets leave out pairs that cannot be similar; no other pair is left out. Every pair is verified by its exact Jaccard similarity over all VERIFY-character shingles of
+both lines (as 64-bit hashes), and verified pairs are joined into components by distributed union-find. One line of a
+component stays: the earliest by (doc_id, line).
+
+Null text counts as empty. Blank lines and lines under `least_chars` characters (without spaces around them) always stay
+and are in no component but their own; least_chars=1 compares every line. A line of fewer than VERIFY characters has
+itself as its only shingle. Repeated rows are repeated lines: where a row is there twice, its earliest line is kept in
+both. Very long lines are sketched and verified whole. An empty table gives no lines. Other columns, whatever their
+names, are carried along by `cleaned`, which keeps every row: a document that loses all its lines has an empty text.
+Classes are told apart by 128 bits of hash, linked by 64 of them.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,131 +30,195 @@ from bibloom.llm.common import components, written
 
 SHINGLE, VERIFY, SIMILARITY, LEAST_CHARS = 12, 5, 0.8, 10
 BANDS = 6
-#: Classes of a bucket that meet in one task.
-BLOCK = 256
+#: Classes of a bucket that all of it meets first; classes of a cell that meet in one task.
+PIVOTS, BLOCK = 16, 256
+#: Words of 64 bits of the bitmaps that leave out pairs of large buckets before they are verified.
+MAPS = 128
 #: Masks whose exclusive-or with a hash orders the shingles anew: multiples of an odd constant.
 MASKS = [((k + 1) * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63) for k in range(BANDS)]
-#: Place of a shingle: the line's begin, after a space, after a character of a script that writes no spaces, inside a long token.
-ANCHORED = rf"(?:^|(?<=[ ฀-໿က-႟ក-៿぀-ヿ㐀-鿿])|(?<=[^ ]{{{SHINGLE}}}))(?=(.{{1,{SHINGLE}}}))"
+#: Base of a line's rank among all lines: doc_id * LINES + line, as a decimal.
+LINES = 10**10
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[^\S ]\s*| \s+", " ")))
+    """Lower case, trimmed, one space for white space; the pattern is run only where it can match."""
+    odd = F.lit(False)
+    for gap in ("  ", "\t", "\r", "\x0b", "\f"):
+        odd = odd | line.contains(gap)
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"[^\S ]\s*| \s+", " ")).otherwise(line)))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, line, norm): the lines that can be duplicates; line counts from 0."""
     split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return split.where(F.length(F.trim("raw")) >= LEAST_CHARS).select("doc_id", "line", normal(F.col("raw")).alias("norm"))
+    return split.where(F.length(F.trim("raw")) >= least_chars).select("doc_id", "line", normal(F.col("raw")).alias("norm"))
 
 
 def _digest(norm: str = "norm") -> list[Column]:
     return [F.xxhash64(norm).alias("d1"), F.xxhash64(F.lit(1), norm).alias("d2")]
 
 
-def _ends(mask: int) -> list[Column]:
-    """The least and the greatest hash in the order that a mask gives: two minima from one pass."""
-    ordered = F.transform("h", lambda x: x.bitwiseXOR(F.lit(mask)))
-    return [F.array_min(ordered), F.array_max(ordered)]
+def shingled(lines: DataFrame, *keep: str) -> DataFrame:
+    """(keep, at, h) of lines (norm, ...): hashes of the shingles that sketches are made of; at counts from 1."""
+    raw = F.col("norm").cast("binary")
+    flat = lines.select(*keep, raw.alias("b"), F.octet_length("norm").alias("n"), (F.octet_length("norm") != F.length("norm")).alias("wide"), F.col("norm").rlike(f"[^ ]{{{SHINGLE + 1}}}").alias("long"))
+    places = flat.select(*keep, "b", "wide", "long", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "n"))).alias("at"))
+    begins = (F.col("at") == 1) | (F.substring("b", F.col("at") - 1, F.lit(1)) == F.lit(b" "))
+    unspaced = F.col("wide") & (F.substring("b", F.col("at"), F.lit(1)) >= F.lit(b"\xe0"))
+    inside = F.col("long") & (F.col("at") > SHINGLE) & (F.instr(F.substring("b", F.col("at") - SHINGLE, F.lit(SHINGLE)).cast("string"), " ") == 0)
+    return places.where(begins | unspaced | inside).select(*keep, "at", F.xxhash64(F.substring("b", F.col("at"), F.lit(SHINGLE))).alias("h"))
 
 
 def sketched(lines: DataFrame) -> DataFrame:
-    """lines (doc_id, line, norm) with the digest and the band keys, of two minima each, instead of the text."""
-    hashes = lines.select("doc_id", "line", *_digest(), F.transform(F.regexp_extract_all("norm", F.lit(ANCHORED), F.lit(1)), lambda s: F.xxhash64(s)).alias("h"))
-    least = [_ends(m) for m in MASKS]
-    keys = [F.xxhash64(F.lit(b), *least[b]).alias(f"b{b}") for b in range(BANDS)]
-    return hashes.select("doc_id", "line", "d1", "d2", *keys)
+    """(d1, d2, doc_id, line, b0, ...) of each class of lines: its earliest line, and its band keys, of two minima each."""
+    rank = (F.col("doc_id").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(11,0)") + F.col("line")).cast("decimal(38,0)")
+    h = shingled(lines.select(*_digest(), rank.alias("rank"), "norm"), "d1", "d2", "rank")
+    ends = [f(F.col("h").bitwiseXOR(F.lit(MASKS[b]))).alias(f"{f.__name__}{b}") for b in range(BANDS) for f in (F.min, F.max)]
+    found = h.groupBy("d1", "d2").agg(F.min(F.when(F.col("at") == 1, F.col("rank"))).alias("rank"), *ends)
+    doc = F.floor(F.col("rank") / LINES)
+    place = [doc.cast("long").alias("doc_id"), (F.col("rank") - doc * LINES).cast("int").alias("line")]
+    return found.select("d1", "d2", *place, *[F.xxhash64(F.lit(b), f"min{b}", f"max{b}").alias(f"b{b}") for b in range(BANDS)])
 
 
-def shingles(norm: str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{VERIFY}}}))"), F.lit(1)))
+def shingles(raw: str) -> Column:
+    """Hashes of the distinct VERIFY-character shingles of a text in UTF-32."""
+    begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(raw) - (4 * VERIFY - 1)), F.lit(4))
+    return F.array_distinct(F.transform(begins, lambda i: F.xxhash64(F.substring(raw, i, F.lit(4 * VERIFY)))))
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b, x, y) with their exact Jaccard similarity over the sets of VERIFY-character shingles.
+    """pairs (a, b, x, y) with their exact Jaccard similarity over the sets of VERIFY-character shingles, 0 if words rule it out.
 
-    Each step is a projection of its own, so that no set is computed twice.
+    Each step is a projection of its own, so that nothing is computed twice.
     """
-    sets = pairs.select("a", "b", shingles("x").alias("x"), shingles("y").alias("y"))
-    sizes = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), F.size("x").alias("n"), F.size("y").alias("m"))
-    return sizes.select("a", "b", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("jaccard"))
+    words = pairs.select("a", "b", "x", "y", F.array_distinct(F.split("x", " ")).alias("v"), F.array_distinct(F.split("y", " ")).alias("w"))
+    met = words.select("a", "b", "x", "y", _words_met().alias("met"))
+    raw = met.select("a", "b", "met", *[F.when(F.col("met"), F.encode(c, "UTF-32")).alias(c) for c in ("x", "y")])
+    sets = raw.select("a", "b", F.when(F.col("met"), shingles("x")).alias("p"), F.when(F.col("met"), shingles("y")).alias("q"))
+    sizes = sets.select("a", "b", F.size(F.array_intersect("p", "q")).alias("both"), (F.size("p") + F.size("q")).alias("n"))
+    return sizes.select("a", "b", F.coalesce(F.col("both") / (F.col("n") - F.col("both")), F.lit(0.0)).alias("jaccard"))
 
 
-def _near(n: str, m: str) -> Column:
-    """Whether sets of n and m shingles can be similar."""
-    return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
+def _words_met() -> Column:
+    """Whether texts x, y of distinct words v, w can be similar, judged by words where these are short and many.
+
+    Edits that leave a similarity of 0.8 over VERIFY-character shingles are 45 characters apart on the mean, so of words
+    of 12 characters on the mean a quarter differ at most: a similarity of words over 0.5. Half of that is asked for.
+    """
+    wordy = (F.size("v") * 12 >= F.length("x")) & (F.size("w") * 12 >= F.length("y"))
+    return ~wordy | (4 * F.size(F.array_intersect("v", "w")) >= F.size(F.array_union("v", "w")))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar. texts: (rep, norm, n) of all their classes."""
-    side = lambda rep, norm, n: texts.select(F.col("rep").alias(rep), F.col("norm").alias(norm), F.col("n").alias(n))
-    both = pairs.join(side("a", "x", "n"), "a").join(side("b", "y", "m"), "b").where(_near("n", "m"))
+    """The pairs (a, b) that are similar. texts: (rep, norm) of all their classes."""
+    side = lambda rep, norm: texts.select(F.col("rep").alias(rep), F.col("norm").alias(norm))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    # written before it is filtered: a filter pushed below the sets would compute them again
     return written(scored(both), "scored").where(F.col("jaccard") >= SIMILARITY).select("a", "b")
 
 
 def _texts(lines: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, norm, n) of the classes reps (rep), n being the size of the shingle set."""
-    found = lines.select(F.struct("doc_id", "line").alias("rep"), "norm").join(reps.hint("shuffle_hash"), "rep")
-    return written(found.select("rep", "norm", F.size(shingles("norm")).alias("n")), "texts")
+    """(rep, norm) of the classes reps (rep, doc_id, line).
+
+    A row that is there twice gives a class twice, which adds pairs but no link.
+    """
+    return written(lines.join(reps.hint("merge"), ["doc_id", "line"]).select("rep", "norm"), "texts")
+
+
+def _several(held: DataFrame, least: int = 2) -> DataFrame:
+    """The rows of held (bucket, rep, comp) in buckets of `least` classes at least that are in two components or more."""
+    parts = held.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return held.join(parts.where((F.col("lo") != F.col("hi")) & (F.col("size") >= least)).select("bucket"), "bucket")
+
+
+def _pivoted(held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class of a bucket and its pivots, one for each of PIVOTS shares of the bucket.
+
+    A bucket of few classes is met whole; in a large one, what is similar to many is found without all pairs.
+    """
+    share = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(PIVOTS))
+    pivots = held.groupBy("bucket", share.alias("share")).agg(F.min(F.struct("rep", "comp")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("q"))
+    met = held.join(pivots, "bucket").where("comp <> q").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    return met.distinct()
+
+
+def _mapped(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """rest (bucket, rep, comp) with n, the size of the shingle set, and the set's bitmap m0, m1, ... of hashed shingles."""
+    own = texts.join(rest.select("rep").distinct().hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
+    own = written(own.select("rep", F.encode("norm", "UTF-32").alias("raw")), "raw")
+    places = own.select("rep", "raw", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("raw") - (4 * VERIFY - 1)), F.lit(4))).alias("at"))
+    bit = places.select("rep", F.pmod(F.xxhash64(F.substring("raw", F.col("at"), F.lit(4 * VERIFY))), F.lit(64 * MAPS)).cast("int").alias("bit"))
+    words = bit.select("rep", F.floor(F.col("bit") / 64).cast("int").alias("k"), F.expr("shiftleft(1L, bit % 64)").alias("w")).groupBy("rep", "k").agg(F.bit_or("w").alias("w"))
+    words = words.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"))
+    sizes = own.select("rep", F.size(shingles("raw")).alias("n"))
+    maps = written(sizes.join(words, "rep").select("rep", "n", *[F.coalesce(F.col("m")[k], F.lit(0)).alias(f"m{k}") for k in range(MAPS)]), "maps")
+    return written(rest.join(maps, "rep"), "mapped")
+
+
+def _may_link() -> Column:
+    """Whether sets of n and m shingles with bitmaps x0, x1, ... and y0, y1, ... can be similar.
+
+    A union has as many members as its bitmap has bits at least, so the intersection has n + m less these at most.
+    """
+    bits = reduce(Column.__add__, [F.bit_count(F.col(f"x{k}").bitwiseOR(F.col(f"y{k}"))) for k in range(MAPS)])
+    near = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
+    return near & (F.col("n") + F.col("m") >= (1 + SIMILARITY) * bits)
 
 
 def _met(rest: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket in rest (bucket, rep, comp, n) that are in two components and can be similar.
+    """All pairs (a, b) of a bucket in rest (bucket, rep, comp, n, m0, ...) that are in two components and can be similar.
 
-    Cells of set size: of two linked sets the larger is less than a cell away.
+    Large buckets are dealt into blocks that meet block by block.
     """
-    cell = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(SIMILARITY) * 1.001)).cast("int")
-    cells = rest.select("bucket", "rep", "comp", "n", cell.alias("cell")).select("bucket", "rep", "comp", "n", F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
-    sizes = cells.groupBy("bucket", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    dealt = cells.join(sizes.select("bucket", "cell", "blocks"), ["bucket", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    maps = range(MAPS)
+    sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("bucket", "cell", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "rep", "comp", "n", "block", "other")
-    x = dealt.select("task", F.col("rep").alias("a"), F.col("comp").alias("p"), "n", F.col("block").alias("i"), F.col("other").alias("j"))
-    y = dealt.select("task", F.col("rep").alias("b"), F.col("comp").alias("q"), F.col("n").alias("m"), F.col("block").alias("k"))
-    return x.join(y, "task").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & ((F.col("i") != F.col("k")) | (F.col("i") == F.col("j"))) & _near("n", "m")).select("a", "b").distinct()
-
-
-def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, members): every line's digest, and each class with its earliest line and component."""
-    source = docs.select("doc_id", "text")
-    lines = lines_of(source)
-    rank = F.struct("doc_id", "line")
-    keys = [f"b{b}" for b in range(BANDS)]
-    rows = written(sketched(lines), "sketches")
-    classes = written(rows.groupBy("d1", "d2").agg(F.min(rank).alias("rep"), *[F.first(k).alias(k) for k in keys]), "classes")
-    banded = classes.select("rep", F.explode(F.array(*keys)).alias("bucket"))
-    met = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last")
-    met = written(met, "buckets")
-    pairs = banded.join(met, "bucket").select(F.explode(F.array(F.struct(F.col("rep").alias("a"), F.col("lead").alias("b")), F.struct(F.col("rep").alias("a"), F.col("last").alias("b")))).alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a <> b").distinct()
-    pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    task = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("task")
+    x = dealt.select(task, F.col("rep").alias("a"), F.col("comp").alias("p"), "n", F.col("block").alias("i"), F.col("other").alias("j"), *[F.col(f"m{k}").alias(f"x{k}") for k in maps])
+    y = dealt.select(task, F.col("rep").alias("b"), F.col("comp").alias("q"), F.col("n").alias("m"), F.col("block").alias("k"), *[F.col(f"m{k}").alias(f"y{k}") for k in maps])
+    return x.join(y, "task").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & ((F.col("i") != F.col("k")) | (F.col("i") == F.col("j"))) & _may_link()).select("a", "b").distinct()
+
+
+def line_classes(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(rows, members): every line's digest, and each class with the earliest line of its component."""
+    lines = lines_of(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), least_chars)
+    classes = written(sketched(lines), "classes")
+    banded = classes.select(F.col("d1").alias("rep"), F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("bucket"))
+    met = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("bucket", "lead")
+    held = written(banded.join(met, "bucket"), "buckets")
+    pairs = written(held.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    ends = held.select("rep").distinct().join(classes.select(F.col("d1").alias("rep"), "doc_id", "line"), "rep")
     texts = _texts(lines, ends)
     links = _linked(pairs, texts)
     comps = components(links).withColumnRenamed("id", "rep")
-    # what met neither end of its bucket: the pairs with an end are all verified
-    inner = banded.join(met, "bucket").where("rep <> lead and rep <> last").join(comps, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-    inner = written(inner, "inner")
-    several = inner.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    rest = inner.join(several, "bucket").join(texts.select("rep", "n"), "rep")
-    more = _linked(written(_met(rest), "pairs"), texts)
-    if not more.isEmpty():
-        comps = components(links.unionByName(more)).withColumnRenamed("id", "rep")
-    members = classes.select("d1", "d2", "rep").join(comps, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    return rows.select("doc_id", "line", "d1", "d2"), members
-
-
-def fuzzy_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, kept_doc_id, kept_line, kept) for every line of LEAST_CHARS characters at least."""
-    rows, members = line_classes(docs)
+    for least in (2, PIVOTS + 1):  # what the lead, then the pivots leave apart; what they met is verified
+        known = held.join(comps, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+        inner = written(_several(known, least), "inner")
+        if inner.isEmpty():
+            break
+        pairs = _pivoted(inner) if least == 2 else _met(_mapped(inner, texts))
+        links = links.unionByName(_linked(written(pairs, "pairs"), texts))
+        comps = components(links).withColumnRenamed("id", "rep")
+    linked = classes.select(F.col("d1").alias("rep"), "d1", "d2", F.struct("doc_id", "line").alias("first")).join(comps, "rep", "left")
+    kept = linked.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("kept"))
+    members = linked.join(kept, "component", "left").select("d1", "d2", F.coalesce("kept", "first").alias("component"))
+    return lines.select("doc_id", "line", *_digest()), members
+
+
+def fuzzy_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(doc_id, line, kept_doc_id, kept_line, kept) for every line of `least_chars` characters at least."""
+    rows, members = line_classes(docs, least_chars)
     out = rows.join(members, ["d1", "d2"]).select("doc_id", "line", F.col("component.doc_id").alias("kept_doc_id"), F.col("component.line").alias("kept_line"))
     return out.withColumn("kept", (F.col("doc_id") == F.col("kept_doc_id")) & (F.col("line") == F.col("kept_line")))
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """All rows and columns of docs, text without the lines that do not stay."""
-    gone = fuzzy_lines(docs).where(~F.col("kept")).groupBy(F.col("doc_id").alias("_doc_id")).agg(F.collect_set("line").alias("_gone"))
-    gone = written(gone, "gone").hint("shuffle_hash")
+    id_, own = f"id_{uuid.uuid4().hex}", f"gone_{uuid.uuid4().hex}"
+    gone = fuzzy_lines(docs, least_chars).where(~F.col("kept")).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line").alias(own))
+    gone = written(gone, "gone")
     split = F.split("text", "\n")
-    rest = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = docs.join(gone, docs["doc_id"] == gone["_doc_id"], "left")
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    rest = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(own, i)), "\n")
+    out = docs.join(gone.hint("merge"), docs["doc_id"] == gone[id_], "left")
+    return out.withColumn("text", F.when(F.col(own).isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)

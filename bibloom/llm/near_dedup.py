@@ -1,37 +1,45 @@
 """MinHash near-dedup: a chosen-path set similarity join.
 
 Texts become sets of word shingles. Equal sets collapse into one class first. Independent trees then branch the
-classes by minwise hash values: the root of tree t deals its classes by coordinate t. Small nodes are compared
-exhaustively on full sets; an oversize node is dealt into blocks that all hold the node's pivot, and what the pivot and
-the blocks do not bring into one component branches on: by pairs of further coordinates that no other tree uses, taken
-only for the texts in such nodes, and by set size, as linked sets differ little in size. Oversize nodes of the last depth are compared block against block, so no node is cut off. Only
-verified spanning links leave a task.
+classes by minwise tokens: the first two levels of tree t are taken at once, by two coordinates of its own. A class
+whose neighbours in set size cannot link with it leaves its node, and small nodes of equal members count once. Small
+nodes are compared exhaustively on full sets; an oversize node is dealt into blocks that all hold the node's pivot, and
+what the pivot and the blocks do not bring into one component branches on: by tuples of further coordinates that no other
+tree or level uses, taken only for the texts in such nodes, and by set size, as linked sets differ little in size.
+Oversize nodes of the last depth are compared block against block, so no node is cut off. Only verified spanning links
+leave a task.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. Fewer words than a shingle takes:
-the whole sequence is the only shingle. Repeated rows and ties: the smallest doc_id leads. Other columns are not read.
+the whole sequence is the only shingle. Very long texts are read whole. Repeated rows and ties: the smallest doc_id
+leads; rows of one doc_id with different texts are one document, linked to what any of its texts links to. Rows without
+doc_id have no component. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import U64, Union, components, groups, mix, partitions, sliced, texts_of, word_hashes, written
+from bibloom.llm.common import U64, Union, bounded_batches, components, groups, mix, partitions, sliced, texts_of, word_hashes, written
 
-#: Trees; a pair of similarity s is missed by all with probability (1 - s) ** TREES at most where nodes are small.
-TREES = 8
+#: Trees; a pair of similarity s is missed by all with probability (1 - s * s) ** TREES at most where nodes are small.
+TREES = 10
 #: Trees of the first pass. The second pass skips nodes that the first has brought into one component.
 FIRST = 2
 #: Classes, and their shingles, that one task compares exhaustively.
 NODE, NODE_SHINGLES = 1024, 2_000_000
-#: Pairs of coordinates by which an oversize node branches, and levels of branching.
-BRANCHES, DEPTH = 4, 1
-#: Minwise coordinates: one for each root, then two for each branch of each tree and level.
-COORDINATES = TREES + 2 * BRANCHES * TREES * DEPTH
+#: Branches of an oversize node, coordinates of each, and levels of branching.
+BRANCHES, PATH, DEPTH = 4, 3, 2
+#: Blocks outside an oversize node's largest component that are compared with all others rather than branched.
+FINISH = 4
+#: Minwise coordinates: two for each root, then PATH for each branch of each tree and level.
+ROOTS, LEVEL = 2 * TREES, PATH * BRANCHES * TREES
+COORDINATES = ROOTS + LEVEL * DEPTH
 _MASKS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * U64(0xD1B54A32D192ED03))
 _ODD = mix(_MASKS) | U64(1)
 _WEIGHTS = mix(np.arange(101, 133, dtype=np.uint64)) | U64(1)
@@ -82,18 +90,19 @@ def _sketch(words: int):
             if len(start):
                 d1[some] = np.add.reduceat(mix(flat + U64(7)), start)
                 d2[some] = np.add.reduceat(mix(flat ^ U64(0x5851F42D4C957F2D)), start)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _marks(flat, start, some, 0, TREES)], names=["doc_id", "n_shingles", "d1", "d2", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _marks(flat, start, some, 0, ROOTS)], names=["doc_id", "n_shingles", "d1", "d2", "marks"])
 
     return run
 
 
-def _further(words: int):
-    """(rep, marks) of texts (rep, text): the coordinates of deeper levels."""
+def _further(words: int, depth: int):
+    """(rep, marks) of texts (rep, text): the coordinates by which nodes of a depth branch."""
+    low = ROOTS + LEVEL * depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             _, flat, start, some = _laid(texts_of(batch.column("text")), words)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), _marks(flat, start, some, TREES, COORDINATES)], names=["rep", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), _marks(flat, start, some, low, low + LEVEL)], names=["rep", "marks"])
 
     return run
 
@@ -149,29 +158,41 @@ def _compare(words: int, percent: int):
     return run
 
 
-def _tasks(members: DataFrame, last: bool) -> DataFrame:
-    """(task, rep, comp) from members (node, rep, n, comp): only nodes with two components at least.
+def _blocks(n: Column, bulk: Column) -> Column:
+    return F.ceil(2 * F.greatest(n / NODE, bulk / NODE_SHINGLES)).cast("int")
 
-    A node of at most NODE classes and NODE_SHINGLES shingles is one task. A larger one is dealt into blocks that all
-    hold its pivot. At the last depth each pair of blocks is a task, but for pairs within the node's largest component,
-    which hangs together already.
+
+def _sizes(members: DataFrame) -> DataFrame:
+    """(node, size, bulk, pivot, most, ...) of the nodes of members (node, rep, n, comp) with two components at least.
+
+    most: the largest component; within and rest: the blocks that it and the others make.
     """
     parts = members.groupBy("node", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("bulk"), F.min("rep").alias("pivot"))
     size = parts.groupBy("node").agg(F.sum("size").alias("size"), F.sum("bulk").alias("bulk"), F.min("pivot").alias("pivot"), F.count("*").alias("comps"), F.max(F.struct("size", "bulk", "comp")).alias("most")).where("comps > 1")
-    blocks = lambda n, bulk: F.ceil(2 * F.greatest(n / NODE, bulk / NODE_SHINGLES)).cast("int")
-    size = size.select("node", "pivot", _small().alias("small"), F.greatest(F.lit(2), blocks(F.col("size"), F.col("bulk"))).alias("blocks"), F.col("most.comp").alias("most"), blocks(F.col("most.size"), F.col("most.bulk")).alias("within"), blocks(F.col("size") - F.col("most.size"), F.col("bulk") - F.col("most.bulk")).alias("rest"))
-    full = members.join(size, "node")
+    blocks = F.greatest(F.lit(2), _blocks(F.col("size"), F.col("bulk")))
+    return size.select("node", "pivot", _small().alias("small"), blocks.alias("blocks"), F.col("most.comp").alias("most"), _blocks(F.col("most.size"), F.col("most.bulk")).alias("within"), _blocks(F.col("size") - F.col("most.size"), F.col("bulk") - F.col("most.bulk")).alias("rest"))
+
+
+def _tasks(members: DataFrame) -> DataFrame:
+    """(task, rep, comp) from members (node, rep, n, comp).
+
+    A node of at most NODE classes and NODE_SHINGLES shingles is one task. A larger one is dealt into blocks that all
+    hold its pivot.
+    """
+    full = members.join(_sizes(members), "node")
     small, large = full.where("small").select(F.xxhash64("node").alias("task"), "rep", "comp"), full.where("not small")
-    if last:
-        own = F.col("comp") == F.col("most")
-        dealt = large.withColumn("block", F.when(own, F.col("rest") + F.pmod(F.xxhash64("rep"), "within")).otherwise(F.pmod(F.xxhash64("rep"), "rest")).cast("int"))
-        pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(own, F.col("rest")).otherwise(F.col("rest") + F.col("within")) - 1))).where("other <> block")
-        dealt = pairs.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "rep", "comp")
-    else:
-        block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        pivots = large.where("rep = pivot").select("node", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        dealt = large.where("rep <> pivot").select("node", "rep", "comp", block.alias("block")).unionByName(pivots).select(F.xxhash64("node", "block").alias("task"), "rep", "comp")
-    return small.unionByName(dealt)
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    pivots = large.where("rep = pivot").select("node", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = large.where("rep <> pivot").select("node", "rep", "comp", block.alias("block")).unionByName(pivots)
+    return small.unionByName(dealt.select(F.xxhash64("node", "block").alias("task"), "rep", "comp"))
+
+
+def _block_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(task, rep, comp): each pair of blocks of the nodes, but for pairs within a node's largest component, which hangs together."""
+    full, own = members.join(nodes, "node"), F.col("comp") == F.col("most")
+    dealt = full.withColumn("block", F.when(own, F.col("rest") + F.pmod(F.xxhash64("rep"), "within")).otherwise(F.pmod(F.xxhash64("rep"), "rest")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(own, F.col("rest")).otherwise(F.col("rest") + F.col("within")) - 1))).where("other <> block")
+    return pairs.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "rep", "comp")
 
 
 def _small() -> Column:
@@ -185,49 +206,78 @@ def _with_components(members: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _branched(members: DataFrame, texts: DataFrame, depth: int, words: int, percent: int) -> DataFrame:
-    """The children of nodes: by pairs of their tree's own coordinates and cells of set size; sets that may link share a cell."""
-    first = 2 * BRANCHES * (TREES * depth + F.col("tree"))
-    pick = F.array(*[F.xxhash64(F.lit(k), F.element_at("marks", first + 2 * k + 1), F.element_at("marks", first + 2 * k + 2)) for k in range(BRANCHES)])
+    """The children of nodes: by paths of their tree's own coordinates and cells of set size; sets that may link share a cell."""
+    first = PATH * BRANCHES * F.col("tree")
+    pick = F.array(*[F.xxhash64(F.lit(k), *[F.element_at("marks", first + PATH * k + j + 1) for j in range(PATH)]) for k in range(BRANCHES)])
     step = float(np.log(100 / percent)) if percent < 100 else 1e-9
     size = F.log("n") / F.lit(4 * step)
     cells = F.array_distinct(F.array(F.floor(size), F.floor(size + 0.25)))  # a linked larger set is less than a step away
-    open_texts = texts.join(members.select("rep").distinct().hint("shuffle_hash"), "rep", "left_semi")
-    marks = written(open_texts.select("rep", "text").mapInArrow(_further(words), "rep long, marks array<long>"), "marks")
+    open_texts = texts.join(members.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    marks = written(open_texts.select("rep", "text").mapInArrow(_further(words, depth), "rep long, marks array<long>"), "marks")
     split = members.join(marks, "rep").select("node", "rep", "n", "tree", F.explode(pick).alias("mark"), cells.alias("cells"))
-    return split.select("rep", "n", "tree", "node", "mark", F.explode("cells").alias("cell")).select(F.xxhash64("node", "mark", "cell").alias("node"), "rep", "n", "tree")
+    split = written(split.select("rep", "n", "tree", "node", "mark", F.explode("cells").alias("cell")).select(F.xxhash64("node", "mark", "cell").alias("node"), "rep", "n", "tree"), "children")
+    return written(split.join(split.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node"), "node"), "members")
+
+
+def _roots(leads: DataFrame, percent: int) -> DataFrame:
+    """(node, rep, n, tree) of the trees' first nodes, without what cannot link in its node.
+
+    Leads alone in their node go. In a small node a class goes if the classes next to it in set size are too small or
+    too large for a link; small nodes of equal members are compared once, in the first tree that has them.
+    """
+    mark = lambda k: F.element_at("marks", 2 * F.col("tree") + k)
+    roots = leads.select("rep", "n", "marks", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(F.xxhash64("tree", mark(1), mark(2)).alias("node"), "rep", "n", "tree")
+    sizes = roots.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("bulk")).where("size > 1")
+    roots = written(roots.join(sizes, "node"), "shared")
+    by_size = Window.partitionBy("node").orderBy("n", "rep")
+    near = lambda x, y: F.coalesce(100 * F.least(x, y) >= percent * F.greatest(x, y), F.lit(False))
+    fits = roots.where(_small()).select("node", "rep", "n", "tree", F.lag("n").over(by_size).alias("before"), F.lead("n").over(by_size).alias("after"))
+    fits = fits.where(near(F.col("n"), F.col("before")) | near(F.col("n"), F.col("after"))).select("node", "rep", "n", "tree")
+    members = [F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)) % (1 << 40)).alias("y")]
+    first = fits.groupBy("node").agg(F.first("tree").alias("tree"), *members).groupBy("size", "x", "y").agg(F.min(F.struct("tree", "node")).alias("least")).select("least.node")
+    return fits.join(first, "node").unionByName(roots.where(~_small()).select("node", "rep", "n", "tree"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; links have 100 * |A & B| >= percent * |A | B|."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select("doc_id", "text")
     sketch = written(source.mapInArrow(_sketch(words), "doc_id long, n_shingles long, d1 long, d2 long, marks array<long>"), "sketch")
     classes = sketch.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
     leads = written(sketch.select("doc_id", "n_shingles", "marks").join(classes.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "marks"), "leads")
-    roots = leads.select("rep", "n", F.posexplode("marks").alias("tree", "mark")).select("tree", F.xxhash64("tree", "mark").alias("node"), "rep", "n")
-    shared = roots.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
-    roots = written(roots.join(shared, "node"), "roots")
-    needed = roots.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(source.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
+    roots = written(_roots(leads, percent), "roots")
+    needed = roots.select(F.col("rep").alias("doc_id")).distinct()  # grows with the table: never broadcast
+    texts = written(source.join(needed.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
 
     n = partitions(spark)
-    found: DataFrame | None = None
+    found: list[DataFrame] = []
     comps: DataFrame | None = None
+
+    def compare(tasks: DataFrame) -> DataFrame | None:
+        """Compares in each task; the components of all links so far."""
+        dealt = tasks.join(texts, "rep").repartition(n, "task").sortWithinPartitions("task", "rep")
+        links = written(dealt.mapInArrow(_compare(words, percent), "a long, b long"), "links")
+        if links.isEmpty():
+            return comps
+        found.append(links)
+        return written(components(reduce(DataFrame.unionByName, found)), "components")
+
     for low, high in ((0, FIRST), (FIRST, TREES)):
         members = roots.where((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "rep", "n", "tree")
         for depth in range(DEPTH + 1):
-            tasks = _tasks(_with_components(members, comps), depth == DEPTH).join(texts, "rep").repartition(n, "task").sortWithinPartitions("task", "rep")
-            links = written(tasks.mapInArrow(_compare(words, percent), "a long, b long"), "links")
-            if not links.isEmpty():
-                found = links if found is None else found.unionByName(links)
-                comps = written(components(found), "components")
-            if depth < DEPTH:
-                sizes = _with_components(members, comps).groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("bulk"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                left = written(sizes.where(~_small() & (F.col("lo") != F.col("hi"))).select("node"), "open")
-                if left.isEmpty():
-                    break
-                members = written(_branched(members.join(left, "node"), texts, depth, words, percent), "members")
+            comps = compare(_tasks(_with_components(members, comps)))
+            known = _with_components(members, comps)
+            left = written(_sizes(known).where("not small"), "open")
+            last = F.lit(depth == DEPTH) | (F.col("rest") <= FINISH)
+            if left.isEmpty():
+                break
+            comps = compare(_block_pairs(known, left.where(last)))
+            left = left.where(~last).select("node")
+            if left.isEmpty():
+                break
+            members = _branched(members.join(left, "node"), texts, depth, words, percent)
 
     own = sketch.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left")
     if comps is not None:
@@ -235,4 +285,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     else:
         own = own.withColumn("component", F.lit(None).cast("long"))
     out = own.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

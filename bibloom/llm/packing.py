@@ -27,6 +27,8 @@ from bibloom.llm.common import U64, Memory, bounded_batches, ids_of, mix, partit
 #: Bits of each of the three curve coordinates; the key has three times as many, and 33 bits more from doc_id.
 BITS = 10
 FEATURES = 1 << 12
+#: End of the letters that every version of Unicode knows as such.
+LATIN_END = "\u0250"
 _PROJECTION = (mix(np.arange(1, FEATURES + 1, dtype=np.uint64)[None, :] * (U64(2) * np.arange(1, 4, dtype=np.uint64)[:, None] + U64(1)) * U64(0x9E3779B97F4A7C15)) >> U64(40)).astype(np.float64) / (1 << 23) - 1
 
 
@@ -88,11 +90,11 @@ class Words:
     """
 
     #: Words of a generation of the memory.
-    MOST = 700_000
+    MOST = 1_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         own = self.tokenizer = Tokenizer.from_file(path)
         special = "|".join(re.escape(t.content) for t in own.get_added_tokens_decoder().values())
@@ -101,14 +103,26 @@ class Words:
         self.by_word = known["normalizer"] is None and known["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         if own.get_vocab_size() > 1 << 16:
             raise ValueError("ids are held in 16 bits")
+        if self.by_word:
+            spell = lambda t: own.pre_tokenizer.pre_tokenize_str(t)[0][0]
+            self.space = spell(" a")[:-1]
+            self.spelling = {c: spell(chr(c)) for c in range(0x80, ord(LATIN_END)) if chr(c).isalpha()}
+            self.model = Tokenizer.from_file(path)
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([])
         self.memory = Memory(self._fill, self.MOST)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _fill(self, keys: list[str]) -> list[bytes]:
-        """Keys: a text's first word after a carriage return, a line's first word after its line feed, others bare."""
-        return self._library([k[1:] if k[0] == "\r" else k if k[0] == "\n" else " " + k for k in keys])
+        """Keys: a text's first word after a carriage return, a line's first word after its line feed, others bare.
+
+        The pre-tokenizer leaves a space and letters together, so such words go to the model as it would spell them.
+        """
+        plain = [k.isalpha() and (k.isascii() or max(k) < LATIN_END) for k in keys]
+        letters = iter(self.model.encode_batch_fast([self.space + k.translate(self.spelling) for k, p in zip(keys, plain) if p], add_special_tokens=False))
+        others = iter(self._library([k[1:] if k[0] == "\r" else k if k[0] == "\n" else " " + k for k, p in zip(keys, plain) if not p]))
+        return [array("H", next(letters).ids).tobytes() if p else next(others) for p in plain]
 
     def _split(self, text: str) -> list[str] | None:
         """The keys of a text; None where it has to go to the library whole."""

@@ -253,33 +253,81 @@ def test_cross_polytope(spark):
     assert [got[k]["component_id"] for k in ids] == [ids[w] for w in want]
 
 
-def test_html_blocks_and_boilerplate():
+def extracted(spark, html):
+    """Texts of pages of one host, in order."""
+    pages = spark.createDataFrame([(k, "http://a.b/%d" % k, h, "x") for k, h in enumerate(html)], "page_id long, url string, html string, text string")
+    rows = {r["page_id"]: r for r in html_extraction.extract(pages).collect()}
+    assert all(rows[k]["n_chars"] == len(rows[k]["text"]) and rows[k]["url"] == "http://a.b/%d" % k for k in range(len(html)))
+    return [rows[k]["text"] for k in range(len(html))]
+
+
+def html_brute_force(html):
+    """Plain loops: a block of an unmarked page goes if each of its words lies in LEAST words that REPEATS bodies hold."""
+    read = [html_extraction.blocks(h) for h in html]
+    kept, is_marked = [html_extraction.kept(r) for r in read], [any(p == html_extraction.INSIDE for p, _ in r) for r in read]
+    held, bodies, grams_of = defaultdict(set), set(), {}
+    for k, texts in enumerate(kept):
+        body = "\n".join(texts)
+        if is_marked[k]:
+            bodies.add(body)
+            for t in texts:
+                held["block", t].add(body)
+        else:
+            stream = [(None, None)] + [x for i, t in enumerate(texts) for x in [*((w, i) for w in t.split()), (None, None)]]
+            grams_of[k] = [(tuple(w for w, _ in stream[j : j + 3]), j, stream) for j in range(len(stream) - 2)]
+            for g, *_ in grams_of[k]:
+                held[g].add(body)
+    out = []
+    for k, texts in enumerate(kept):
+        if is_marked[k]:
+            out.append("\n\n".join(t for t in texts if len(held["block", t]) < max(8, len(bodies) / 2)))
+        else:
+            covered = {j + d for g, j, _ in grams_of[k] if len(held[g]) >= 3 for d in range(3)}
+            stream = grams_of[k][0][2] if grams_of[k] else []
+            bare = {i for j, (w, i) in enumerate(stream) if w is not None and j not in covered}
+            out.append("\n\n".join(t for i, t in enumerate(texts) if i in bare))
+    return out
+
+
+def test_html_blocks_and_boilerplate(spark):
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav>Home About</nav><p>Subscribe to our weekly letter now</p><div><p>Unique {0} body &amp; more<br>text&nbsp;here</p><p>Second {0}</div><div class='comment-list'><p>nice</p></div><footer>f</footer>"
-    out = html_extraction.extract_chunk([page.replace("{0}", f"word{k} and word{k + 50}") for k in range(6)])
+    out = extracted(spark, [page.replace("{0}", f"word{k} and word{k + 50}") for k in range(6)])
     assert out[2] == "Unique word2 and word52 body & more text here\n\nSecond word2 and word52"
-    copies = html_extraction.extract_chunk(["<nav>menu</nav><article><h1>Same title</h1><p>Same text of copies</p></article>"] * 4)
-    assert copies == ["Same title\n\nSame text of copies"] * 4
+    assert extracted(spark, ["<nav>menu</nav><article><h1>Same title</h1><p>Same text of copies</p></article>"] * 4) == ["Same title\n\nSame text of copies"] * 4
 
 
 @pytest.mark.parametrize("tag", ["article", "div"])
-def test_html_copies_stay(tag):
+def test_html_copies_stay(spark, tag):
     others = [f"<nav>menu</nav><{tag}><h1>Title {prose(3, k)}</h1><p>{prose(20, 50 + k)}</p></{tag}>" for k in range(2)]
     copies = [f"<nav>menu {k}</nav><{tag}><h1>Same title</h1><p>Same text of copies</p></{tag}>" for k in range(12)]
-    assert html_extraction.extract_chunk(copies + others)[:12] == ["Same title\n\nSame text of copies"] * 12
+    assert extracted(spark, copies + others)[:12] == ["Same title\n\nSame text of copies"] * 12
     notice = "<p>The notice of this host</p>"
-    assert html_extraction.extract_chunk([f"<{tag}>{notice}<p>{prose(20, k)}</p></{tag}>" for k in range(10)]) == [prose(20, k) for k in range(10)]
+    assert extracted(spark, [f"<{tag}>{notice}<p>{prose(20, k)}</p></{tag}>" for k in range(10)]) == [prose(20, k) for k in range(10)]
 
 
-def test_html_chunks_of_a_host_decide_alike(spark, monkeypatch):
+def host_pages():
+    """Unmarked pages with notices, menus without markup and composed lines; copies; marked pages; odd pages."""
     notice = "<p>The notice of this host stands here</p>"
-    html = [f"<nav>menu</nav>{notice if k % 12 == 0 else ''}<p>{prose(30, k)}</p><p>Read on {prose(2, k % 9)}</p>" for k in range(60)]
-    html += [html[0]] * 9 + [f"<main><p>Part of the site</p>{prose(12, 200 + k)}</main>" for k in range(80)] + [""]
-    pages = spark.createDataFrame([(k, "http://a.b/%d" % k, h) for k, h in enumerate(html)], "page_id long, url string, html string")
-    run = lambda: [r["text"] for r in sorted(html_extraction.extract(pages).collect(), key=lambda r: r["page_id"])]
-    want = html_extraction.extract_chunk(html)
-    assert run() == want and not any("notice" in t for t in want) and not any("Part of the" in t for t in want)
-    monkeypatch.setattr(html_extraction, "CHUNK_BYTES", 600)
-    assert run() == want
+    html = [f"<div>Home News About us</div>{notice if k % 12 == 0 else ''}<p>{prose(30, k)}</p><p>Read on {prose(2, k % 9)}</p>" for k in range(60)]
+    html += [html[0]] * 9 + [f"<main><p>Part of the site</p>{prose(12, 200 + k)}</main>" for k in range(80)]
+    return [*html, "", "<p>" + "long " * 60_000 + "</p>", "<div><p>open"]
+
+
+def test_html_of_a_host_equals_plain_loops(spark, monkeypatch):
+    html = host_pages()
+    want = html_brute_force(html)
+    assert extracted(spark, html) == want
+    assert not any("notice" in t or "Home News" in t or "Part of the" in t for t in want) and all(len(t) > 100 for t in want[:60])
+    monkeypatch.setattr(html_extraction, "CHUNK_BYTES", 600)  # the number of chunks changes nothing
+    assert extracted(spark, html) == want
+
+
+def test_html_depends_on_the_suffix_array(spark, monkeypatch):
+    html = host_pages()[:60]
+    want = extracted(spark, html)
+    monkeypatch.setattr(html_extraction, "repeated", lambda pages, bodies: [np.ones(len(p), np.int64) for p in pages])
+    without = [html_extraction._texts([p], html_extraction.repeated([p], [0]))[0] for p in ([*html_extraction.kept(html_extraction.blocks(h))] for h in html)]
+    assert all(len(a) < len(b) and "Home News" in b for a, b in zip(want, without))
 
 
 def test_html_rows(spark):
