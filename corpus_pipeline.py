@@ -3,6 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet in the shared
 folder and reads them again as the next stage's docs. All stages but the last return the columns of documents, with
 n_chars kept true to the text. Null texts have no letter and are rejected by the first stage; empty tables pass through.
+Line dedup keeps documents whose every line went, marked by an empty text and n_chars 0; the later stages keep them too,
+and packing gives them their end marker only. Other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five words, similarity 0.8)."""
     gone = near_dedup.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", identify), ("line_dedup", dedup_lines), ("minhash_near_dedup", dedup_near), ("substring_dedup", dedup_substrings), ("packing", pack)]
 
-#: SQL cannot express the stages; tests/llm holds them against brute-force versions.
+#: SQL cannot express the stages; tests/llm holds the operators against brute-force versions, language ID against held-out rows.
 ORACLE_SQL = None
 
 
