@@ -31,7 +31,7 @@ from bibloom.llm.common import components, written
 SHINGLE, VERIFY, SIMILARITY, LEAST_CHARS = 12, 5, 0.8, 10
 BANDS = 6
 #: Classes of a bucket that all of it meets first; classes of a cell that meet in one task.
-PIVOTS, BLOCK = 16, 256
+PIVOTS, BLOCK = 8, 256
 #: Words of 64 bits of the bitmaps that leave out pairs of large buckets before they are verified.
 MAPS = 128
 #: Masks whose exclusive-or with a hash orders the shingles anew: multiples of an odd constant.
@@ -87,26 +87,14 @@ def shingles(raw: str) -> Column:
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b, x, y) with their exact Jaccard similarity over the sets of VERIFY-character shingles, 0 if words rule it out.
+    """pairs (a, b, x, y) with their exact Jaccard similarity over the sets of VERIFY-character shingles.
 
     Each step is a projection of its own, so that nothing is computed twice.
     """
-    words = pairs.select("a", "b", "x", "y", F.array_distinct(F.split("x", " ")).alias("v"), F.array_distinct(F.split("y", " ")).alias("w"))
-    met = words.select("a", "b", "x", "y", _words_met().alias("met"))
-    raw = met.select("a", "b", "met", *[F.when(F.col("met"), F.encode(c, "UTF-32")).alias(c) for c in ("x", "y")])
-    sets = raw.select("a", "b", F.when(F.col("met"), shingles("x")).alias("p"), F.when(F.col("met"), shingles("y")).alias("q"))
+    raw = pairs.select("a", "b", *[F.encode(c, "UTF-32").alias(c) for c in ("x", "y")])
+    sets = raw.select("a", "b", shingles("x").alias("p"), shingles("y").alias("q"))
     sizes = sets.select("a", "b", F.size(F.array_intersect("p", "q")).alias("both"), (F.size("p") + F.size("q")).alias("n"))
-    return sizes.select("a", "b", F.coalesce(F.col("both") / (F.col("n") - F.col("both")), F.lit(0.0)).alias("jaccard"))
-
-
-def _words_met() -> Column:
-    """Whether texts x, y of distinct words v, w can be similar, judged by words where these are short and many.
-
-    Edits that leave a similarity of 0.8 over VERIFY-character shingles are 45 characters apart on the mean, so of words
-    of 12 characters on the mean a quarter differ at most: a similarity of words over 0.5. Half of that is asked for.
-    """
-    wordy = (F.size("v") * 12 >= F.length("x")) & (F.size("w") * 12 >= F.length("y"))
-    return ~wordy | (4 * F.size(F.array_intersect("v", "w")) >= F.size(F.array_union("v", "w")))
+    return sizes.select("a", "b", (F.col("both") / (F.col("n") - F.col("both"))).alias("jaccard"))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -126,33 +114,25 @@ def _texts(lines: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _several(held: DataFrame, least: int = 2) -> DataFrame:
-    """The rows of held (bucket, rep, comp) in buckets of `least` classes at least that are in two components or more."""
+    """The rows of held (band, bucket, rep, comp) in buckets of `least` classes at least that are in two components or more, with the bucket's size."""
     parts = held.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return held.join(parts.where((F.col("lo") != F.col("hi")) & (F.col("size") >= least)).select("bucket"), "bucket")
+    return held.join(parts.where((F.col("lo") != F.col("hi")) & (F.col("size") >= least)).select("bucket", "size"), "bucket")
 
 
-def _pivoted(held: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each class of a bucket and its pivots, one for each of PIVOTS shares of the bucket.
+def _mapped(held: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, n, m0, ..., b0, ...) of the classes of held (rep, ...), written.
 
-    A bucket of few classes is met whole; in a large one, what is similar to many is found without all pairs.
+    n: the size of the shingle set; m: its bitmap of hashed shingles; b: the band keys.
     """
-    share = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(PIVOTS))
-    pivots = held.groupBy("bucket", share.alias("share")).agg(F.min(F.struct("rep", "comp")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("q"))
-    met = held.join(pivots, "bucket").where("comp <> q").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-    return met.distinct()
-
-
-def _mapped(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """rest (bucket, rep, comp) with n, the size of the shingle set, and the set's bitmap m0, m1, ... of hashed shingles."""
-    own = texts.join(rest.select("rep").distinct().hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
+    own = texts.join(held.select("rep").distinct().hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
     own = written(own.select("rep", F.encode("norm", "UTF-32").alias("raw")), "raw")
     places = own.select("rep", "raw", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("raw") - (4 * VERIFY - 1)), F.lit(4))).alias("at"))
     bit = places.select("rep", F.pmod(F.xxhash64(F.substring("raw", F.col("at"), F.lit(4 * VERIFY))), F.lit(64 * MAPS)).cast("int").alias("bit"))
     words = bit.select("rep", F.floor(F.col("bit") / 64).cast("int").alias("k"), F.expr("shiftleft(1L, bit % 64)").alias("w")).groupBy("rep", "k").agg(F.bit_or("w").alias("w"))
     words = words.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"))
-    sizes = own.select("rep", F.size(shingles("raw")).alias("n"))
-    maps = written(sizes.join(words, "rep").select("rep", "n", *[F.coalesce(F.col("m")[k], F.lit(0)).alias(f"m{k}") for k in range(MAPS)]), "maps")
-    return written(rest.join(maps, "rep"), "mapped")
+    wide = words.select("rep", *[F.coalesce(F.col("m")[k], F.lit(0)).alias(f"m{k}") for k in range(MAPS)])
+    keys = classes.select(F.col("d1").alias("rep"), *[f"b{b}" for b in range(BANDS)])
+    return written(wide.join(own.select("rep", F.size(shingles("raw")).alias("n")), "rep").join(keys, "rep"), "maps")
 
 
 def _may_link() -> Column:
@@ -165,26 +145,44 @@ def _may_link() -> Column:
     return near & (F.col("n") + F.col("m") >= (1 + SIMILARITY) * bits)
 
 
-def _met(rest: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket in rest (bucket, rep, comp, n, m0, ...) that are in two components and can be similar.
+def _pivoted(held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class of a bucket and its pivots, one for each of PIVOTS shares of the bucket.
+
+    In a bucket of PIVOTS classes at most, all are pivots and it is met whole; in a larger one, what is similar to many
+    is found without all pairs.
+    """
+    share = F.when(F.col("size") <= PIVOTS, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(PIVOTS)))
+    pivots = held.groupBy("bucket", share.alias("share")).agg(F.min(F.struct("rep", "comp")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("q"))
+    met = held.join(pivots, "bucket").where("comp <> q")
+    return met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+
+
+def _met(held: DataFrame, maps: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket in held (band, bucket, rep, comp) that are in two components and can be similar.
 
-    Large buckets are dealt into blocks that meet block by block.
+    What is outside a bucket's largest component meets all of the bucket, block by block; a pair is taken in the first
+    band that holds it (in a bucket that was met whole, it is verified already).
     """
-    maps = range(MAPS)
-    sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rest.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("task")
-    x = dealt.select(task, F.col("rep").alias("a"), F.col("comp").alias("p"), "n", F.col("block").alias("i"), F.col("other").alias("j"), *[F.col(f"m{k}").alias(f"x{k}") for k in maps])
-    y = dealt.select(task, F.col("rep").alias("b"), F.col("comp").alias("q"), F.col("n").alias("m"), F.col("block").alias("k"), *[F.col(f"m{k}").alias(f"y{k}") for k in maps])
-    return x.join(y, "task").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & ((F.col("i") != F.col("k")) | (F.col("i") == F.col("j"))) & _may_link()).select("a", "b").distinct()
+    parts = held.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    sizes = parts.groupBy("bucket").agg(F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("most"))
+    sizes = sizes.select("bucket", F.col("most.comp").alias("most"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most.size")) / BLOCK).cast("int").alias("rest"))
+    full = held.drop("size").join(sizes, "bucket").join(maps, "rep")
+    block = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys, words = range(BANDS), range(MAPS)
+    x = full.where("comp <> most").select("bucket", "most", "band", block("rest").alias("i"), every("blocks").alias("k"), F.col("rep").alias("a"), F.col("comp").alias("p"), "n", *[F.col(f"b{b}").alias(f"c{b}") for b in keys], *[F.col(f"m{k}").alias(f"x{k}") for k in words])
+    y = full.select("bucket", every("rest").alias("i"), block("blocks").alias("k"), F.col("rep").alias("b"), F.col("comp").alias("q"), F.col("n").alias("m"), *[f"b{b}" for b in keys], *[F.col(f"m{k}").alias(f"y{k}") for k in words])
+    first = reduce(Column.__and__, [(F.col("band") <= b) | (F.col(f"b{b}") != F.col(f"c{b}")) for b in keys])
+    once = (F.col("p") != F.col("q")) & ((F.col("q") == F.col("most")) | (F.col("a") < F.col("b")))
+    met = x.join(y, ["bucket", "i", "k"]).where(once & first & _may_link())
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def line_classes(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """(rows, members): every line's digest, and each class with the earliest line of its component."""
     lines = lines_of(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), least_chars)
     classes = written(sketched(lines), "classes")
-    banded = classes.select(F.col("d1").alias("rep"), F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("bucket"))
+    banded = classes.select(F.col("d1").alias("rep"), F.posexplode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band", "bucket"))
     met = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("bucket", "lead")
     held = written(banded.join(met, "bucket"), "buckets")
     pairs = written(held.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
@@ -193,11 +191,11 @@ def line_classes(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataF
     links = _linked(pairs, texts)
     comps = components(links).withColumnRenamed("id", "rep")
     for least in (2, PIVOTS + 1):  # what the lead, then the pivots leave apart; what they met is verified
-        known = held.join(comps, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+        known = held.join(comps, "rep", "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("comp"))
         inner = written(_several(known, least), "inner")
         if inner.isEmpty():
             break
-        pairs = _pivoted(inner) if least == 2 else _met(_mapped(inner, texts))
+        pairs = _pivoted(inner) if least == 2 else _met(inner, _mapped(inner, texts, classes))
         links = links.unionByName(_linked(written(pairs, "pairs"), texts))
         comps = components(links).withColumnRenamed("id", "rep")
     linked = classes.select(F.col("d1").alias("rep"), "d1", "d2", F.struct("doc_id", "line").alias("first")).join(comps, "rep", "left")
