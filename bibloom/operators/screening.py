@@ -90,8 +90,12 @@ def screened_in(works: DataFrame) -> DataFrame:
 
 
 def extraction_tasks(works: DataFrame, fields: list[str]) -> DataFrame:
-    """(work_id, task): what an extractor gets for a screened-in and verified work; with nothing screened yet, for all verified."""
-    some = works.agg(F.coalesce(F.bool_or((F.col("screen") == "include") & (F.col("validation") == "verified")), F.lit(False)).alias("some"))
+    """(work_id, task): what an extractor gets for a screened-in and verified work.
+
+    While no work has a verdict but those that rules excluded, it is all verified works.
+    """
+    by_hand = (F.coalesce("screen", F.lit("")) != "") & ~F.startswith(F.coalesce("screen_reason", F.lit("")), F.lit("rule:"))
+    some = works.agg(F.coalesce(F.bool_or(by_hand), F.lit(False)).alias("some"))  # one row
     picked = works.join(F.broadcast(some)).where((F.col("validation") == "verified") & (~F.col("some") | (F.col("screen") == "include")))
     task = F.struct("title", "doi", "arxiv_id", "year", T.arxiv_pdf_url(F.col("arxiv_id")).alias("pdf"), "abstract", F.array(*map(F.lit, fields)).alias("schema"))
     return picked.select("work_id", F.to_json(task).alias("task"))

@@ -27,10 +27,10 @@ def write_works(works: DataFrame, path: str) -> None:
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     """(index, t, verdict, reason, role): the last well-formed line of each index; unknown roles are empty."""
-    rows = _numbered(spark, path).select("file", "line", F.from_json("value", VERDICT).alias("v")).select("file", "line", "v.*")
+    rows = _numbered(spark, path).select("file", "block", "line", F.from_json("value", VERDICT).alias("v")).select("file", "block", "line", "v.*")
     rows = rows.withColumn("index", F.when(F.col("index").isin("true", "false"), F.when(F.col("index") == "true", 1).otherwise(0)).otherwise(F.col("index").try_cast("long")))
     good = rows.where(F.col("index").isNotNull() & F.col("verdict").isin(*VERDICTS))
-    last = good.groupBy("index").agg(F.max_by(F.struct("t", "verdict", "reason", "role"), F.struct("file", "line")).alias("r"))
+    last = good.groupBy("index").agg(F.max_by(F.struct("t", "verdict", "reason", "role"), F.struct("file", "block", "line")).alias("r"))
     role = F.when(F.col("r.role").isin("review", "primary", "method", "theory"), F.col("r.role")).otherwise("")
     return last.select("index", F.coalesce("r.t", F.lit("")).alias("t"), "r.verdict", F.coalesce("r.reason", F.lit("")).alias("reason"), role.alias("role"))
 
