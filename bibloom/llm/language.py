@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import bounded_batches, sliced, texts_of
+from bibloom.llm.common import bounded_batches, release, sliced, texts_of
 
 #: Labelled rows that the network is fitted on, at most; windows taken from each.
 SAMPLE, CROPS = 2000, 4
@@ -66,7 +66,7 @@ class Network:
         return columns, maps, maps.max(axis=1)
 
     def logits(self, windows: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.maximum(self.pooled(windows[i : i + 256])[2] + self.bias, 0) @ self.dense + self.offset for i in range(0, len(windows), 256)])
+        return np.concatenate([np.maximum(self.pooled(windows[i : i + 128])[2] + self.bias, 0) @ self.dense + self.offset for i in range(0, len(windows), 128)])
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, seed: int = 11) -> Network:
         rng, step = np.random.default_rng(seed), 0
@@ -185,5 +185,6 @@ def accepted(docs: DataFrame, net: Network, least: float = 0.05) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 20):
             yield batch.filter(pa.array(net.accepts(texts_of(batch.column("text")), least), pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -120,7 +120,7 @@ def _several(held: DataFrame, least: int = 2) -> DataFrame:
 
 
 def _mapped(held: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, n, m0, ..., b0, ...) of the classes of held (rep, ...), written.
+    """(rep, n, m, b0, ...) of the classes of held (rep, ...), written; m as an array, as a file of many columns takes memory.
 
     n: the size of the shingle set; m: its bitmap of hashed shingles; b: the band keys.
     """
@@ -130,7 +130,7 @@ def _mapped(held: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     bit = places.select("rep", F.pmod(F.xxhash64(F.substring("raw", F.col("at"), F.lit(4 * VERIFY))), F.lit(64 * MAPS)).cast("int").alias("bit"))
     words = bit.select("rep", F.floor(F.col("bit") / 64).cast("int").alias("k"), F.expr("shiftleft(1L, bit % 64)").alias("w")).groupBy("rep", "k").agg(F.bit_or("w").alias("w"))
     words = words.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"))
-    wide = words.select("rep", *[F.coalesce(F.col("m")[k], F.lit(0)).alias(f"m{k}") for k in range(MAPS)])
+    wide = words.select("rep", F.transform(F.sequence(F.lit(0), F.lit(MAPS - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0).cast("long"))).alias("m"))
     keys = classes.select(F.col("d1").alias("rep"), *[f"b{b}" for b in range(BANDS)])
     return written(wide.join(own.select("rep", F.size(shingles("raw")).alias("n")), "rep").join(keys, "rep"), "maps")
 
@@ -166,12 +166,12 @@ def _met(held: DataFrame, maps: DataFrame) -> DataFrame:
     parts = held.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     sizes = parts.groupBy("bucket").agg(F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("most"))
     sizes = sizes.select("bucket", F.col("most.comp").alias("most"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most.size")) / BLOCK).cast("int").alias("rest"))
-    full = held.drop("size").join(sizes, "bucket").join(maps, "rep")
+    full = held.drop("size").join(sizes, "bucket").join(maps.withColumnRenamed("m", "bits"), "rep")
     block = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys, words = range(BANDS), range(MAPS)
-    x = full.where("comp <> most").select("bucket", "most", "band", block("rest").alias("i"), every("blocks").alias("k"), F.col("rep").alias("a"), F.col("comp").alias("p"), "n", *[F.col(f"b{b}").alias(f"c{b}") for b in keys], *[F.col(f"m{k}").alias(f"x{k}") for k in words])
-    y = full.select("bucket", every("rest").alias("i"), block("blocks").alias("k"), F.col("rep").alias("b"), F.col("comp").alias("q"), F.col("n").alias("m"), *[f"b{b}" for b in keys], *[F.col(f"m{k}").alias(f"y{k}") for k in words])
+    x = full.where("comp <> most").select("bucket", "most", "band", block("rest").alias("i"), every("blocks").alias("k"), F.col("rep").alias("a"), F.col("comp").alias("p"), "n", *[F.col(f"b{b}").alias(f"c{b}") for b in keys], *[F.col("bits")[k].alias(f"x{k}") for k in words])
+    y = full.select("bucket", every("rest").alias("i"), block("blocks").alias("k"), F.col("rep").alias("b"), F.col("comp").alias("q"), F.col("n").alias("m"), *[f"b{b}" for b in keys], *[F.col("bits")[k].alias(f"y{k}") for k in words])
     first = reduce(Column.__and__, [(F.col("band") <= b) | (F.col(f"b{b}") != F.col(f"c{b}")) for b in keys])
     once = (F.col("p") != F.col("q")) & ((F.col("q") == F.col("most")) | (F.col("a") < F.col("b")))
     met = x.join(y, ["bucket", "i", "k"]).where(once & first & _may_link())

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import U64, Union, bounded_batches, components, groups, mix, partitions, sliced, texts_of, word_hashes, written
+from bibloom.llm.common import U64, Union, bounded_batches, components, groups, mix, partitions, release, sliced, texts_of, word_hashes, written
 
 #: Trees; a pair of similarity s is missed by all with probability (1 - s * s) ** TREES at most where nodes are small.
 TREES = 10
@@ -154,6 +154,7 @@ def _compare(words: int, percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        release()
 
     return run
 

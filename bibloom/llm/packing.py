@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import U64, Memory, bounded_batches, ids_of, mix, partitions, sliced, texts_of, written
+from bibloom.llm.common import U64, Memory, bounded_batches, ids_of, mix, partitions, release, sliced, texts_of, written
 
 #: Bits of each of the three curve coordinates; the key has three times as many, and 33 bits more from doc_id.
 BITS = 10
@@ -89,12 +89,12 @@ class Words:
     pre-tokenizer.
     """
 
-    #: Words of a generation of the memory.
-    MOST = 1_000_000
+    #: Words of a generation of the memory; two workers an executor hold theirs beside the heap.
+    MOST = 150_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         own = self.tokenizer = Tokenizer.from_file(path)
         special = "|".join(re.escape(t.content) for t in own.get_added_tokens_decoder().values())
@@ -107,8 +107,7 @@ class Words:
             spell = lambda t: own.pre_tokenizer.pre_tokenize_str(t)[0][0]
             self.space = spell(" a")[:-1]
             self.spelling = {c: spell(chr(c)) for c in range(0x80, ord(LATIN_END)) if chr(c).isalpha()}
-            self.model = Tokenizer.from_file(path)
-            self.model.pre_tokenizer = pre_tokenizers.Sequence([])
+            self.model = Tokenizer(own.model)  # the same model, without normaliser and pre-tokenizer
         self.memory = Memory(self._fill, self.MOST)
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -155,7 +154,7 @@ def words_of(path: str) -> Words:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, "text"):
+    for batch in sliced(batches, "text", 1 << 20):
         ids = batch.column("doc_id")
         yield pa.RecordBatch.from_arrays([pa.array(curve_keys(texts_of(batch.column("text")), ids_of(ids)))], names=["key"])
 
@@ -163,11 +162,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _encoded(path: str, bounds: np.ndarray, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, stop = words_of(path).encode, np.array([end], "<u2").tobytes()
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20):
             texts, ids = texts_of(batch.column("text")), batch.column("doc_id")
             key = curve_keys(texts, ids_of(ids))
             part = np.searchsorted(bounds, key, "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([ids, pa.array(part), pa.array(key), pa.array([e + stop for e in encode(texts)], pa.binary())], names=["doc_id", "part", "key", "ids"])
+        release()
 
     return run
 
@@ -222,6 +222,8 @@ def _pack(length: int):
                     held, total, first = back[::-1], keep, first + n
         if held:
             yield rows(part, held, total, first, True)[0]
+        held = []
+        release()
 
     return run
 

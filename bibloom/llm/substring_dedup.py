@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import bounded_batches, sliced, texts_of, written
+from bibloom.llm.common import bounded_batches, release, sliced, texts_of, written
 
 #: Words of a unit that is looked up; words of a removed run that does not fill its lines.
 UNIT_WORDS, RUN_WORDS = 4, 20
@@ -164,6 +164,7 @@ def _rewrite(keep: list[str], later: str, rule: Rule, with_spans: bool):
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 arrays += [pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind), pa.array([len(s) for s in spans], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=keep + (["removed", "n_removed"] if with_spans else []))
+        release()
 
     return run
 
