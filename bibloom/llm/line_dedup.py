@@ -199,8 +199,9 @@ def line_classes(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataF
         links = links.unionByName(_linked(written(pairs, "pairs"), texts))
         comps = components(links).withColumnRenamed("id", "rep")
     linked = classes.select(F.col("d1").alias("rep"), "d1", "d2", F.struct("doc_id", "line").alias("first")).join(comps, "rep", "left")
-    kept = linked.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("kept"))
-    members = linked.join(kept, "component", "left").select("d1", "d2", F.coalesce("kept", "first").alias("component"))
+    alone, linked = linked.where(F.col("component").isNull()), linked.where(F.col("component").isNotNull())
+    kept = linked.groupBy("component").agg(F.min("first").alias("kept"))
+    members = linked.join(kept, "component").select("d1", "d2", F.col("kept").alias("component")).unionByName(alone.select("d1", "d2", F.col("first").alias("component")))
     return lines.select("doc_id", "line", *_digest()), members
 
 
