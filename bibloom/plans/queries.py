@@ -245,7 +245,7 @@ def review_queue(spark, sf_dir):
 @query(f"SELECT l.doc_id AS work_id, {SQL_TITLE} AS title FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1 AND l.doc_id % 2 = 0")
 def extraction_tasks(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("work_id"), F.when(F.col("quality") == 1, "include").otherwise("exclude").alias("screen"), F.when(F.col("doc_id") % 2 == 0, "verified").otherwise("quarantined").alias("validation"))
-    w = works(spark, sf_dir).join(labels, "work_id").withColumns({"doi": F.lit(None).cast("string"), "arxiv_id": F.lit(None).cast("string"), "year": F.lit("")})
+    w = works(spark, sf_dir).join(labels, "work_id").withColumns({"doi": F.lit(None).cast("string"), "arxiv_id": F.lit(None).cast("string"), "year": F.lit(""), "screen_reason": F.lit("")})
     return screening.extraction_tasks(w, ["gate"]).select("work_id", F.get_json_object("task", "$.title").alias("title"))
 
 
