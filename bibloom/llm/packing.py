@@ -146,10 +146,11 @@ class Words:
 _words: dict[str, Words] = {}
 
 
-def words_of(path: str) -> Words:
+def words_of(path: str, memory: int = Words.MOST) -> Words:
     """One encoder a worker process."""
     if path not in _words:
         _words[path] = Words(path)
+    _words[path].memory.most = memory
     return _words[path]
 
 
@@ -159,9 +160,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(curve_keys(texts_of(batch.column("text")), ids_of(ids)))], names=["key"])
 
 
-def _encoded(path: str, bounds: np.ndarray, end: int):
+def _encoded(path: str, bounds: np.ndarray, end: int, memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, stop = words_of(path).encode, np.array([end], "<u2").tobytes()
+        encode, stop = words_of(path, memory).encode, np.array([end], "<u2").tobytes()
         for batch in sliced(batches, "text", 1 << 20):
             texts, ids = texts_of(batch.column("text")), batch.column("doc_id")
             key = curve_keys(texts, ids_of(ids))
@@ -228,12 +229,12 @@ def _pack(length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 0, length: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int = 0, length: int = 1024, memory: int = Words.MOST) -> DataFrame:
     """Pieces of all documents in sequences of at most `length` (a power of two) tokens, neighbours on the curve together.
 
     Columns: doc_id, start (the document's ids before the piece), length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset (in the sequence). The ranges of the curve come from approximate quantiles of all
-    keys; they only deal the work, every document is packed.
+    keys; they only deal the work, every document is packed. memory: words that a worker remembers of a generation.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -242,5 +243,5 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, length: int = 1024) -> D
     keys = written(source.mapInArrow(_keys, "key long"), "keys")
     bounds = keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n).alias("b")).first()["b"] if n > 1 else []
     bounds = np.unique(np.array(bounds or [], np.int64))
-    ids = source.mapInArrow(_encoded(tokenizer, bounds, end), "doc_id long, part int, key long, ids binary")
+    ids = source.mapInArrow(_encoded(tokenizer, bounds, end, memory), "doc_id long, part int, key long, ids binary")
     return ids.repartition(n, "part").sortWithinPartitions("part", "key", "doc_id").drop("key").mapInArrow(_pack(length), _SCHEMA)
