@@ -6,9 +6,10 @@ three bytes or more (scripts without spaces), and at every byte of a long token
 exploded and aggregated, so that the minima are taken map-side in generated code. Pairs of minima form the bands.
 Classes that share a band are compared: first with their bucket's lead, then with PIVOTS of its classes, then all pairs
 of the bucket that these have not brought into one component. Large buckets are dealt into blocks that meet block
-against block, and bitmaps of the shingle sets leave out pairs that cannot be similar; no other pair is left out. Every pair is verified by its exact Jaccard similarity over all VERIFY-character shingles of
-both lines (as 64-bit hashes), and verified pairs are joined into components by distributed union-find. One line of a
-component stays: the earliest by (doc_id, line).
+against block. Bitmaps of the shingle sets, made once a class, leave out pairs that cannot be similar; no other pair is
+left out. The rest are verified by their exact Jaccard similarity over all VERIFY-character shingles of both lines (as
+64-bit hashes), and verified pairs are joined into components by distributed union-find. One line of a component stays:
+the earliest by (doc_id, line).
 
 Null text counts as empty. Blank lines and lines under `least_chars` characters (without spaces around them) always stay
 and are in no component but their own; least_chars=1 compares every line. A line of fewer than VERIFY characters has
@@ -32,8 +33,8 @@ SHINGLE, VERIFY, SIMILARITY, LEAST_CHARS = 12, 5, 0.8, 10
 BANDS = 6
 #: Classes of a bucket that all of it meets first; classes of a cell that meet in one task.
 PIVOTS, BLOCK = 8, 256
-#: Words of 64 bits of the bitmaps that leave out pairs of large buckets before they are verified.
-MAPS = 128
+#: Words of 64 bits of the bitmaps that leave out pairs before they are verified: of any pair, and within large buckets.
+COARSE, MAPS = 32, 128
 #: Masks whose exclusive-or with a hash orders the shingles anew: multiples of an odd constant.
 MASKS = [((k + 1) * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63) for k in range(BANDS)]
 #: Base of a line's rank among all lines: doc_id * LINES + line, as a decimal.
@@ -113,6 +114,27 @@ def _texts(lines: DataFrame, reps: DataFrame) -> DataFrame:
     return written(lines.join(reps.hint("merge"), ["doc_id", "line"]).select("rep", "norm"), "texts")
 
 
+def _bitmaps(texts: DataFrame) -> DataFrame:
+    """(rep, n, w0, w1, ...): a bitmap of COARSE words of each class's shingles, and how many shingles it has at most."""
+    raw = texts.select("rep", F.encode("norm", "UTF-32").alias("raw"))
+    places = raw.select("rep", "raw", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("raw") - (4 * VERIFY - 1)), F.lit(4))).alias("at"))
+    bit = places.select("rep", "at", F.pmod(F.xxhash64(F.substring("raw", F.col("at"), F.lit(4 * VERIFY))), F.lit(64 * COARSE)).cast("int").alias("bit"))
+    word = bit.select("rep", "at", F.shiftright("bit", 6).alias("k"), F.expr("shiftleft(1L, bit & 63)").alias("w"))
+    words = [F.bit_or(F.when(F.col("k") == k, F.col("w")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(COARSE)]
+    return written(word.groupBy("rep").agg(F.floor((F.max("at") + 3) / 4).cast("int").alias("n"), *words), "bitmaps")
+
+
+def _possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can be similar by their classes' bitmaps: lossless, as a union has as many members as bits at least."""
+    side = lambda rep, n, w: bitmaps.select(F.col("rep").alias(rep), F.col("n").alias(n), *[F.col(f"w{k}").alias(f"{w}{k}") for k in range(COARSE)])
+    both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    return both.where(F.col("n") + F.col("m") >= (1 + SIMILARITY) * _union_bits(COARSE)).select("a", "b")
+
+
+def _union_bits(words: int) -> Column:
+    return reduce(Column.__add__, [F.bit_count(F.col(f"x{k}").bitwiseOR(F.col(f"y{k}"))) for k in range(words)])
+
+
 def _several(held: DataFrame, least: int = 2) -> DataFrame:
     """The rows of held (band, bucket, rep, comp) in buckets of `least` classes at least that are in two components or more, with the bucket's size."""
     parts = held.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -140,9 +162,8 @@ def _may_link() -> Column:
 
     A union has as many members as its bitmap has bits at least, so the intersection has n + m less these at most.
     """
-    bits = reduce(Column.__add__, [F.bit_count(F.col(f"x{k}").bitwiseOR(F.col(f"y{k}"))) for k in range(MAPS)])
     near = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
-    return near & (F.col("n") + F.col("m") >= (1 + SIMILARITY) * bits)
+    return near & (F.col("n") + F.col("m") >= (1 + SIMILARITY) * _union_bits(MAPS))
 
 
 def _pivoted(held: DataFrame) -> DataFrame:
@@ -185,17 +206,18 @@ def line_classes(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataF
     banded = classes.select(F.col("d1").alias("rep"), F.posexplode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band", "bucket"))
     met = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("bucket", "lead")
     held = written(banded.join(met, "bucket"), "buckets")
-    pairs = written(held.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     ends = held.select("rep").distinct().join(classes.select(F.col("d1").alias("rep"), "doc_id", "line"), "rep")
     texts = _texts(lines, ends)
-    links = _linked(pairs, texts)
+    bitmaps = _bitmaps(texts)
+    pairs = held.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    links = _linked(written(_possible(pairs, bitmaps), "pairs"), texts)
     comps = components(links).withColumnRenamed("id", "rep")
     for least in (2, PIVOTS + 1):  # what the lead, then the pivots leave apart; what they met is verified
         known = held.join(comps, "rep", "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("comp"))
         inner = written(_several(known, least), "inner")
         if inner.isEmpty():
             break
-        pairs = _pivoted(inner) if least == 2 else _met(inner, _mapped(inner, texts, classes))
+        pairs = _possible(_pivoted(inner), bitmaps) if least == 2 else _met(inner, _mapped(inner, texts, classes))
         links = links.unionByName(_linked(written(pairs, "pairs"), texts))
         comps = components(links).withColumnRenamed("id", "rep")
     linked = classes.select(F.col("d1").alias("rep"), "d1", "d2", F.struct("doc_id", "line").alias("first")).join(comps, "rep", "left")
