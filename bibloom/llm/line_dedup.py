@@ -82,9 +82,13 @@ def sketched(lines: DataFrame) -> DataFrame:
 
 
 def shingles(raw: str) -> Column:
-    """Hashes of the distinct VERIFY-character shingles of a text in UTF-32."""
-    begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(raw) - (4 * VERIFY - 1)), F.lit(4))
-    return F.array_distinct(F.transform(begins, lambda i: F.xxhash64(F.substring(raw, i, F.lit(4 * VERIFY)))))
+    """Hashes of the distinct VERIFY-character shingles of a text in UTF-32.
+
+    The text is the variable r of an outer lambda: a column in the inner one would be copied for each of its places.
+    """
+    begins = lambda r: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(r) - (4 * VERIFY - 1)), F.lit(4))
+    each = lambda r: F.transform(begins(r), lambda i: F.xxhash64(F.substring(r, i, F.lit(4 * VERIFY))))
+    return F.array_distinct(F.transform(F.array(raw), each)[0])
 
 
 def scored(pairs: DataFrame) -> DataFrame:
