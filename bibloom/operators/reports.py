@@ -6,8 +6,10 @@ one task and the part files follow each other in order.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from bibloom.functions import text as T
 from bibloom.operators import bib, graph
@@ -93,6 +95,27 @@ def exit_codes(findings: DataFrame, files: DataFrame, strict: bool = False) -> D
     return all_.withColumn("exit_code", F.when(F.col("errors") > 0, 2).when(F.col("warnings") > 0, 2 if strict else 1).otherwise(0))
 
 
+def json_reports(findings: DataFrame, entries: DataFrame, strict: bool = False) -> DataFrame:
+    """(file, report): one JSON object a file of entries, with its counts, exit code, renamed keys and findings in order.
+
+    A file's findings are gathered, as the object is one value: it is as large as the file that they are about.
+    """
+    one = F.struct(finding_place().alias("place"), "level", "code", "key", "line", "message")
+    found = findings.groupBy("file").agg(F.count_if(F.col("level") == "info").alias("info"), F.transform(F.sort_array(F.collect_list(one)), lambda x: x.dropFields("place")).alias("findings"))
+    new = F.col("new_key") if "new_key" in entries.columns else F.lit(None).cast("string")
+    own = entries.groupBy("file").agg(F.count("*").alias("entry_count"), F.collect_list(F.when(new != F.col("key"), F.struct(F.col("key").alias("old"), new.alias("new")))).alias("renamed"))
+    whole = exit_codes(findings, own, strict).join(own, "file").join(found, "file", "left")
+    none = F.array().cast("array<struct<level:string,code:string,key:string,line:int,message:string>>")
+    counts = F.struct(F.col("errors").alias("error"), F.col("warnings").alias("warning"), F.coalesce("info", F.lit(0)).alias("info"))
+    return whole.select("file", F.to_json(F.struct(F.col("file").alias("input"), "entry_count", counts.alias("counts"), "exit_code", F.col("renamed").alias("rename_map"), F.coalesce("findings", none).alias("findings")), {"ignoreNullFields": "false"}).alias("report"))
+
+
+@F.pandas_udf(StringType())
+def escaped(s: pd.Series) -> pd.Series:
+    """Text in ASCII, other characters as backslash escapes; null stays."""
+    return s.map(lambda x: None if x is None else x.encode("ascii", "backslashreplace").decode("ascii"))
+
+
 def plain_references(entries: DataFrame) -> DataFrame:
     """(file, number, line): each file's entries by key as a numbered plain bibliography."""
     text = lambda n: F.trim(F.coalesce(bib.field(n), F.lit("")))
@@ -128,9 +151,10 @@ def run_log(gated: DataFrame, search: dict[str, Column]) -> DataFrame:
     return counts.select(F.to_json(F.struct(*[c.alias(n) for n, c in search.items()], "corpus_size", "verified", "quarantined")).alias("line"))
 
 
-def write_lines(rows: DataFrame, path: str, opening: list[str] = ()) -> None:
+def write_lines(rows: DataFrame, path: str, opening: list[str] = (), ascii_only: bool = False) -> None:
     """Report lines as text: the opening (title, table head) in the first part file, rows by place after it."""
-    rows = rows.repartitionByRange(F.col("place")).sortWithinPartitions("place").select("line")
+    line = escaped("line").alias("line") if ascii_only else F.col("line")
+    rows = rows.repartitionByRange(F.col("place")).sortWithinPartitions("place").select(line)
     if opening:
         rows = rows.sparkSession.createDataFrame([("\n".join(opening),)], "line string").coalesce(1).union(rows)
     rows.write.mode("overwrite").text(path)

@@ -89,16 +89,25 @@ def screened_in(works: DataFrame) -> DataFrame:
     return works.where("screen = 'include'")
 
 
-def extraction_tasks(works: DataFrame, fields: list[str]) -> DataFrame:
+def extraction_tasks(works: DataFrame, fields: list[str], cite_keys: DataFrame | None = None, instructions: str = "") -> DataFrame:
     """(work_id, task): what an extractor gets for a screened-in and verified work.
 
-    While no work has a verdict but those that rules excluded, it is all verified works.
+    While no work has a verdict but those that rules excluded, it is all verified works. cite_keys: (work_id, cite_key)
+    of refs.bib; a work without one is `work` and its position in the corpus (its work_id where works have none), three
+    digits at least. Works without a column oa_pdf_url have no such link.
     """
     by_hand = (F.coalesce("screen", F.lit("")) != "") & ~F.startswith(F.coalesce("screen_reason", F.lit("")), F.lit("rule:"))
     some = works.agg(F.coalesce(F.bool_or(by_hand), F.lit(False)).alias("some"))  # one row
     picked = works.join(F.broadcast(some)).where((F.col("validation") == "verified") & (~F.col("some") | (F.col("screen") == "include")))
-    task = F.struct("title", "doi", "arxiv_id", "year", T.arxiv_pdf_url(F.col("arxiv_id")).alias("pdf"), "abstract", F.array(*map(F.lit, fields)).alias("schema"))
-    return picked.select("work_id", F.to_json(task).alias("task"))
+    picked = picked.withColumn("cite_key", F.lit(None).cast("string")) if cite_keys is None else picked.join(cite_keys, "work_id", "left")
+    place = F.col("position" if "position" in works.columns else "work_id").cast("string")
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in works.columns else F.lit("")
+    task = F.struct(
+        F.lit(instructions).alias("instructions"), F.coalesce(F.nullif("cite_key", F.lit("")), F.concat(F.lit("work"), F.lpad(place, F.greatest(F.lit(3), F.length(place)), F.lit("0")))).alias("cite_key"),
+        "title", "doi", "arxiv_id", "year", text("oa_pdf_url").alias("pdf_url"), T.arxiv_pdf_url(F.col("arxiv_id")).alias("arxiv_pdf_url"),
+        ((text("oa_pdf_url") != "") | (text("arxiv_id") != "")).alias("has_open_access_pdf"), text("abstract").alias("abstract"), F.array(*map(F.lit, fields)).alias("schema"),
+    )
+    return picked.select("work_id", F.to_json(task, {"ignoreNullFields": "false"}).alias("task"))
 
 
 def gold_recall(gold: DataFrame, works: DataFrame) -> DataFrame:
@@ -107,6 +116,12 @@ def gold_recall(gold: DataFrame, works: DataFrame) -> DataFrame:
     return gold.withColumn("d", T.clean_doi(F.col("doi"))).join(own, "d", "left").select(*gold.columns, F.col("w").isNotNull().alias("found"), F.coalesce("w.screen", F.lit("")).alias("screen"), F.coalesce("w.validation", F.lit("")).alias("validation"))
 
 
+def gold_summary(recalled: DataFrame) -> DataFrame:
+    """One row from gold_recall's: total, found, recall_pct (one digit, 0 without gold papers) and how many were found but screened out."""
+    counts = recalled.agg(F.count("*").alias("total"), F.count_if("found").alias("found"), F.count_if(F.col("found") & F.col("screen").isin("exclude", "unsure")).alias("found_but_screened_out"))
+    return counts.withColumn("recall_pct", F.when(F.col("total") > 0, F.bround(100 * F.col("found") / F.col("total"), 1)).otherwise(0.0))
+
+
 def known_items(items: DataFrame, works: DataFrame, least: float = 0.8) -> DataFrame:
     """items (item_id, title) with the best work by title ratio, the earlier on ties; found from `least` on.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bibloom.functions import numeric
 from bibloom.functions import text as T
-from bibloom.operators import bib, dedup, evidence, gate, graph, relevance, reports, screening, verification
+from bibloom.operators import bib, dedup, evidence, export, gate, graph, relevance, reports, screening, verification
 from bibloom.sources import payloads
 
 FORBIDDEN = ["tionly", "enbleed", "ostmente"]
@@ -242,11 +242,14 @@ def review_queue(spark, sf_dir):
     return screening.review_queue(works(spark, sf_dir).join(labels, "work_id", "left")).select("work_id")
 
 
-@query(f"SELECT l.doc_id AS work_id, {SQL_TITLE} AS title FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1 AND l.doc_id % 2 = 0")
+@query(f"""SELECT l.doc_id AS work_id, {SQL_TITLE} AS title, 'work' || CASE WHEN l.doc_id < 100 THEN lpad(CAST(l.doc_id AS VARCHAR), 3, '0') ELSE CAST(l.doc_id AS VARCHAR) END AS cite_key, CASE WHEN l.doc_id % 4 = 0 THEN 'https://x/' || l.doc_id ELSE '' END AS pdf_url,
+    CASE WHEN l.doc_id % 3 = 0 THEN 'https://arxiv.org/pdf/' || l.doc_id ELSE '' END AS arxiv_pdf_url, CASE WHEN l.doc_id % 4 = 0 OR l.doc_id % 3 = 0 THEN 'true' ELSE 'false' END AS has_open_access_pdf FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1 AND l.doc_id % 2 = 0""")
 def extraction_tasks(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("work_id"), F.when(F.col("quality") == 1, "include").otherwise("exclude").alias("screen"), F.when(F.col("doc_id") % 2 == 0, "verified").otherwise("quarantined").alias("validation"))
-    w = works(spark, sf_dir).join(labels, "work_id").withColumns({"doi": F.lit(None).cast("string"), "arxiv_id": F.lit(None).cast("string"), "year": F.lit(""), "screen_reason": F.lit("")})
-    return screening.extraction_tasks(w, ["gate"]).select("work_id", F.get_json_object("task", "$.title").alias("title"))
+    k = F.col("work_id")
+    w = works(spark, sf_dir).join(labels, "work_id").withColumns({"doi": F.lit(None).cast("string"), "arxiv_id": F.when(k % 3 == 0, k.cast("string")), "oa_pdf_url": F.when(k % 4 == 0, F.concat(F.lit("https://x/"), k.cast("string"))), "year": F.lit(""), "screen_reason": F.lit("")})
+    tasks = screening.extraction_tasks(w, ["gate"])
+    return tasks.select("work_id", *[F.get_json_object("task", f"$.{c}").alias(c) for c in ("title", "cite_key", "pdf_url", "arxiv_pdf_url", "has_open_access_pdf")])
 
 
 @query("SELECT p_partkey AS key, p_partkey % 3 <> 0 AS found, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 THEN 'include' ELSE '' END AS screen FROM part")
@@ -257,6 +260,46 @@ def gold_recall(spark, sf_dir):
     return screening.gold_recall(gold, w).select("key", "found", "screen")
 
 
+@query("SELECT count(*) AS total, count(*) FILTER (p_partkey % 3 <> 0) AS found, count(*) FILTER (p_partkey % 3 <> 0 AND p_partkey % 2 = 1) AS found_but_screened_out, round(100.0 * count(*) FILTER (p_partkey % 3 <> 0) / count(*), 1) AS recall_pct FROM part")
+def gold_summary(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    gold = p.select(k.alias("key"), F.concat(F.lit("doi:10.1234/"), k.cast("string")).alias("doi"))
+    w = p.where(k % 3 != 0).select(F.concat(F.lit("10.1234/"), k.cast("string")).alias("doi"), F.when(k % 2 == 0, "include").otherwise("exclude").alias("screen"), F.lit("").alias("validation"), k.alias("position"))
+    return screening.gold_summary(screening.gold_recall(gold, w))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Doe' ELSE 'de' || split_part(p_type, ' ', 1) END AS surname FROM part")
+def surname_key(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    names = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Doe, "), "p_brand", F.lit(" and Roe, J"))).otherwise(F.concat("p_brand", F.lit(" de "), F.substring_index("p_type", " ", 1)))
+    return p.select("p_partkey", T.surname_udf(names).alias("surname"))
+
+
+@query("SELECT 'k' || CAST(p_partkey % 500 AS VARCHAR) AS key, count(*) - 1 AS n FROM part GROUP BY p_partkey % 500 HAVING count(*) > 1")
+def dup_keys(spark, sf_dir):
+    e = _entries(spark, sf_dir).withColumn("key", F.concat(F.lit("k"), (F.col("node_pos") % 500).cast("string")))
+    return bib.duplicate_findings(e).where("code = 'duplicate-key'").groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 's' || s_suppkey AS key, '@misc{s' || s_suppkey || ',' || chr(10) || '    title = {' || s_name || '},' || chr(10) || '    note  = {' || s_nationkey || '}' || chr(10) || '}' AS line FROM supplier")
+def bib_layout(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    f = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("text"), F.lit("brace").alias("delim"))
+    kind, none = F.lit("misc").alias("type"), F.lit(None).cast("string")
+    nodes = s.select(F.lit("f").alias("file"), F.col("s_suppkey").cast("int").alias("node_pos"), F.lit("entry").alias("kind"), kind, F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("key"), F.lit(0).alias("section_id"), F.lit(False).alias("is_banner"), none.alias("text"), none.alias("lead_comment"), F.array(f("note", F.col("s_nationkey")), f("title", F.col("s_name"))).alias("fields"))
+    return export.laid_out(nodes, "global").select(F.col("place.key").alias("key"), "line")
+
+
+@query("SELECT CAST(s_nationkey AS VARCHAR) AS file, CAST(count(*) AS VARCHAR) AS entry_count, CAST(count(*) FILTER (s_suppkey % 3 = 0) AS VARCHAR) AS errors, CASE WHEN count(*) FILTER (s_suppkey % 3 = 0) > 0 THEN '2' ELSE '0' END AS exit_code, CAST(min(s_suppkey) FILTER (s_suppkey % 3 <= 1) AS VARCHAR) AS any_key FROM supplier GROUP BY s_nationkey")
+def lint_json(spark, sf_dir):
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("file"), k.cast("string").alias("key"), k)
+    found = s.where(k % 3 <= 1).select("file", "key", F.lit(1).alias("line"), F.when(k % 3 == 0, "error").otherwise("info").alias("level"), F.lit("c").alias("code"), F.lit("m").alias("message"))
+    out = reports.json_reports(found, s).withColumn("keys", F.from_json(F.get_json_object("report", "$.findings[*].key"), "array<string>"))
+    of = lambda path: F.get_json_object("report", path)
+    return out.select("file", of("$.entry_count").alias("entry_count"), of("$.counts.error").alias("errors"), of("$.exit_code").alias("exit_code"), F.array_min(F.transform(F.coalesce("keys", F.array(of("$.findings[0].key"))), lambda x: x.cast("long"))).cast("string").alias("any_key"))
+
+
 @query(None)
 def known_items(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", title_of().alias("title"))
