@@ -250,6 +250,45 @@ def normalized(entries: DataFrame, ascii_only: bool = False) -> DataFrame:
     return e.drop("_e", "_id", "_bad", "_url", "_m", "_c", "_r", "_p", "_q", "_d", "_h", "_g")
 
 
+def changes(entries: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """(file, key, line, level, code, message): what `normalized` changes of each entry, told from its fields before and after.
+
+    One map over entries, nothing is shuffled. Letters spelled anew by ascii_only are not told. An eprint that is no identifier and no link is a warning.
+    """
+    e = normalized(entries.withColumn("_was", F.col("fields")), ascii_only)
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    was, now = (lambda n: blank(field(n, "_was"))), (lambda n: blank(field(n)))
+    held = lambda n: F.trim(was(n)) != ""
+    eprint, found = F.trim(was("eprint")), T.find_arxiv_id(was("eprint"))
+    link = F.lower(eprint).rlike(r"^(https?://|www\.)")
+    notes: list[Column] = []
+
+    def note(when: Column, code: str, *message: str | Column, level: str = "info") -> None:
+        text = F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message])
+        notes.append(F.when(when, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), text.alias("message"))))
+
+    known = (eprint != "") & found.isNotNull()
+    note(known & (found != eprint), "arxiv-eprint", "eprint normalised to bare arXiv id ", blank(found))
+    note(known & ~held("archivePrefix"), "arxiv-eprint", "added archivePrefix = {arXiv}")
+    unknown = (eprint != "") & found.isNull()
+    note(unknown & ~link, "bad-eprint", "eprint '", eprint, "' is not an arXiv identifier", level="warning")
+    note(unknown & link & (held("url") | held("doi")), "bad-eprint", "dropped a publisher PDF link from eprint; the entry already has a url/doi")
+    note(unknown & link & ~held("url") & ~held("doi"), "bad-eprint", "moved a publisher PDF link from eprint into url")
+    taken = F.lit(False)
+    for n in ("journal", "note", "url", "howpublished"):
+        here = (eprint == "") & F.lower(was(n)).contains("arxiv") & T.find_arxiv_id(was(n)).isNotNull()
+        verb = F.when(field(n).isNotNull(), "copied").otherwise("moved")
+        note(here & ~taken, "arxiv-relocated", verb, " arXiv id ", blank(T.find_arxiv_id(was(n))), f" from {n} into eprint/archivePrefix")
+        taken = taken | here
+    note((was("doi") != "") & (now("doi") != was("doi")), "doi-prefix", "stripped resolver prefix from doi -> ", now("doi"))
+    note((was("doi") == "") & (now("doi") != ""), "doi-from-url", "recovered doi ", now("doi"), " from the url field")
+    pages = F.trim(was("pages"))
+    fixed = F.regexp_replace(pages, r"^(\w+)\s*[-–—]\s*(\w+)$", "$1--$2")
+    note(fixed != pages, "page-range", "page range ", pages, " normalised to ", fixed)
+    key = F.coalesce("new_key", "key") if "new_key" in entries.columns else F.col("key")
+    return e.select("file", key.alias("key"), "line", F.explode(F.array_compact(F.array(*notes))).alias("f")).select("file", "key", "line", "f.*")
+
+
 _FIELD = StructType().add("name", StringType()).add("text", StringType()).add("delim", StringType())
 
 

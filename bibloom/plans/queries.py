@@ -375,6 +375,20 @@ def lint_values(spark, sf_dir):
     return bib.findings(_entries(spark, sf_dir)).where(F.col("code").isin("bad-year", "bad-doi", "placeholder")).select("key", "code", "level")
 
 
+@query("""SELECT p_partkey AS key, 'page-range' AS code, 'info' AS level, 'page range ' || p_size || '-' || (p_size + 9) || ' normalised to ' || p_size || '--' || (p_size + 9) AS message FROM part WHERE p_partkey % 2 = 0
+    UNION ALL SELECT p_partkey, 'doi-prefix', 'info', 'stripped resolver prefix from doi -> 10.1234/' || p_partkey FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey, 'doi-from-url', 'info', 'recovered doi 10.5555/' || p_partkey || ' from the url field' FROM part WHERE p_partkey % 3 = 1
+    UNION ALL SELECT p_partkey, 'arxiv-relocated', 'info', 'moved arXiv id 2001.' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 5, '0') || ' from journal into eprint/archivePrefix' FROM part WHERE p_partkey % 5 = 0""")
+def normalization_changes(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    n, size = k.cast("string"), F.col("p_size")
+    pages = F.concat(size.cast("string"), F.when(k % 2 == 0, "-").otherwise("--"), (size + 9).cast("string"))
+    fields = [("journal", F.when(k % 5 == 0, F.concat(F.lit("arXiv:2001."), F.lpad((k % 10000).cast("string"), 5, "0"))).otherwise("J"), F.lit(True)), ("pages", pages, F.lit(True)), ("doi", F.concat(F.lit("https://doi.org/10.1234/"), n), k % 3 == 0), ("url", F.concat(F.lit("https://doi.org/10.5555/"), n), k % 3 == 1)]
+    array = F.array_compact(F.array(*[F.when(put, F.struct(F.lit(name).alias("name"), v.alias("text"), F.lit("brace").alias("delim"))) for name, v, put in fields]))
+    e = p.select(F.lit("parts").alias("file"), k.alias("key"), F.lit(1).alias("line"), array.alias("fields"))
+    return bib.changes(e).select("key", "code", "level", "message")
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 = 1")
 def placeholder_scan(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 1, "Fill in: TO VERIFY").otherwise("Christodoulides, Aaltodoc").alias("v"))

@@ -81,3 +81,13 @@ def test_verdict_stream(spark, tmp_path):
     verdicts.fold(spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "check"))
     assert verdicts.latest(spark, str(tmp_path / "table")).select("index", "verdict").collect() == [(1, "exclude")]
     assert F is not None
+
+
+def test_changes_are_told(spark):
+    def entry(key, *fields):
+        return ("f", 0, key, 1, [(n, v, "brace") for n, v in fields])
+
+    rows = [entry("a", ("eprint", "arXiv:2001.00001v2")), entry("b", ("eprint", "https://x.org/a.pdf"), ("doi", "10.1/b")), entry("c", ("eprint", "https://x.org/a.pdf")), entry("d", ("eprint", "none")), entry("e", ("note", "see arXiv:2001.00002 there")), entry("g", ("pages", "1--2"), ("doi", "10.1234/x"))]
+    e = spark.createDataFrame(rows, "file string, node_pos int, key string, line int, fields array<struct<name:string,text:string,delim:string>>")
+    got = {(r.key, r.code, r.level, r.message.split(" ")[0]) for r in bib.changes(e).collect()}
+    assert {("b", "bad-eprint", "info", "dropped"), ("c", "bad-eprint", "info", "moved"), ("d", "bad-eprint", "warning", "eprint"), ("e", "arxiv-relocated", "info", "copied"), ("a", "arxiv-eprint", "info", "added"), ("a", "arxiv-eprint", "info", "eprint")} == got
