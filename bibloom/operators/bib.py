@@ -352,7 +352,9 @@ def duplicate_findings(entries: DataFrame) -> DataFrame:
     e = entries.select("file", "node_pos", "key", "line", F.lower(F.trim(field("doi"))).alias("doi"), T.surname_udf(F.coalesce(field("author"), F.lit(""))).alias("s"), T.entry_year(field("year"), field("date")).alias("y"), T.normalize_title(F.coalesce(field("title"), F.lit(""))).alias("t"))
 
     def later(on: Column) -> Column:
-        return F.when(on.isNotNull(), F.row_number().over(Window.partitionBy("file", on).orderBy("node_pos"))) > 1
+        # entries without the value are dealt by their place, or all of them would be one group
+        apart = F.when(on.isNull(), F.col("node_pos"))
+        return F.when(on.isNotNull(), F.row_number().over(Window.partitionBy("file", on, apart).orderBy("node_pos"))) > 1
 
     signature = F.when((F.col("s") != "") & (F.col("y") != "") & (F.col("t") != ""), F.concat_ws("\0", "s", "y", "t"))
     e = e.withColumn("by_key", later(F.nullif(F.col("key"), F.lit("")))).withColumn("by_doi", later(F.nullif(F.col("doi"), F.lit("")))).withColumn("by_signature", later(signature))

@@ -345,8 +345,11 @@ def fold_unicode(spark, sf_dir):
 @query("""SELECT s_suppkey AS work_id, b || CASE WHEN count(*) OVER (PARTITION BY b) = 1 THEN '' ELSE CASE WHEN k < 26 THEN chr(97 + k) ELSE chr(96 + k // 26) || chr(97 + k % 26) END END AS new_key FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY b ORDER BY s_suppkey) - 1 AS INT) AS k FROM (SELECT s_suppkey, 'Name' || CAST(1900 + s_nationkey * 4 + s_suppkey % 4 AS VARCHAR) AS b FROM supplier))""")
 def collision_suffix(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("work_id"), F.concat(F.lit("Name"), (F.lit(1900) + F.col("s_nationkey") * 4 + F.col("s_suppkey") % 4).cast("string")).alias("base"))
-    return graph.suffixed(s, "base", "work_id").select("work_id", "new_key")
+    s, f = table(spark, sf_dir, "supplier"), lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("text"))
+    year, n = (F.lit(1900) + F.col("s_nationkey") * 4 + F.col("s_suppkey") % 4).cast("string"), F.col("s_suppkey").cast("string")
+    fields = F.array(f("author", F.lit("Name, A.")), f("year", year), f("title", F.lpad(n, 12, "0")))
+    e = s.select(F.lit("f").alias("file"), F.col("s_suppkey").alias("work_id"), F.col("s_suppkey").alias("node_pos"), n.alias("key"), fields.alias("fields"))
+    return bib.keyed(e).select("work_id", "new_key")
 
 
 def _entries(spark, sf_dir):
@@ -403,9 +406,10 @@ def non_ascii_lines(spark, sf_dir):
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k > 1")
 def dup_entries(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    first = d.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min("doc_id").alias("first"))
-    return d.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).join(first, "h").where("doc_id <> first").select("doc_id")
+    doi = F.concat(F.lit("10.1234/"), F.sha2(F.col("text").cast("binary"), 256))
+    fields = F.array(F.struct(F.lit("doi").alias("name"), doi.alias("text")))
+    e = table(spark, sf_dir, "documents").select(F.lit("f").alias("file"), F.col("doc_id").alias("node_pos"), F.col("doc_id").cast("string").alias("key"), F.lit(0).alias("line"), fields.alias("fields"))
+    return bib.duplicate_findings(e).where("code = 'duplicate-entry'").select(F.col("key").cast("long").alias("doc_id"))
 
 
 @query("SELECT min(doc_id) AS position, count(*) AS n FROM documents GROUP BY text")
