@@ -81,6 +81,25 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibloom.llm import whitening
+
+    embeddings = table(spark, sf_dir, "embeddings")
+    return whitening.whitened(embeddings, whitening.fit(embeddings, k=4))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibloom.llm import spelling
+
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bibloom.llm import quality
+
+    return quality.assessed(table(spark, sf_dir, "documents")).drop("votes")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op3_exact_dedup, op4_substring_dedup, op5_language_id, op6_html_extraction, op7_token_counts, op8_embedding_near_dedup, op9_sentencepiece, op10_minhash_near_dedup, pipeline)
+    for f in (op1_packing, op2_line_dedup, op3_exact_dedup, op4_substring_dedup, op5_language_id, op6_html_extraction, op7_token_counts, op8_embedding_near_dedup, op9_sentencepiece, op10_minhash_near_dedup, op11_embedding_whitening, op12_spelling_variants, op13_quality_rules, pipeline)
 }
 
 ORACLE_SQL = {
@@ -107,4 +126,22 @@ ORACLE_SQL = {
         SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept
         FROM embeddings e JOIN (SELECT s, min(x) AS c FROM r GROUP BY s) c ON c.s = e.vec_id
         LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id""",
+    "op12_spelling_variants": """
+        WITH RECURSIVE t AS MATERIALIZED (
+            SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+        r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS d, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{6,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        b AS (SELECT run, flatten(list_transform(string_split(d || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) AS BIGINT) - 64] END)) AS bytes FROM r),
+        h AS (SELECT run, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(t.t[CAST(xor(c, x) & 255 AS INT) + 1], c >> 8)), 4294967295) AS h FROM b, t),
+        w AS MATERIALIZED (
+            SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+            WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+        d AS MATERIALIZED (SELECT word, n, length(word) AS l, i, substr(word, 1, i - 1) || substr(word, i + 1) AS x FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        p AS MATERIALIZED (
+            SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.x = b.x AND a.i = b.i AND a.l = b.l AND a.word <> b.word
+            UNION SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON d.x = w.word UNION SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON d.x = w.word),
+        f AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(c.c, 0) AS n_near, CASE WHEN c.near_n >= 5 * w.n THEN c.near END AS form, CASE WHEN c.near_n >= 5 * w.n THEN c.near_n END AS form_n FROM w
+            LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY word) AS c FROM p QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1) c USING (word)),
+        q(word, tip) AS (SELECT word, word FROM f UNION ALL SELECT q.word, f.form FROM q JOIN f ON f.word = q.tip WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, q.tip AS root, f.n, f.n_near, f.form_n FROM f JOIN q ON q.word = f.word JOIN f e ON e.word = q.tip AND e.form IS NULL""",
 }
