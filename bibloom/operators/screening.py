@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from bibloom.functions import text as T
 
@@ -111,27 +115,122 @@ def extraction_tasks(works: DataFrame, fields: list[str], cite_keys: DataFrame |
 
 
 def gold_recall(gold: DataFrame, works: DataFrame) -> DataFrame:
-    """gold with found, screen and validation by cleaned DOI."""
-    own = works.select(T.clean_doi(F.col("doi")).alias("d"), "screen", "validation", "position").where("d is not null").groupBy("d").agg(F.min_by(F.struct("screen", "validation"), "position").alias("w"))
-    return gold.withColumn("d", T.clean_doi(F.col("doi"))).join(own, "d", "left").select(*gold.columns, F.col("w").isNotNull().alias("found"), F.coalesce("w.screen", F.lit("")).alias("screen"), F.coalesce("w.validation", F.lit("")).alias("validation"))
+    """gold with found, screen and validation by cleaned DOI; of works that share one the last counts.
+
+    A found work without a verdict is `unscreened`; a paper not found has blanks.
+    """
+    own = works.select(F.nullif("doi", F.lit("")).alias("d"), "screen", "validation", "position").where("d is not null").groupBy("d").agg(F.max_by(F.struct("screen", "validation"), "position").alias("w"))
+    screen = F.when(F.col("w").isNotNull(), F.coalesce(F.nullif("w.screen", F.lit("")), F.lit("unscreened"))).otherwise("")
+    return gold.withColumn("d", T.clean_doi(F.col("doi"))).join(own, "d", "left").select(*gold.columns, F.col("w").isNotNull().alias("found"), screen.alias("screen"), F.coalesce("w.validation", F.lit("")).alias("validation"))
+
+
+SCREENED_OUT = ("exclude", "unsure")
+
+
+@F.pandas_udf(DoubleType())
+def _one_digit(s: pd.Series) -> pd.Series:
+    """Rounds the double itself, halves to even; the built-in functions round its decimal spelling."""
+    return s.map(lambda x: round(x, 1))
 
 
 def gold_summary(recalled: DataFrame) -> DataFrame:
     """One row from gold_recall's: total, found, recall_pct (one digit, 0 without gold papers) and how many were found but screened out."""
-    counts = recalled.agg(F.count("*").alias("total"), F.count_if("found").alias("found"), F.count_if(F.col("found") & F.col("screen").isin("exclude", "unsure")).alias("found_but_screened_out"))
-    return counts.withColumn("recall_pct", F.when(F.col("total") > 0, F.bround(100 * F.col("found") / F.col("total"), 1)).otherwise(0.0))
+    counts = recalled.agg(F.count("*").alias("total"), F.count_if("found").alias("found"), F.count_if(F.col("found") & F.col("screen").isin(*SCREENED_OUT)).alias("found_but_screened_out"))
+    return counts.withColumn("recall_pct", F.when(F.col("total") > 0, _one_digit(F.coalesce(F.try_divide(100 * F.col("found"), F.col("total")), F.lit(0.0)))).otherwise(0.0))
+
+
+def gold_missed(recalled: DataFrame) -> DataFrame:
+    """(key, failure) of gold papers that the corpus lacks (`missed`) or screened out (`screened_out`)."""
+    failure = F.when(~F.col("found"), "missed").when(F.col("screen").isin(*SCREENED_OUT), "screened_out")
+    key = F.coalesce("key", T.clean_doi(F.col("doi"))) if "key" in recalled.columns else T.clean_doi(F.col("doi"))
+    return recalled.select(key.alias("key"), failure.alias("failure")).where("failure is not null")
+
+
+#: Items compared in one pass over the works; more take more passes.
+ITEMS = 4096
+
+
+class NearestTitles:
+    """The best work of each item so far, by ratio, then by position; works come in batches.
+
+    Bounds come first. A ratio is at most twice the letters that two titles share, and at most twice their longest common
+    subsequence, over the sum of lengths. The works of a batch are taken in falling order of the letter bound until it
+    falls below the best ratio found; the subsequence decides whether the ratio itself is worked out.
+    """
+
+    BINS = 64
+
+    def __init__(self, titles: list[str]):
+        self.titles = titles
+        self.counts = self._counts(titles)
+        self.sizes = np.array([len(t) for t in titles])
+        self.best: list[tuple[float, float, int | None]] = [(0.0, 0.0, None)] * len(titles)
+        self.masks = []
+        for t in titles:
+            mask: dict[str, int] = {}
+            for i, c in enumerate(t):
+                mask[c] = mask.get(c, 0) | 1 << i
+            self.masks.append(mask)
+
+    def _counts(self, titles: list[str]) -> np.ndarray:
+        out = np.zeros((len(titles), self.BINS), np.int32)
+        for row, t in zip(out, titles):
+            np.add.at(row, np.fromiter((ord(c) % self.BINS for c in t), np.int64, len(t)), 1)
+        return out
+
+    def _common(self, k: int, other: str) -> int:
+        """Length of the longest common subsequence, one bit a letter of the item."""
+        mask, size = self.masks[k], len(self.titles[k])
+        ones = (1 << size) - 1
+        held = ones
+        for c in other:
+            met = held & mask.get(c, 0)
+            held = ((held + met) | (held - met)) & ones
+        return size - held.bit_count()
+
+    def meet(self, titles: list[str], positions: list[int]) -> None:
+        counts, sizes, where = self._counts(titles), np.array([len(t) for t in titles]), np.array(positions)
+        for k, title in enumerate(self.titles):
+            total = sizes + self.sizes[k]
+            bound = 2.0 * np.minimum(counts, self.counts[k]).sum(axis=1) / np.maximum(total, 1)
+            best, at, found = self.best[k]
+            for i in np.lexsort((where, -bound)):
+                if bound[i] < best or bound[i] == 0:
+                    break
+                if 2.0 * self._common(k, titles[i]) / total[i] < best:
+                    continue
+                r = T.ratio(title, titles[i])
+                if r > best or (r == best and r > 0 and where[i] < at):
+                    best, at, found = r, int(where[i]), int(where[i])
+            self.best[k] = (best, at, found)
 
 
 def known_items(items: DataFrame, works: DataFrame, least: float = 0.8) -> DataFrame:
-    """items (item_id, title) with the best work by title ratio, the earlier on ties; found from `least` on.
+    """items (item_id, title) with the work of the nearest title (the earlier one on ties), its ratio and whether it is `least`.
 
-    Candidates share a length band that a ratio of `least` cannot leave, so this is an equi-join, not a product.
+    The nearest work is told below `least` too; a work that shares no letter is none (ratio 0). Items are the query set:
+    blocks of about ITEMS of them meet every work, in tasks over the works that each keep one best work an item.
     """
-    from bibloom.operators.dedup import length_bands
-
-    a = length_bands(items.select("item_id", F.lower("title").alias("a")), "a", least, True)
-    b = length_bands(works.select("work_id", "position", F.lower("title").alias("b")), "b", least, False)
-    pairs = a.join(b, "band").where(2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b")))
-    scored = pairs.withColumn("r", T.ratio_udf("a", "b")).where(F.col("r") >= least)
-    best = scored.groupBy("item_id").agg(F.max_by("work_id", F.struct("r", -F.col("position"))).alias("work_id"), F.max("r").alias("ratio"))
-    return items.join(best, "item_id", "left").select(*items.columns, "work_id", F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.col("work_id").isNotNull().alias("found"))
+    n = items.count()
+    passes = max(1, -(-n // ITEMS))
+    own = works.where(F.coalesce("title", F.lit("")) != "").select(F.col("position").cast("long").alias("position"), F.lower("title").alias("title"))
+    out = None
+    for k in range(passes):
+        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).select("item_id", F.lower(F.coalesce("title", F.lit(""))).alias("title")).collect()  # about ITEMS rows
+        titles = sorted({r["title"] for r in block if r["title"]})
+
+        def run(batches: Iterator[pa.RecordBatch], titles: list[str] = titles) -> Iterator[pa.RecordBatch]:
+            near = NearestTitles(titles)
+            for batch in batches:
+                near.meet(batch.column("title").to_pylist(), batch.column("position").to_pylist())
+            best = [(t, r, at) for t, (r, _, at) in zip(titles, near.best) if at is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, *_ in best], pa.string()), pa.array([r for _, r, _ in best], pa.float64()), pa.array([at for *_, at in best], pa.int64())], names=["wanted", "ratio", "position"])
+
+        found = own.mapInArrow(run, "wanted string, ratio double, position long").groupBy("wanted").agg(F.max(F.struct("ratio", (-F.col("position")).alias("minus"))).alias("b"))
+        found = found.select("wanted", "b.ratio", (-F.col("b.minus")).alias("position"))
+        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
+        part = mine.withColumn("wanted", F.lower("title")).join(found, "wanted", "left").drop("wanted")
+        out = part if out is None else out.unionByName(part)
+    named = works.select(F.col("position").cast("long").alias("position"), "work_id", F.col("title").alias("best_match"))
+    ratio = F.coalesce("ratio", F.lit(0.0))
+    return out.join(named, "position", "left").select(*items.columns, "work_id", F.coalesce("best_match", F.lit("")).alias("best_match"), ratio.alias("ratio"), (ratio >= least).alias("found"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bibloom.functions import numeric
 from bibloom.functions import text as T
-from bibloom.operators import bib, dedup, evidence, export, gate, graph, relevance, reports, screening, verification
+from bibloom.operators import bib, corpus, dedup, evidence, export, gate, graph, relevance, reports, screening, verification
 from bibloom.sources import payloads
 
 FORBIDDEN = ["tionly", "enbleed", "ostmente"]
@@ -252,20 +252,32 @@ def extraction_tasks(spark, sf_dir):
     return tasks.select("work_id", *[F.get_json_object("task", f"$.{c}").alias(c) for c in ("title", "cite_key", "pdf_url", "arxiv_pdf_url", "has_open_access_pdf")])
 
 
-@query("SELECT p_partkey AS key, p_partkey % 3 <> 0 AS found, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 THEN 'include' ELSE '' END AS screen FROM part")
+def _gold(spark, sf_dir):
+    """The parts as gold papers, spelled in two ways; two of three as works, every fourth of them twice with another verdict later."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    gold = p.select(k.alias("key"), F.concat(F.when(k % 2 == 0, "https://doi.org/10.1234/B").otherwise("doi:10.1234/b"), k.cast("string")).alias("doi"), F.col("p_name").alias("title"))
+    first = p.where(k % 3 != 0).select(F.concat(F.lit("10.1234/b"), k.cast("string")).alias("doi"), F.when(k % 2 == 0, "include").when(k % 5 == 0, "unsure").otherwise("").alias("screen"), F.col("p_brand").alias("validation"), k.cast("long").alias("position"))
+    later = first.where(F.col("position") % 4 == 0).select("doi", F.when(F.col("position") % 8 == 0, "exclude").otherwise("").alias("screen"), F.lit("").alias("validation"), (F.col("position") + 1_000_000_000_000).alias("position"))
+    return screening.gold_recall(gold, first.unionByName(later))
+
+
+_SQL_GOLD = """SELECT p_partkey AS key, p_partkey % 3 <> 0 AS found, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 4 = 0 THEN '' ELSE p_brand END AS validation,
+    CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 8 = 0 THEN 'exclude' WHEN p_partkey % 4 = 0 THEN 'unscreened' WHEN p_partkey % 2 = 0 THEN 'include' WHEN p_partkey % 5 = 0 THEN 'unsure' ELSE 'unscreened' END AS screen FROM part"""
+
+
+@query(_SQL_GOLD)
 def gold_recall(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    gold = p.select(F.col("p_partkey").alias("key"), F.concat(F.lit("https://doi.org/10.1234/"), F.col("p_partkey").cast("string")).alias("doi"))
-    w = p.where("p_partkey % 3 <> 0").select(F.concat(F.lit("10.1234/"), F.col("p_partkey").cast("string")).alias("doi"), F.when(F.col("p_partkey") % 2 == 0, "include").otherwise("").alias("screen"), F.lit("").alias("validation"), F.col("p_partkey").alias("position"))
-    return screening.gold_recall(gold, w).select("key", "found", "screen")
+    return _gold(spark, sf_dir).select("key", "found", "screen", "validation")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (p_partkey % 3 <> 0) AS found, count(*) FILTER (p_partkey % 3 <> 0 AND p_partkey % 2 = 1) AS found_but_screened_out, round(100.0 * count(*) FILTER (p_partkey % 3 <> 0) / count(*), 1) AS recall_pct FROM part")
+@query(f"SELECT count(*) AS total, count(*) FILTER (found) AS found, count(*) FILTER (screen IN ('exclude', 'unsure')) AS found_but_screened_out, round(100.0 * count(*) FILTER (found) / count(*), 1) AS recall_pct FROM ({_SQL_GOLD})")
 def gold_summary(spark, sf_dir):
-    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
-    gold = p.select(k.alias("key"), F.concat(F.lit("doi:10.1234/"), k.cast("string")).alias("doi"))
-    w = p.where(k % 3 != 0).select(F.concat(F.lit("10.1234/"), k.cast("string")).alias("doi"), F.when(k % 2 == 0, "include").otherwise("exclude").alias("screen"), F.lit("").alias("validation"), k.alias("position"))
-    return screening.gold_summary(screening.gold_recall(gold, w))
+    return screening.gold_summary(_gold(spark, sf_dir))
+
+
+@query(f"SELECT key, CASE WHEN NOT found THEN 'missed' ELSE 'screened_out' END AS failure FROM ({_SQL_GOLD}) WHERE NOT found OR screen IN ('exclude', 'unsure')")
+def gold_missed(spark, sf_dir):
+    return screening.gold_missed(_gold(spark, sf_dir))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Doe' ELSE 'de' || split_part(p_type, ' ', 1) END AS surname FROM part")
@@ -429,9 +441,26 @@ def _full_works(spark, sf_dir):
     return works(spark, sf_dir).withColumns(blank | more)
 
 
+WORK_TYPES = "position long, work_id long, title string, abstract string, venue string, year string, volume string, pages string, oa_pdf_url string, landing_url string, screen string, screen_reason string, role string, validation string, validation_source string, doi string, arxiv_id string, authors array<string>, references array<string>, sources array<string>, source_ids map<string,string>, cited_by_count int, found_in_round int, is_seed boolean"
+
+
+def identified_works(spark, sf_dir):
+    """The documents as works with shared and rival identifiers: DOIs and arXiv ids by text, source and number, some of arXiv's own."""
+    k, h = F.col("work_id"), F.crc32(F.col("title").cast("binary"))
+    doi = F.when(k % 5 == 0, F.concat(F.lit("10.1234/"), h.cast("string"))).when(k % 5 == 1, F.concat(F.lit("10.1234/"), k.cast("string"))).when(k % 5 == 2, F.concat(F.lit("10.48550/arxiv."), k.cast("string"))).otherwise("")
+    arxiv = F.when(k % 7 == 0, (h % 1000).cast("string")).when(k % 7 == 1, k.cast("string"))
+    changed = {"doi": doi, "arxiv_id": arxiv, "year": F.when(k % 3 == 0, "").otherwise((F.lit(2000) + h % 3).cast("string")), "authors": F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("Doe, "), F.col("venue"))))}
+    return _full_works(spark, sf_dir).withColumns(changed)
+
+
+@query(None)
+def corpus_replay(spark, sf_dir):
+    return corpus.clusters(identified_works(spark, sf_dir))
+
+
 @query(None)
 def fuzzy_dedup(spark, sf_dir):
-    return dedup.deduplicated(_full_works(spark, sf_dir).withColumn("abstract", F.lit(""))).select("position", "title", "sources")
+    return corpus.deduplicated(_full_works(spark, sf_dir).withColumn("abstract", F.lit(""))).select("position", "title", "sources")
 
 
 @query(f"SELECT min(doc_id) AS position, arg_max(CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END, CASE WHEN doc_id % 2 = 0 THEN -doc_id ELSE -1e15 - doc_id END) AS venue, max(length({SQL_TITLE})) AS cited_by_count, len(list_distinct(list(source))) AS sources FROM documents GROUP BY text")

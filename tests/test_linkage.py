@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from bibloom.operators import dedup, gate, graph, screening
+from bibloom.operators import corpus as corpora
+from bibloom.operators import gate, graph, screening
 from bibloom.sources.payloads import as_works, from_openalex
 from bibloom.sources.schema import WORK
 
@@ -28,28 +29,28 @@ def corpus(spark, *rows):
 
 CASES = [
     ([{"title": "a title", "doi": "10.1/x"}, {"title": "another one", "doi": "10.1/x"}], 1),
-    ([{"title": "a title", "arxiv_id": "2301.00001"}, {"title": "other", "arxiv_id": "2301.00001"}], 1),
+    ([{"title": "a title", "arxiv_id": "1712.30001"}, {"title": "other", "arxiv_id": "1712.30001"}], 1),
     ([{"title": TITLE}, {"title": TITLE + "."}], 1),
     ([{"title": TITLE, "doi": "10.1/a"}, {"title": "spectra of dense gas", "doi": "10.1/b"}], 2),
-    ([{"title": TITLE + " Part I", "doi": "10.1/a"}, {"title": TITLE + " Part II", "doi": "10.1/b"}], 2),
-    ([{"title": TITLE + " v1", "arxiv_id": "2301.00001"}, {"title": TITLE + " v2", "arxiv_id": "2301.00002"}], 2),
+    ([{"title": TITLE + " tome one", "doi": "10.1/a"}, {"title": TITLE + " tome two", "doi": "10.1/b"}], 2),
+    ([{"title": TITLE + " v1", "arxiv_id": "1712.30001"}, {"title": TITLE + " v2", "arxiv_id": "1712.30002"}], 2),
     ([{"title": TITLE, "doi": "10.1/a"}, {"title": TITLE}], 1),
-    ([{"title": TITLE, "doi": "10.1/a"}, {"title": TITLE, "doi": "10.48550/arxiv.2301.00001", "arxiv_id": "2301.00001"}], 1),
-    ([{"title": TITLE, "doi": "10.1/a", "year": "2020", "authors": ["Yao Lu"]}, {"title": TITLE, "doi": "10.1/b", "year": "2020", "authors": ["Lu, Yao"]}], 1),
-    ([{"title": TITLE, "doi": "10.1/a", "year": "2020", "authors": ["Yao Lu"]}, {"title": TITLE, "doi": "10.1/b", "year": "2021", "authors": ["Lu, Yao"]}], 2),
-    ([{"title": TITLE, "doi": "10.1/a", "year": "2020", "authors": ["Yao Lu"]}, {"title": TITLE, "doi": "10.1/b", "year": "2020", "authors": ["Doe, J"]}], 2),
+    ([{"title": TITLE, "doi": "10.1/a"}, {"title": TITLE, "doi": "10.48550/arxiv.1712.30001", "arxiv_id": "1712.30001"}], 1),
+    ([{"title": TITLE, "doi": "10.1/a", "year": "2020", "authors": ["Ada Quill"]}, {"title": TITLE, "doi": "10.1/b", "year": "2020", "authors": ["Quill, Ada"]}], 1),
+    ([{"title": TITLE, "doi": "10.1/a", "year": "2020", "authors": ["Ada Quill"]}, {"title": TITLE, "doi": "10.1/b", "year": "2021", "authors": ["Quill, Ada"]}], 2),
+    ([{"title": TITLE, "doi": "10.1/a", "year": "2020", "authors": ["Ada Quill"]}, {"title": TITLE, "doi": "10.1/b", "year": "2020", "authors": ["Doe, J"]}], 2),
 ]
 
 
 @pytest.mark.parametrize(("rows", "n"), CASES)
 def test_dedup_truth_table(spark, rows, n):
-    assert dedup.deduplicated(corpus(spark, *rows)).count() == n
+    assert corpora.deduplicated(corpus(spark, *rows)).count() == n
 
 
 def test_merge_fills_blanks_and_keeps_the_publisher_doi(spark):
     rows = CASES[7][0]
-    r = dedup.deduplicated(corpus(spark, *rows)).first()
-    assert (r["doi"], r["arxiv_id"]) == ("10.1/a", "2301.00001")
+    r = corpora.deduplicated(corpus(spark, *rows)).first()
+    assert (r["doi"], r["arxiv_id"]) == ("10.1/a", "1712.30001")
 
 
 def test_citations_ignore_self_and_repeats(spark):
@@ -83,11 +84,11 @@ def test_shared_checksum_is_refused(spark):
 
 
 def test_gate(spark):
-    w = corpus(spark, {"title": TITLE, "doi": "10.1/known"}, {"title": TITLE, "doi": "10.1/unknown", "arxiv_id": "2301.07848"}, {"title": "not the title at all", "doi": "10.1/known"}, {"title": TITLE, "doi": "10.5281/z"})
+    w = corpus(spark, {"title": TITLE, "doi": "10.1/known"}, {"title": TITLE, "doi": "10.1/unknown", "arxiv_id": "1905.04321"}, {"title": "not the title at all", "doi": "10.1/known"}, {"title": TITLE, "doi": "10.5281/z"})
     records = spark.createDataFrame([("crossref", "10.1/known", TITLE, ["Doe, J"], "2020", "J", "1", "2", ""), ("datacite", "10.5281/z", "anything", [], "2019", "Zenodo", "", "", "")], "source string, doi string, title string, authors array<string>, year string, journal string, volume string, pages string, url string")
     out = {r["position"]: r for r in gate.enriched(gate.gate(w, records)).collect()}
     assert [out[k]["validation"] for k in range(4)] == ["verified", "quarantined", "quarantined", "verified"]
-    assert (out[0]["year"], out[0]["authors"], out[1]["year"]) == ("2020", ["Doe, J"], "2023")
+    assert (out[0]["year"], out[0]["authors"], out[1]["year"]) == ("2020", ["Doe, J"], "2019")
 
 
 def test_openalex_payload(spark):
