@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bibloom.functions import numeric
 from bibloom.functions import text as T
-from bibloom.operators import bib, corpus, dedup, evidence, export, gate, graph, relevance, reports, screening, verification
+from bibloom.operators import bib, corpus, dedup, evidence, export, gate, graph, relevance, reports, screening, search, verification
 from bibloom.sources import payloads
 
 FORBIDDEN = ["tionly", "enbleed", "ostmente"]
@@ -472,6 +472,15 @@ def merge_records(spark, sf_dir):
     return m.select("position", "venue", F.col("cited_by_count").cast("long").alias("cited_by_count"), F.size("sources").cast("long").alias("sources"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, list_distinct(string_split({SQL_TITLE}, ' ')) AS t FROM documents), p AS (SELECT doc_id, len(t) FILTER (t <> ['']) AS n, unnest(t) AS term FROM d), x AS (SELECT doc_id, n, term FROM p WHERE term <> ''),
+    w AS (SELECT term, CAST(round(1e6 * ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5))) AS BIGINT) AS w FROM x GROUP BY term)
+    SELECT a.doc_id AS query_id, CAST(row_number() OVER (PARTITION BY a.doc_id ORDER BY sum(w) DESC, b.n, b.doc_id) AS INT) AS place, b.doc_id, CAST(sum(w) AS BIGINT) AS score
+    FROM x a JOIN x b USING (term) JOIN w USING (term) WHERE a.doc_id % 20 = 0 GROUP BY a.doc_id, b.doc_id, b.n QUALIFY place <= 5""".replace("len(t) FILTER (t <> [''])", "len(list_filter(t, lambda x: x <> ''))"))
+def title_search(spark, sf_dir):
+    titles = works(spark, sf_dir).select(F.col("work_id").alias("doc_id"), F.col("title").alias("text"))
+    return search.search(titles.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), search.Index(titles), 5)
+
+
 def _gated(spark, sf_dir):
     w, k = works(spark, sf_dir), F.col("work_id")
     doi = F.when(k % 3 == 0, F.concat(F.lit("10.1234/"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("10.5281/"), k.cast("string")))
