@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from bibloom.functions import numeric
 from bibloom.functions import text as T
-from bibloom.operators import bib, corpus, dedup, evidence, export, gate, graph, relevance, reports, screening, search, verification
+from bibloom.operators import bib, bib_chunks, corpus, dedup, evidence, export, gate, graph, relevance, reports, screening, search, verification
 from bibloom.sources import payloads
+from bibloom.sources.shared import new_path
 
 FORBIDDEN = ["tionly", "enbleed", "ostmente"]
 REQUIRED = ["the", "der", "les", "que"]
@@ -342,16 +343,17 @@ def arxiv_id_extract(spark, sf_dir):
     return p.withColumn("id", T.clean_arxiv_id(F.col("raw"))).select("p_partkey", "id", T.year_from_arxiv_id(F.col("id")).alias("year"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]|[\\\\{}]')")
+_SQL_FOLDED = "regexp_replace(strip_accents(replace(replace(replace(text, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')), '[^\\x00-\\x7F]', '', 'g')"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(lower({_SQL_FOLDED}), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents")
 def normalize_title_ascii(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(T.is_plain(F.col("text")))
-    return d.select("doc_id", T.plain_title(F.col("text")).alias("norm"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_title(F.col("text")).alias("norm"))
 
 
-@query("SELECT doc_id, len(trim(regexp_replace(lower(strip_accents(replace(replace(text, 'ß', 'ss'), '\\', ''))), '[^a-z0-9]+', ' ', 'g'))) AS n FROM documents WHERE lang IN ('de', 'fr', 'es') AND NOT regexp_matches(text, '[\\\\{}]')")
+@query(f"SELECT doc_id, trim(regexp_replace({_SQL_FOLDED}, '\\s+', ' ', 'g')) AS folded FROM documents")
 def fold_unicode(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.col("lang").isin("de", "fr", "es") & ~F.col("text").rlike(r"[\\{}]"))
-    return d.select("doc_id", F.length(T.normalize_title(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.fold_udf("text").alias("folded"))
 
 
 @query("""SELECT s_suppkey AS work_id, b || CASE WHEN count(*) OVER (PARTITION BY b) = 1 THEN '' ELSE CASE WHEN k < 26 THEN chr(97 + k) ELSE chr(96 + k // 26) || chr(97 + k % 26) END END AS new_key FROM (
@@ -404,9 +406,12 @@ def normalization_changes(spark, sf_dir):
     return bib.changes(e).select("key", "code", "level", "message")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 1")
+_MARKED = "text || CASE doc_id % 8 WHEN 0 THEN ' ToDo' WHEN 1 THEN ' mastodon' WHEN 2 THEN '. To be  confirmed' WHEN 3 THEN '(to VERIFY)' WHEN 4 THEN ' x??? ' WHEN 5 THEN ' xxxx' ELSE '' END"
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches({_MARKED}, '(?i)\\b(to verify|to be verified|not confirmed|to be confirmed|tbd|todo|fixme|placeholder|fill in|xxx)\\b|\\?\\?\\?')")
 def placeholder_scan(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 1, "Fill in: TO VERIFY").otherwise("Christodoulides, Aaltodoc").alias("v"))
+    d = table(spark, sf_dir, "documents").withColumn("v", F.expr(_MARKED))
     return d.where(T.has_placeholder(F.col("v"))).select("doc_id")
 
 
@@ -426,7 +431,9 @@ def dup_entries(spark, sf_dir):
 
 @query("SELECT min(doc_id) AS position, count(*) AS n FROM documents GROUP BY text")
 def exact_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min("doc_id").alias("position"), F.count("*").alias("n")).drop("h")
+    same = {"doi": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), "title": F.lit("?"), "arxiv_id": F.lit(""), "year": F.lit(""), "authors": F.array().cast("array<string>")}
+    found = corpus.clusters(table(spark, sf_dir, "documents").withColumn("position", F.col("doc_id")).withColumns(same))
+    return found.groupBy(F.col("cluster").alias("position")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH t AS (SELECT DISTINCT {SQL_TITLE} AS t FROM documents), c AS (SELECT t, length(t) AS n, {', '.join(f"length(t) - length(replace(t, '{s}', '')) AS c{i}" for i, s in enumerate(dedup.SYMBOLS))} FROM t WHERE t <> '')
@@ -504,19 +511,9 @@ def enrich_blank(spark, sf_dir):
     return gate.enriched(_gated(spark, sf_dir)).select("work_id", "year", F.size("authors").alias("n_authors"))
 
 
-@query("""SELECT p_partkey, field, CASE WHEN a = '' THEN 'missing-local' WHEN b = '' THEN 'missing-remote' WHEN a = b THEN 'match' ELSE 'mismatch' END AS status FROM (
-    SELECT p_partkey, 'brand' AS field, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END AS a, CASE WHEN p_partkey % 6 = 0 THEN '' WHEN p_partkey % 5 = 0 THEN 'other' ELSE p_brand END AS b FROM part
-    UNION ALL SELECT p_partkey, 'size', CAST(p_size AS VARCHAR), CAST(p_size + p_partkey % 2 AS VARCHAR) FROM part) WHERE a <> '' OR b <> ''""")
-def field_compare(spark, sf_dir):
-    k = F.col("p_partkey")
-    a, b = F.when(k % 4 == 0, "").otherwise(F.col("p_brand")), F.when(k % 6 == 0, "").when(k % 5 == 0, "other").otherwise(F.col("p_brand"))
-    x, y = F.col("p_size").cast("string"), (F.col("p_size") + k % 2).cast("string")
-    return gate.compared(table(spark, sf_dir, "part"), "p_partkey", {"brand": (a, b, a == b), "size": (x, y, x == y)}).select("p_partkey", "field", "status")
-
-
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1) || '<b>x</b>', '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM pages")
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
 def markup_strip(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.strip_markup(F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("<b>x</b>"))).alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", T.strip_markup(F.col("html")).alias("text"))
 
 
 @query(f"SELECT doc_id AS work_id, {SQL_TITLE} AS text FROM documents")
@@ -536,6 +533,20 @@ def bib_roundtrip(spark, sf_dir):
     return back.select(F.col("key").cast("long").alias("s_suppkey"), bib.field("title").alias("s_name"), bib.field("note").alias("nation"))
 
 
+@query("""SELECT p_brand AS file, 'k' || p_partkey AS key, 'in {' || p_name || '}' AS title, CAST(p_size AS VARCHAR) AS size, CAST(5 * (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) + 2 AS INT) AS line,
+    CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS node_pos, 'part ' || p_partkey AS note FROM part""")
+def bib_chunks_parsed(spark, sf_dir):
+    """One BibTeX file a brand, written from the parts and read back in chunks of 64 lines, which cut entries of five lines."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    lines = F.concat(F.lit("% part "), k, F.lit("\n@Misc{k"), k, F.lit(",\n  title = {in {"), "p_name", F.lit('}},\n  size = "'), F.col("p_size").cast("string"), F.lit('",\n}'))
+    path = new_path(spark, "bib")
+    brand = F.substring_index("p_brand", "#", -1).alias("brand")
+    p.select(brand, "p_partkey", lines.alias("value")).repartition("brand").sortWithinPartitions("brand", "p_partkey").select("brand", "value").write.partitionBy("brand").text(path)
+    nodes = bib_chunks.parse_chunks(bib_chunks.chunks(spark, path, rows=64)).where("kind = 'entry'")
+    file = F.concat(F.lit("Brand#"), F.regexp_extract("file", "brand=([0-9]+)/", 1))
+    return nodes.select(file.alias("file"), "key", bib.field("title").alias("title"), bib.field("size").alias("size"), "line", "node_pos", F.replace("lead_comment", F.lit("% "), F.lit("")).alias("note"))
+
+
 @query(None)
 def bib_render(spark, sf_dir):
     w = _full_works(spark, sf_dir).withColumn("authors", F.array("venue")).withColumn("year", F.lit("2001"))
@@ -563,29 +574,65 @@ def latest_verdict(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"), F.max("turn").alias("turn"))
 
 
+def _searched_entries(spark, sf_dir):
+    """One entry a part with a title of its own, some fields absent by key."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    doi = F.concat(F.when(k % 6 == 0, "10.9999/").otherwise("10.1234/"), k.cast("string"))
+    fields = [("author", F.lit("Smith, J"), k % 7 != 0), ("title", _own_title(k), k % 5 != 0), ("year", (F.lit(1950) + F.col("p_size")).cast("string"), k % 13 != 0), ("journal", F.lit("Journal"), k % 4 != 0), ("doi", doi, k % 2 == 0)]
+    array = F.array_compact(F.array(*[F.when(put, F.struct(F.lit(n).alias("name"), v.alias("text"), F.lit("brace").alias("delim"))) for n, v, put in fields]))
+    return p.select(F.lit("parts").alias("file"), k.cast("int").alias("node_pos"), F.lit("article").alias("type"), F.lit("article").alias("type_raw"), F.concat(F.lit("k"), k.cast("string")).alias("key"), F.lit(1).alias("line"), array.alias("fields"))
+
+
+def _own_title(k: Column) -> Column:
+    h = F.sha2(k.cast("string"), 256)
+    return F.concat_ws(" ", *[F.substring(h, at, 6) for at in (1, 7, 13, 19)])
+
+
 def _checked_entries(spark, sf_dir):
-    """The parts' entries against records of four of five DOIs, some with another year, and without search hits."""
+    """The entries against Crossref records of every fourth part and OpenAlex records of most others, found by DOI or by title search.
+
+    Some records have a longer title, another author or another year.
+    """
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    n, crossref = k.cast("string"), k % 4 == 0
+    title = F.concat(_own_title(k), F.when(crossref & (k % 3 == 1), " x").otherwise(""))
     year = (F.lit(1950) + F.col("p_size") + F.when(k % 8 == 0, 5).otherwise(0)).cast("string")
-    blank = {c: F.lit("") for c in ("journal", "volume", "pages", "url")}
-    records = p.where(k % 10 != 4).select(F.when(k % 4 == 0, "crossref").otherwise("datacite").alias("source"), F.concat(F.lit("10.1234/"), k.cast("string")).alias("doi"), F.col("p_name").alias("title"), F.array(F.concat(F.lit("Smith, "), "p_brand")).alias("authors"), year.alias("year")).withColumns(blank | {"volume": F.substring_index("doi", "/", -1)})
-    hits = records.where("1 = 0").select(F.lit("").alias("file"), F.lit(0).alias("node_pos"), F.lit(0).alias("place"), "*")
-    return verification.verified(_entries(spark, sf_dir), records, hits)
+    records = p.where(crossref | (k % 10 != 7)).select(
+        F.when(crossref, "crossref").otherwise("openalex").alias("source"), F.concat(F.when(crossref, "10.1234/").otherwise("10.7777/"), n).alias("doi"), title.alias("title"),
+        F.array(F.when(k % 9 == 0, "Roe, A").otherwise("Smith, J")).alias("authors"), year.alias("year"), F.lit("Journal").alias("journal"), n.alias("volume"), F.lit("").alias("pages"), F.lit("").alias("url"),
+    )
+    entries = _searched_entries(spark, sf_dir)
+    return verification.verified(entries, records, search.hits(entries, records))
 
 
-_SQL_CHECKED = f"""SELECT key, CASE WHEN NOT (k % 2 = 0 AND k % 6 <> 0 AND k % 10 <> 4) THEN 'not_found' WHEN t OR y THEN 'mismatched' ELSE 'verified' END AS verdict
-    FROM (SELECT *, k % 5 <> 0 AND k % 11 = 0 AS t, k % 8 = 0 AND k % 13 <> 0 AS y FROM ({_SQL_PARTS}))"""
+_SQL_CHECKED = """SELECT *, r IS NOT NULL AND ((r = 'doi' AND k % 9 = 0 AND k % 7 <> 0) OR (k % 8 = 0 AND k % 13 <> 0) OR (r = 'hit' AND k % 2 = 0)) AS wrong FROM (
+    SELECT 'k' || p_partkey AS key, p_partkey AS k, p_size, CASE WHEN p_partkey % 4 = 0 AND p_partkey % 6 <> 0 THEN 'doi'
+        WHEN p_partkey % 5 <> 0 AND (p_partkey % 4 = 0 OR p_partkey % 10 <> 7) AND (p_partkey % 7 = 0 OR p_partkey % 9 <> 0) THEN 'hit' END AS r FROM part)"""
 
 
-@query(_SQL_CHECKED)
+@query(f"SELECT key, CASE WHEN r IS NULL THEN 'not_found' WHEN wrong THEN 'mismatched' ELSE 'verified' END AS verdict, CASE WHEN r IS NULL THEN '' WHEN k % 4 = 0 THEN 'crossref' ELSE 'openalex' END AS source FROM ({_SQL_CHECKED})")
 def entry_verification(spark, sf_dir):
-    return _checked_entries(spark, sf_dir).select("key", "verdict")
+    return _checked_entries(spark, sf_dir).select("key", "verdict", F.coalesce("record.source", F.lit("")).alias("source"))
 
 
-@query(f"SELECT key, 'k' || CAST(k AS VARCHAR) = key AS filled FROM ({_SQL_PARTS}) WHERE k % 2 = 0 AND k % 6 <> 0 AND k % 10 <> 4")
+@query(f"""WITH c AS ({_SQL_CHECKED}) SELECT key, 'doi-unresolved' AS code, 'error' AS level FROM c WHERE k % 2 = 0 AND r IS DISTINCT FROM 'doi' UNION ALL SELECT key, 'not-found', 'warning' FROM c WHERE r IS NULL
+    UNION ALL SELECT key, 'field-mismatch', 'error' FROM c WHERE r = 'doi' AND k % 9 = 0 AND k % 7 <> 0 UNION ALL SELECT key, 'field-mismatch', 'error' FROM c WHERE r = 'hit' AND k % 2 = 0 UNION ALL SELECT key, 'field-mismatch', 'warning' FROM c WHERE r IS NOT NULL AND k % 8 = 0 AND k % 13 <> 0""")
+def verification_findings(spark, sf_dir):
+    return verification.verification_findings(_checked_entries(spark, sf_dir)).select("key", "code", "level")
+
+
+@query(f"""SELECT key, CAST(k AS VARCHAR) AS volume, 'Journal' AS journal, CASE WHEN k % 2 = 0 THEN CASE WHEN k % 6 = 0 THEN '10.9999/' ELSE '10.1234/' END ELSE '10.7777/' END || k AS doi,
+    CAST(1950 + p_size + CASE WHEN k % 13 = 0 AND k % 8 = 0 THEN 5 ELSE 0 END AS VARCHAR) AS year, len(list_filter([true, k % 4 = 0, k % 2 <> 0, k % 13 = 0], lambda x: x)) AS filled FROM ({_SQL_CHECKED}) WHERE r IS NOT NULL""")
 def suggestions_applied(spark, sf_dir):
     done = verification.applied(_checked_entries(spark, sf_dir)).where("record is not null")
-    return done.select("key", (bib.field("volume") == F.substring("key", 2, 20)).alias("filled"))
+    return done.select("key", *[bib.field(n).alias(n) for n in ("volume", "journal", "doi", "year")], F.size(F.filter("found", lambda f: f["code"] == "fixed-from-index")).cast("long").alias("filled"))
+
+
+@query(f"""SELECT key, unnest(['title', 'author', 'year', 'journal', 'volume', 'doi']) AS field, unnest([CASE WHEN k % 5 = 0 THEN 'missing-local' ELSE 'match' END, CASE WHEN k % 7 = 0 THEN 'missing-local' WHEN k % 9 = 0 THEN 'mismatch' ELSE 'match' END,
+    CASE WHEN k % 13 = 0 THEN 'missing-local' WHEN k % 8 = 0 THEN 'mismatch' ELSE 'match' END, CASE WHEN k % 4 = 0 THEN 'missing-local' ELSE 'match' END, 'missing-local', CASE WHEN r = 'doi' THEN 'match' WHEN k % 2 = 0 THEN 'mismatch' ELSE 'missing-local' END]) AS status
+    FROM ({_SQL_CHECKED}) WHERE r IS NOT NULL""")
+def field_compare(spark, sf_dir):
+    return _checked_entries(spark, sf_dir).select("key", F.explode("comparisons").alias("c")).select("key", "c.field", "c.status")
 
 
 @query(f"""SELECT file, CAST(errors AS BIGINT) AS errors, CASE WHEN errors > 0 THEN 2 ELSE 0 END AS exit_code FROM (
