@@ -6,14 +6,14 @@ All run over whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bibloom.functions import numeric
 from bibloom.functions import text as T
 from bibloom.operators import bib, bib_chunks, corpus, dedup, evidence, export, gate, graph, relevance, reports, screening, search, verification
-from bibloom.sources import payloads
-from bibloom.sources.shared import new_path
+from bibloom.sources import payloads, retrieval
+from bibloom.sources.shared import new_path, written
 
 FORBIDDEN = ["tionly", "enbleed", "ostmente"]
 REQUIRED = ["the", "der", "les", "que"]
@@ -547,6 +547,55 @@ def bib_chunks_parsed(spark, sf_dir):
     return nodes.select(file.alias("file"), "key", bib.field("title").alias("title"), bib.field("size").alias("size"), "line", "node_pos", F.replace("lead_comment", F.lit("% "), F.lit("")).alias("note"))
 
 
+_WINDOW = (2000, 2010)
+
+
+def _answers(spark, sf_dir):
+    """Requests to three indexes and the answers of a log recorded from the tables: OpenAlex answers with documents by their source,
+
+    Semantic Scholar with parts by their brand, the third index was never recorded. Answers hold the 200 and 100 first items of the window.
+    """
+    low, high = _WINDOW
+    d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "part")
+    year = (F.lit(1990) + F.col("doc_id") % 30).cast("int")
+    alex = F.struct(
+        F.concat(F.lit("https://openalex.org/W"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("https://doi.org/10.5/"), F.col("doc_id").cast("string")).alias("doi"), title_of().alias("display_name"), year.alias("publication_year"),
+        F.array(F.struct(F.struct(F.col("lang").alias("display_name")).alias("author"))).alias("authorships"), F.col("n_chars").cast("int").alias("cited_by_count"),
+    )
+    scholar = F.struct(F.col("p_partkey").cast("string").alias("paperId"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("title"), (F.lit(1970) + F.col("p_size")).cast("int").alias("year"))
+    asked = {
+        "openalex": d.where(year.between(low, high) & F.col("source").isNotNull()).select(F.col("source").alias("asked"), F.col("doc_id").alias("k"), F.to_json(alex).alias("payload")),
+        "semanticscholar": p.where((F.lit(1970) + F.col("p_size")).between(low, high)).select(F.col("p_brand").alias("asked"), F.col("p_partkey").alias("k"), F.to_json(scholar).alias("payload")),
+    }
+    root, requests = new_path(spark, "log"), []
+    for source, found in asked.items():
+        most = retrieval.MOST[source]
+        placed = found.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy("k")) - 1).where(F.col("place") < most)
+        names = sorted(r["asked"] for r in found.select("asked").distinct().collect())  # the names of sources and brands
+        requests += [retrieval.Request(source, "search", n, most) for n in names]
+        key = F.concat(F.lit(f"{source}:search:"), "asked", F.lit(f":{low}:{high}:{most}"))
+        retrieval.record(placed.select(key.alias("key"), "place", "payload"), root)
+    requests.append(retrieval.Request("inspire", "search", "anything", 100))
+    return written(retrieval.answers(spark, requests, root, low, high), "answers")
+
+
+_SQL_ANSWERS = f"""SELECT 'openalex' AS source, source AS asked, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, {SQL_TITLE} AS title, CAST(1990 + doc_id % 30 AS VARCHAR) AS year, '10.5/' || doc_id AS doi, CAST(doc_id AS VARCHAR) AS id FROM documents
+    WHERE 1990 + doc_id % 30 BETWEEN {_WINDOW[0]} AND {_WINDOW[1]} AND source IS NOT NULL QUALIFY place < 200
+    UNION ALL SELECT 'semanticscholar', p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k, p_name || ' ' || p_partkey, CAST(1970 + p_size AS VARCHAR), NULL, CAST(p_partkey AS VARCHAR) FROM part WHERE 1970 + p_size BETWEEN {_WINDOW[0]} AND {_WINDOW[1]} QUALIFY k < 100"""
+
+
+@query(f"SELECT s.source, count(DISTINCT asked) + CASE WHEN s.source = 'inspire' THEN 1 ELSE 0 END AS requests, count(asked) AS hits, CASE WHEN s.source = 'inspire' THEN 1 ELSE 0 END AS failed, count(asked) = 0 AS silent FROM (VALUES ('openalex'), ('semanticscholar'), ('inspire')) s(source) LEFT JOIN ({_SQL_ANSWERS}) a ON a.source = s.source GROUP BY s.source")
+def retrieval_report(spark, sf_dir):
+    return retrieval.report(_answers(spark, sf_dir)).drop("error")
+
+
+@query(f"SELECT place, title, year, doi, source, CASE source WHEN 'openalex' THEN 'W' || id ELSE id END AS id FROM ({_SQL_ANSWERS})")
+def retrieval_works(spark, sf_dir):
+    works = retrieval.retrieved(_answers(spark, sf_dir), *_WINDOW)
+    source = F.element_at("sources", 1)
+    return works.select((F.col("position") % 1_000_000_000).alias("place"), "title", "year", "doi", source.alias("source"), F.element_at("source_ids", source).alias("id"))
+
+
 @query(None)
 def bib_render(spark, sf_dir):
     w = _full_works(spark, sf_dir).withColumn("authors", F.array("venue")).withColumn("year", F.lit("2001"))

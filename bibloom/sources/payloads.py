@@ -33,9 +33,9 @@ def short_id(c: Column) -> Column:
     return F.coalesce(F.substring_index(c, "/", -1), F.lit(""))
 
 
-def as_works(df: DataFrame, **columns: Column) -> DataFrame:
-    """df projected to the work type, absent columns at their defaults."""
-    out = []
+def as_works(df: DataFrame, keep: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """df projected to the work type and the columns of `keep`, absent columns at their defaults."""
+    out = [F.col(f"_keep.{c}").alias(c) for c in keep]
     for part in WORK.split(", "):
         name, kind = part.split(" ")
         value = columns.get(name)
@@ -46,39 +46,40 @@ def as_works(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*out)
 
 
-def _parsed(payloads: DataFrame, schema: str, column: str) -> DataFrame:
-    return payloads.select(F.from_json(column, schema).alias("p")).select("p.*")
+def _parsed(payloads: DataFrame, schema: str, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    held = [F.struct(*keep).alias("_keep")] if keep else []
+    return payloads.select(F.from_json(column, schema).alias("p"), *held).select("p.*", *(["_keep"] if keep else []))
 
 
-def from_openalex(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    p = _parsed(payloads, OPENALEX, column)
+def from_openalex(payloads: DataFrame, column: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    p = _parsed(payloads, OPENALEX, column, keep)
     doi, page = text.clean_doi(F.col("doi")), "primary_location.landing_page_url"
     first, last = _text("biblio.first_page"), _text("biblio.last_page")
     pages = F.when((first != "") & (last != "") & (first != last), F.concat(first, F.lit("--"), last)).when(first != "", first).otherwise(last)
     arxiv = text.clean_arxiv_id(F.when(F.contains(doi, F.lit("arxiv")), doi).otherwise(F.col(page)))
     return as_works(
-        p, title=_text("display_name"), doi=doi, arxiv_id=arxiv, year=_text("publication_year"), authors=_named(F.transform("authorships", lambda a: a["author"]["display_name"])),
+        p, keep, title=_text("display_name"), doi=doi, arxiv_id=arxiv, year=_text("publication_year"), authors=_named(F.transform("authorships", lambda a: a["author"]["display_name"])),
         venue=_text("primary_location.source.display_name"), volume=_text("biblio.volume"), pages=pages, abstract=words_in_order(F.col("abstract_inverted_index")), cited_by_count=F.coalesce("cited_by_count", F.lit(0)),
         oa_pdf_url=_text("best_oa_location.pdf_url"), landing_url=_text(page), sources=F.array(F.lit("openalex")), source_ids=F.create_map(F.lit("openalex"), short_id(F.col("id"))),
         references=F.transform(F.coalesce("referenced_works", F.array().cast("array<string>")), short_id),
     )
 
 
-def from_semantic_scholar(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    p = _parsed(payloads, SEMANTIC_SCHOLAR, column)
+def from_semantic_scholar(payloads: DataFrame, column: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    p = _parsed(payloads, SEMANTIC_SCHOLAR, column, keep)
     return as_works(
-        p, title=_text("title"), doi=text.clean_doi(F.col("externalIds.DOI")), arxiv_id=text.clean_arxiv_id(F.col("externalIds.ArXiv")), year=_text("year"), authors=_named(F.transform("authors", lambda a: a["name"])), venue=_text("venue"),
+        p, keep, title=_text("title"), doi=text.clean_doi(F.col("externalIds.DOI")), arxiv_id=text.clean_arxiv_id(F.col("externalIds.ArXiv")), year=_text("year"), authors=_named(F.transform("authors", lambda a: a["name"])), venue=_text("venue"),
         abstract=_text("abstract"), cited_by_count=F.coalesce("citationCount", F.lit(0)), oa_pdf_url=_text("openAccessPdf.url"), sources=F.array(F.lit("semanticscholar")), source_ids=F.create_map(F.lit("semanticscholar"), _text("paperId")),
         references=_named(F.transform("references", lambda r: r["paperId"])),
     )
 
 
-def from_inspire(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    p = _parsed(payloads, INSPIRE, column).select("metadata.*")
+def from_inspire(payloads: DataFrame, column: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    p = _parsed(payloads, INSPIRE, column, keep).select("metadata.*", *(["_keep"] if keep else []))
     first = lambda c, f: F.try_element_at(c, F.lit(1))[f]
     year = _text(first("publication_info", "year"))
     return as_works(
-        p, title=_text(first("titles", "title")), doi=text.clean_doi(first("dois", "value")), arxiv_id=text.clean_arxiv_id(first("arxiv_eprints", "value")), year=F.when(year != "", year).otherwise(F.substring(_text("earliest_date"), 1, 4)),
+        p, keep, title=_text(first("titles", "title")), doi=text.clean_doi(first("dois", "value")), arxiv_id=text.clean_arxiv_id(first("arxiv_eprints", "value")), year=F.when(year != "", year).otherwise(F.substring(_text("earliest_date"), 1, 4)),
         authors=_named(F.transform(F.slice("authors", 1, 50), lambda a: a["full_name"])), venue=_text(first("publication_info", "journal_title")), abstract=_text(first("abstracts", "value")), cited_by_count=F.coalesce("citation_count", F.lit(0)),
         sources=F.array(F.lit("inspire")), source_ids=F.create_map(F.lit("inspire"), _text("control_number")),
     )
