@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bibloom.functions import numeric
 from bibloom.functions import text as T
 from bibloom.operators import bib, bib_chunks, corpus, dedup, evidence, export, gate, graph, relevance, reports, screening, search, verification
-from bibloom.sources import payloads, retrieval
+from bibloom.sources import cache, payloads, retrieval
 from bibloom.sources.shared import new_path, written
 
 FORBIDDEN = ["tionly", "enbleed", "ostmente"]
@@ -596,6 +596,30 @@ def retrieval_works(spark, sf_dir):
     return works.select((F.col("position") % 1_000_000_000).alias("place"), "title", "year", "doi", source.alias("source"), F.element_at("source_ids", source).alias("id"))
 
 
+def _response_log(spark, sf_dir):
+    """A log over the orders: answers for even keys, later misses for every tenth, compacted, then newer answers for every twentieth."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    log = cache.ResponseLog(spark, new_path(spark, "responses"))
+    key = cache.key_of("crossref:doi", F.concat(F.lit(" 10.1234/K"), k.cast("string"))).alias("key")
+    log.append(o.where(k % 2 == 0).select(key, F.concat(F.lit("first "), F.col("o_orderstatus")).alias("payload")))
+    log.append(o.where(k % 10 == 0).select(key, F.lit(None).cast("string").alias("payload")))
+    log.compact()
+    log.append(o.where(k % 20 == 0).select(key, F.lit("newer").alias("payload")))
+    return log, o.select(k, key)
+
+
+@query("SELECT o_orderkey, o_orderkey % 2 = 0 AS known, CASE WHEN o_orderkey % 20 = 0 THEN 'newer' WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'first ' || o_orderstatus END AS payload FROM orders")
+def cache_lookup(spark, sf_dir):
+    log, keys = _response_log(spark, sf_dir)
+    return log.lookup(keys).select("o_orderkey", "known", "payload")
+
+
+@query("SELECT b AS batch, least(50, n - 50 * b) AS keys FROM (SELECT count(*) AS n FROM orders WHERE o_orderkey % 2 <> 0), LATERAL (SELECT unnest(range(0, (n + 49) // 50)) AS b)")
+def cache_batches(spark, sf_dir):
+    log, keys = _response_log(spark, sf_dir)
+    return cache.request_batches(log.unknown(keys)).select("batch", F.size("keys").cast("long").alias("keys"))
+
+
 @query(None)
 def bib_render(spark, sf_dir):
     w = _full_works(spark, sf_dir).withColumn("authors", F.array("venue")).withColumn("year", F.lit("2001"))

@@ -11,5 +11,4 @@ RECORD = "source string, doi string, title string, authors array<string>, first_
 FIELD = "struct<name:string,text:string,delim:string>"
 NODE = f"file string, node_pos int, kind string, type string, type_raw string, key string, line int, text string, fields array<{FIELD}>, lead_comment string, is_banner boolean, section_id int, error string"
 VERDICT = "index string, t string, verdict string, reason string, role string"
-CACHE = "key string, payload string"
 TEXT_FIELDS = ("title", "year", "venue", "volume", "pages", "abstract", "oa_pdf_url", "landing_url", "screen", "screen_reason", "role", "validation", "validation_source")
