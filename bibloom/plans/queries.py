@@ -14,6 +14,7 @@ from bibloom.functions import text as T
 from bibloom.operators import bib, bib_chunks, corpus, dedup, evidence, export, gate, graph, relevance, reports, screening, search, verification
 from bibloom.sources import cache, payloads, retrieval
 from bibloom.sources.shared import new_path, written
+from bibloom.streaming import verdicts
 
 FORBIDDEN = ["tionly", "enbleed", "ostmente"]
 REQUIRED = ["the", "der", "les", "que"]
@@ -642,9 +643,31 @@ def snowball_rounds(spark, sf_dir):
     return grown.where("found_in_round is not null").select("work_id", "found_in_round")
 
 
-@query("SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn FROM conversations GROUP BY conv_id")
+def _verdict_drops(spark, sf_dir):
+    """The turns of conversations as verdict lines, in three drops by turn; each drop is taken by a run of its own."""
+    c = table(spark, sf_dir, "conversations").where("conv_id is not null")
+    verdict = F.when(F.col("turn") % 5 == 4, "maybe").when(F.col("turn") % 2 == 0, "include").when(F.col("turn") % 7 == 3, "unsure").otherwise("exclude")
+    line = F.to_json(F.struct(F.col("conv_id").alias("index"), F.col("role").alias("t"), verdict.alias("verdict"), F.col("turn").cast("string").alias("reason"), F.when(F.col("turn") % 4 == 0, "review").otherwise("no such role").alias("role")))
+    root = new_path(spark, "drops")
+    for drop in range(3):
+        own = c.where(F.col("turn") % 3 == drop).select("conv_id", "turn", line.alias("value"))
+        own.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("value").write.mode("append").text(f"{root}/in")
+        verdicts.fold(spark, f"{root}/in", f"{root}/changes", f"{root}/state")
+    return root
+
+
+_SQL_LINES = """SELECT *, turn % 3 AS drop, CASE WHEN turn % 2 = 0 THEN 'include' WHEN turn % 7 = 3 THEN 'unsure' ELSE 'exclude' END AS verdict, CASE WHEN turn % 4 = 0 THEN 'review' ELSE '' END AS kind FROM conversations WHERE conv_id IS NOT NULL AND turn % 5 <> 4"""
+
+
+@query(f"SELECT conv_id AS index, coalesce(role, '') AS t, verdict, CAST(turn AS VARCHAR) AS reason, kind AS role FROM ({_SQL_LINES}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY drop DESC, turn DESC) = 1")
 def latest_verdict(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"), F.max("turn").alias("turn"))
+    return verdicts.latest(spark, f"{_verdict_drops(spark, sf_dir)}/state")
+
+
+@query(f"""WITH l AS (SELECT * FROM ({_SQL_LINES}) QUALIFY row_number() OVER (PARTITION BY conv_id, drop ORDER BY turn DESC) = 1)
+    SELECT conv_id AS index, CAST(drop AS INT) AS drop, verdict, coalesce(lag(verdict) OVER (PARTITION BY conv_id ORDER BY drop), '') AS before FROM l""")
+def verdicts_stream(spark, sf_dir):
+    return verdicts.changed(spark, f"{_verdict_drops(spark, sf_dir)}/changes").select("index", "drop", "verdict", "before")
 
 
 def _searched_entries(spark, sf_dir):

@@ -73,15 +73,6 @@ def test_non_ascii(spark):
     assert sorted((r["line"], r["code"]) for r in bib.non_ascii_findings(files).collect()) == [(2, "non-ascii"), (2, "zero-width")]
 
 
-def test_verdict_stream(spark, tmp_path):
-    from bibloom.streaming import verdicts
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"index": 1, "verdict": "include"}\nbroken\n{"index": 1, "verdict": "exclude"}\n')
-    verdicts.fold(spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "check"))
-    assert verdicts.latest(spark, str(tmp_path / "table")).select("index", "verdict").collect() == [(1, "exclude")]
-    assert F is not None
-
 
 def test_changes_are_told(spark):
     def entry(key, *fields):
