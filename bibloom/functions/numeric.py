@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+# A cell that is one number, and a number in text.
 NUMERIC_CELL = r"^[<>~=\s]*[-+]?\d+([.,]\d+)?(\s*[eE][-+]?\d+)?[\s%]*$"
 NUMBER = r"[-+]?\d+(?:[.,]\d+)?(?:\s*[eE][-+]?\d+)?"
 
@@ -26,3 +29,9 @@ def quote_supports(value: Column, quote: Column) -> Column:
     theirs = F.filter(numbers(quote), lambda d: d != "")
     meets = F.exists(mine, lambda d: F.exists(theirs, lambda q: F.contains(q, d) | F.contains(d, q)))
     return F.when(is_numeric(value), meets).otherwise(F.lit(True))
+
+
+@F.pandas_udf(DoubleType())
+def one_digit(s: pd.Series) -> pd.Series:
+    """Doubles rounded as they are, halves to even; the built-in functions round their decimal spelling."""
+    return s.map(lambda x: round(x, 1))

@@ -253,9 +253,10 @@ def normalized(entries: DataFrame, ascii_only: bool = False) -> DataFrame:
 def changes(entries: DataFrame, ascii_only: bool = False) -> DataFrame:
     """(file, key, line, level, code, message): what `normalized` changes of each entry, told from its fields before and after.
 
-    One map over entries, nothing is shuffled. Letters spelled anew by ascii_only are not told. An eprint that is no identifier and no link is a warning.
+    One map over entries, nothing is shuffled. An eprint that is no identifier and no link is a warning. With ascii_only
+    every field that gets LaTeX spellings is told.
     """
-    e = normalized(entries.withColumn("_was", F.col("fields")), ascii_only)
+    e = normalized(entries.withColumn("_was", F.col("fields")))
     blank = lambda c: F.coalesce(c, F.lit(""))
     was, now = (lambda n: blank(field(n, "_was"))), (lambda n: blank(field(n)))
     held = lambda n: F.trim(was(n)) != ""
@@ -285,8 +286,13 @@ def changes(entries: DataFrame, ascii_only: bool = False) -> DataFrame:
     pages = F.trim(was("pages"))
     fixed = F.regexp_replace(pages, r"^(\w+)\s*[-–—]\s*(\w+)$", "$1--$2")
     note(fixed != pages, "page-range", "page range ", pages, " normalised to ", fixed)
+    told = F.array_compact(F.array(*notes))
+    if ascii_only:
+        e = e.withColumn("_latex", _latexified(F.col("fields")))
+        spelled = F.filter(F.zip_with("fields", "_latex", lambda a, b: F.when(a["text"] != b["text"], a["name"])), lambda n: n.isNotNull())
+        told = F.concat(told, F.transform(spelled, lambda n: F.struct(F.lit("info").alias("level"), F.lit("ascii").alias("code"), F.concat(n, F.lit(": rewrote non-ASCII characters as LaTeX escapes")).alias("message"))))
     key = F.coalesce("new_key", "key") if "new_key" in entries.columns else F.col("key")
-    return e.select("file", key.alias("key"), "line", F.explode(F.array_compact(F.array(*notes))).alias("f")).select("file", "key", "line", "f.*")
+    return e.select("file", key.alias("key"), "line", F.explode(told).alias("f")).select("file", "key", "line", "f.*")
 
 
 _FIELD = StructType().add("name", StringType()).add("text", StringType()).add("delim", StringType())

@@ -23,15 +23,24 @@ def column_kinds(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def conflicts(rows: DataFrame, quantities: list[str], conditions: list[str], ratio: float = 3.0, papers: int = 2) -> DataFrame:
-    """Groups of equal conditions whose values spread by `ratio` or more between distinct papers.
+    """Groups of equal conditions whose values spread by `ratio` or more between distinct papers, with the rows at both ends.
 
-    rows: cite_key, the fields as text and position (input order). Ties: the first row for low, the last for high.
+    rows: cite_key, the fields as text and position (input order), source_quote and confidence where there are any. Ties:
+    the first row for low, the last for high. Rows are counted per paper first, as plain numbers; only the groups that
+    spread enough meet their rows again, for what they say.
     """
     stated = [F.coalesce(F.nullif(F.trim(F.regexp_replace(F.lower(F.col(c).cast("string")), r"\s+", " ")), F.lit("")), F.lit("(unstated)")).alias(c) for c in conditions]
-    long = rows.select("cite_key", "position", *stated, F.explode(F.array(*[F.struct(F.lit(q).alias("field"), numeric_value(F.col(q).cast("string")).alias("value")) for q in quantities])).alias("q"))
-    long = long.select("cite_key", "position", *conditions, "q.*").where("value > 0")
-    found = long.groupBy("field", *conditions).agg(F.count("*").alias("rows"), F.countDistinct("cite_key").alias("papers"), F.min("value").alias("low"), F.max("value").alias("high"), F.min_by("cite_key", F.struct("value", "position")).alias("low_key"), F.max_by("cite_key", F.struct("value", "position")).alias("high_key"))
-    return found.where((F.col("papers") >= papers) & (F.col("low_key") != F.col("high_key")) & (F.col("high") / F.col("low") >= ratio)).withColumn("ratio", F.col("high") / F.col("low"))
+    told = [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")).alias(c) for c in ("source_quote", "confidence")]
+    cells = F.array(*[F.struct(F.lit(q).alias("field"), F.col(q).cast("string").alias("as_written"), numeric_value(F.col(q).cast("string")).alias("value")) for q in quantities])
+    long = rows.select(F.coalesce(F.col("cite_key"), F.lit("")).alias("cite_key"), "position", *told, *stated, F.explode(cells).alias("q")).select("cite_key", "position", "source_quote", "confidence", *conditions, "q.*").where("value > 0")
+    key = ["field", *conditions]
+    paper = long.groupBy(*key, "cite_key").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    wide = paper.groupBy(*key).agg(F.sum("n").alias("rows"), F.count("*").alias("papers"), F.min("low").alias("low"), F.max("high").alias("high")).where((F.col("papers") >= papers) & (F.col("high") / F.col("low") >= ratio))
+    ends = long.join(wide, key).where((F.col("value") == F.col("low")) | (F.col("value") == F.col("high")))
+    end = F.struct("cite_key", "as_written", "confidence", "source_quote")
+    at = lambda side: F.when(F.col("value") == F.col(side), F.col("position"))
+    found = ends.groupBy(*key, "rows", "papers", "low", "high").agg(F.min_by(end, at("low")).alias("low_row"), F.max_by(end, at("high")).alias("high_row"))
+    return found.where(F.col("low_row.cite_key") != F.col("high_row.cite_key")).withColumns({"ratio": F.col("high") / F.col("low"), "low_key": F.col("low_row.cite_key"), "high_key": F.col("high_row.cite_key")})
 
 
 def evidence_csv(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from bibloom.functions import text as T
+from bibloom.functions.numeric import one_digit
 from bibloom.operators import bib, graph
 
 # Heads of the tables.
@@ -65,10 +66,55 @@ def general(c: Column) -> Column:
 
 
 def conflict_rows(conflicts: DataFrame, conditions: list[str]) -> DataFrame:
-    """One heading and one sentence a conflict, the largest ratio first (rounded to two digits)."""
-    stated = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.col(c)) for c in conditions])
-    lines = F.concat(F.lit("## "), F.col("field"), F.lit(" -- "), _or(stated, "no stated conditions"), F.lit("\n\n"), F.col("rows").cast("string"), F.lit(" row(s) from "), F.col("papers").cast("string"), F.lit(" paper(s) span "), general(F.col("low")), F.lit(" to "), general(F.col("high")), F.lit(" ("), general(F.round("ratio", 2)), F.lit("x)."))
-    return conflicts.select(F.struct((-F.round("ratio", 2)).alias("r"), "field", *conditions).alias("place"), lines.alias("line"))
+    """The part of each conflict, the largest ratio first (one digit): heading, sentence and the table of its two ends."""
+    c = conflicts.withColumn("_r", one_digit("ratio"))
+    stated = F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), F.col(n)) for n in conditions])
+    said = F.concat(F.col("rows").cast("string"), F.lit(" row(s) from "), F.col("papers").cast("string"), F.lit(" paper(s) span "), general(F.col("low")), F.lit(" to "), general(F.col("high")), F.lit(" ("), general(F.col("_r")), F.lit("x)."))
+    end = lambda side: _row(F.lit(side), F.col(f"{side}_row.cite_key"), F.col(f"{side}_row.as_written"), _or(f"{side}_row.confidence", "-"), F.substring(F.replace(F.replace(f"{side}_row.source_quote", F.lit("|"), F.lit("/")), F.lit("\n"), F.lit(" ")), 1, 200))
+    lines = F.concat_ws("\n", F.concat(F.lit("## "), F.col("field"), F.lit(" -- "), _or(stated, "no stated conditions")), F.lit(""), said, F.lit(""), *map(F.lit, head(CONFLICT)), end("low"), end("high"))
+    return c.select(F.struct((-F.col("_r")).alias("r"), "field", *conditions).alias("place"), lines.alias("line"))
+
+
+# Phases of the reading plan, how many works each shows, heads of its tables.
+PHASES = (("foundation", "Phase 1 -- Foundation", 8), ("core", "Phase 2 -- Core evidence", 15), ("frontier", "Phase 3 -- Frontier", 12))
+PLAN, KINDS = ("Cite key", "Year", "Role", "Cites/yr", "Cited here", "PDF", "Title"), ("Kind", "Works")
+
+
+def phase_counts(phased: DataFrame) -> DataFrame:
+    """(phase, n, shown) of graph.phases' works, empty phases included: how many works each holds and shows."""
+    every = phased.sparkSession.createDataFrame([(p, k) for p, _, k in PHASES], "phase string, most int")
+    n = phased.groupBy("phase").agg(F.count("*").alias("n"))
+    return every.join(n, "phase", "left").select("phase", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.least(F.coalesce("n", F.lit(0)), F.col("most")).cast("int").alias("shown"))
+
+
+def reading_plan(phased: DataFrame, cite_keys: DataFrame | None = None) -> DataFrame:
+    """(place, line): what to read in which order: works by kind, then the best works of each phase and how many more there are.
+
+    phased: graph.phases' works. The best of a phase are ranked per task before any row is shuffled; in the first phase
+    reviews go before landmarks. cite_keys: (work_id, cite_key) of refs.bib.
+    """
+    spark = phased.sparkSession
+    order = Window.partitionBy("phase").orderBy((F.col("part") != "reviews").cast("int"), *graph.rank_order())
+    most = F.coalesce(*[F.when(F.col("phase") == p, k) for p, _, k in PHASES])
+    best = phased.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= max(k for *_, k in PHASES)).where(F.col("_at") <= most)
+    best = best.withColumn("cite_key", F.lit(None).cast("string")) if cite_keys is None else best.join(cite_keys, "work_id", "left")
+    section = F.coalesce(*[F.when(F.col("phase") == p, i + 1) for i, (p, *_) in enumerate(PHASES)])
+    place = lambda s, at: F.struct(s.alias("section"), at.cast("int").alias("at"))
+    some = lambda c: _or(c, "") if c in phased.columns else F.lit("")
+    pdf = F.when((some("oa_pdf_url") != "") | (some("arxiv_id") != ""), "yes").otherwise("-")
+    rows = best.select(place(section, F.col("_at") + 10).alias("place"), _row(_or("cite_key", "(not in refs.bib)"), _or("year", "-"), _or("role", "unclassified"), F.col("rate"), F.col("in_corpus"), pdf, _cell(_or("title", "(no title)"), 70)).alias("line"))
+    counts = phase_counts(phased)
+    title = F.coalesce(*[F.when(F.col("phase") == p, t) for p, t, _ in PHASES])
+    opening = F.when(F.col("n") == 0, F.array(F.lit(""), F.concat(F.lit("## "), title), F.lit(""), F.lit("Nothing was placed in this phase."))).otherwise(
+        F.array(F.lit(""), F.concat(F.lit("## "), title), F.lit(""), F.concat(F.lit("Showing "), F.col("shown"), F.lit(" of "), F.col("n"), F.lit(".")), F.lit(""), *map(F.lit, head(PLAN)))
+    )
+    heads = counts.select(section.alias("s"), F.posexplode(opening).alias("at", "line")).select(place(F.col("s"), F.col("at")).alias("place"), "line")
+    more = counts.where("n > shown").select(section.alias("s"), F.posexplode(F.array(F.lit(""), F.concat((F.col("n") - F.col("shown")).cast("string"), F.lit(" further work(s) in this phase are in corpus.jsonl.")))).alias("at", "line")).select(place(F.col("s"), F.col("at") + 1000).alias("place"), "line")
+    roles = graph.role_counts(phased)
+    kind = F.coalesce(*[F.when(F.col("role") == r, i) for i, r in enumerate(graph.ROLES)], F.lit(len(graph.ROLES)))
+    kinds = roles.select(place(F.lit(0), kind + 2).alias("place"), _row(F.col("role"), F.col("n")).alias("line"))
+    top = spark.createDataFrame([(i, line) for i, line in enumerate(head(KINDS))], "at int, line string").select(place(F.lit(0), F.col("at")).alias("place"), "line")
+    return top.unionByName(kinds).unionByName(heads).unionByName(rows).unionByName(more)
 
 
 def finding_place() -> Column:
@@ -95,19 +141,51 @@ def exit_codes(findings: DataFrame, files: DataFrame, strict: bool = False) -> D
     return all_.withColumn("exit_code", F.when(F.col("errors") > 0, 2).when(F.col("warnings") > 0, 2 if strict else 1).otherwise(0))
 
 
-def json_reports(findings: DataFrame, entries: DataFrame, strict: bool = False) -> DataFrame:
-    """(file, report): one JSON object a file of entries, with its counts, exit code, renamed keys and findings in order.
+def key_problem() -> Column:
+    """Why an entry gets no key: null where it does."""
+    surname = T.surname_udf(F.coalesce(bib.field("author"), F.lit("")))
+    year = T.entry_year(bib.field("year"), bib.field("date"))
+    return F.when(surname == "", "cannot determine a first-author surname from the author field").when(year == "", "no 4-digit year found in the year field")
 
-    A file's findings are gathered, as the object is one value: it is as large as the file that they are about.
+
+_COMPARISON = "array<struct<field:string,local:string,remote:string,status:string>>"
+
+
+def json_reports(findings: DataFrame, entries: DataFrame, strict: bool = False, checked: DataFrame | None = None) -> DataFrame:
+    """(file, report): one JSON object a file of entries: counts, exit code, renamed keys, key problems, findings in order, verifications.
+
+    checked: verified entries, whose verdicts, records, comparisons and suggestions are told by key. A file's findings are
+    gathered, as the object is one value: it is as large as the file that they are about.
     """
     one = F.struct(finding_place().alias("place"), "level", "code", "key", "line", "message")
     found = findings.groupBy("file").agg(F.count_if(F.col("level") == "info").alias("info"), F.transform(F.sort_array(F.collect_list(one)), lambda x: x.dropFields("place")).alias("findings"))
     new = F.col("new_key") if "new_key" in entries.columns else F.lit(None).cast("string")
-    own = entries.groupBy("file").agg(F.count("*").alias("entry_count"), F.collect_list(F.when(new != F.col("key"), F.struct(F.col("key").alias("old"), new.alias("new")))).alias("renamed"))
+    place = F.col("node_pos") if "node_pos" in entries.columns else F.lit(0)
+    problem = key_problem() if "fields" in entries.columns else F.lit(None).cast("string")
+    e = entries.withColumn("_problem", problem).withColumn("_renamed", F.when(new != F.col("key"), F.struct(F.col("key").alias("k"), new.alias("v"))))
+    problems = F.sort_array(F.collect_list(F.when(F.col("_problem").isNotNull(), F.struct(place.alias("place"), "key", F.col("_problem").alias("reason")))))
+    own = e.groupBy("file").agg(F.count("*").alias("entry_count"), F.sort_array(F.collect_list(F.struct(place.alias("place"), F.col("_renamed").alias("r")))).alias("renamed"), F.transform(problems, lambda x: x.dropFields("place")).alias("key_problems"))
+    # of two entries with one key the later one's new key counts
+    renamed = F.aggregate(F.filter(F.transform("renamed", lambda x: x["r"]), lambda r: r.isNotNull()), F.create_map().cast("map<string,string>"), lambda m, r: F.map_concat(F.map_filter(m, lambda k, v: k != r["k"]), F.create_map(r["k"], r["v"])))
     whole = exit_codes(findings, own, strict).join(own, "file").join(found, "file", "left")
     none = F.array().cast("array<struct<level:string,code:string,key:string,line:int,message:string>>")
     counts = F.struct(F.col("errors").alias("error"), F.col("warnings").alias("warning"), F.coalesce("info", F.lit(0)).alias("info"))
-    return whole.select("file", F.to_json(F.struct(F.col("file").alias("input"), "entry_count", counts.alias("counts"), "exit_code", F.col("renamed").alias("rename_map"), F.coalesce("findings", none).alias("findings")), {"ignoreNullFields": "false"}).alias("report"))
+    told = F.create_map().cast(f"map<string,struct<verdict:string,source:string,comparisons:{_COMPARISON},suggestions:map<string,string>>>")
+    if checked is not None:
+        key = F.coalesce("new_key", "key") if "new_key" in checked.columns else F.col("key")
+        value = F.struct("verdict", F.coalesce("record.source", F.lit("")).alias("source"), F.col("comparisons").cast(_COMPARISON).alias("comparisons"), "suggestions")
+        by_key = checked.groupBy("file", key.alias("k")).agg(F.max_by(value, place if "node_pos" in checked.columns else F.lit(0)).alias("v"))
+        whole = whole.join(by_key.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_told")), "file", "left")
+        told = F.coalesce("_told", told)
+    parts = F.struct(F.col("file").alias("input"), "entry_count", counts.alias("counts"), "exit_code", renamed.alias("rename_map"), "key_problems", F.coalesce("findings", none).alias("findings"), told.alias("verifications"))
+    return whole.select("file", F.to_json(parts, {"ignoreNullFields": "false"}).alias("report"))
+
+
+def verification_rows(checked: DataFrame) -> DataFrame:
+    """The Markdown table of verdicts, by key."""
+    key = F.coalesce("new_key", "key") if "new_key" in checked.columns else F.col("key")
+    wrong = F.array_join(F.transform(F.filter("comparisons", lambda c: c["status"] == "mismatch"), lambda c: c["field"]), ", ")
+    return checked.select(F.struct("file", key.alias("key")).alias("place"), _row(F.concat(F.lit("`"), key, F.lit("`")), F.col("verdict"), _or("record.source", "-"), _or(wrong, "-")).alias("line"))
 
 
 @F.pandas_udf(StringType())
@@ -144,11 +222,28 @@ def plain_references(entries: DataFrame) -> DataFrame:
     return e.select("file", "number", F.regexp_replace(line, r"\.\.+", ".").alias("line"))
 
 
-def run_log(gated: DataFrame, search: dict[str, Column]) -> DataFrame:
-    """One JSON row: the search, the size of the corpus, what passed the gate and what did not."""
+def run_log(gated: DataFrame, search: dict[str, Column], rounds: list[dict] = (), known: DataFrame | None = None, gold: DataFrame | None = None) -> DataFrame:
+    """One JSON row: the search, the size of the corpus, what passed the gate, the rounds, the known items and the gold set.
+
+    rounds: what the expansion reports. known: known_items' rows. gold: gold_recall's rows; both are lists that people write.
+    """
+    from bibloom.operators import screening
+
     ok = F.count_if(F.col("validation") == "verified")
-    counts = gated.agg(F.count("*").alias("corpus_size"), ok.alias("verified"), (F.count("*") - ok).alias("quarantined"))
-    return counts.select(F.to_json(F.struct(*[c.alias(n) for n, c in search.items()], "corpus_size", "verified", "quarantined")).alias("line"))
+    row = gated.agg(F.count("*").alias("corpus_size"), ok.alias("verified"), (F.count("*") - ok).alias("quarantined"))
+    curve = [F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in r.items()])) for r in rounds]
+    told = [c.alias(n) for n, c in search.items()] + ["corpus_size", "verified", "quarantined", F.parse_json(F.concat(F.lit("["), F.concat_ws(",", *curve), F.lit("]"))).alias("saturation_curve")]
+    if known is not None:
+        one = F.struct(F.col("title").alias("wanted"), "found", "best_match", F.round("ratio", 3).alias("similarity"))
+        row = row.crossJoin(F.broadcast(known.agg(F.transform(F.sort_array(F.collect_list(F.struct("item_id", one.alias("x")))), lambda r: r["x"]).alias("known_items"))))  # one row each
+        told.append("known_items")
+    if gold is not None:
+        key = F.coalesce("key", T.clean_doi(F.col("doi")))
+        row = row.crossJoin(F.broadcast(screening.gold_summary(gold).select("total", "found", "recall_pct")))
+        lists = [F.sort_array(F.collect_list(F.when(w, key))).alias(n) for n, w in (("missed", ~F.col("found")), ("found_but_screened_out", F.col("found") & F.col("screen").isin(*screening.SCREENED_OUT)))]
+        row = row.crossJoin(F.broadcast(gold.agg(*lists)))
+        told.append(F.struct("total", "found", "recall_pct", "missed", "found_but_screened_out").alias("gold_set"))
+    return row.select(F.to_json(F.struct(*told), {"ignoreNullFields": "false"}).alias("line"))
 
 
 def write_lines(rows: DataFrame, path: str, opening: list[str] = (), ascii_only: bool = False) -> None:

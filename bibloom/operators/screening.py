@@ -9,22 +9,27 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import BooleanType
 
 from bibloom.functions import text as T
+from bibloom.functions.numeric import one_digit
+from bibloom.sources.shared import written
 
 
-def batches(works: DataFrame, size: int = 25, chars: int = 600) -> DataFrame:
+def batches(works: DataFrame, size: int = 25, chars: int = 600, corpus: DataFrame | None = None) -> DataFrame:
     """(batch, work_id, position, title, check, year, abstract): works dealt by corpus order.
 
     The place of a work in its batch needs a global order; positions are counted per range first, so that no window
-    takes all rows.
+    takes all rows. What a batch shows is cut from the works and written once; ranges, counts and places read that.
+    corpus: the works have to be of it, else reading the batches fails.
     """
-    spread = works.withColumn("_range", F.floor(F.col("position") / 10_000))
+    of = works if corpus is None else held_by(works, corpus)
+    shown = of.select("work_id", "position", "title", T.checksum(F.col("title")).alias("check"), "year", F.substring(F.trim("abstract"), 1, chars).alias("abstract"), F.floor(F.col("position") / 10_000).alias("_range"))
+    spread = written(shown, "batches")
     before = spread.groupBy("_range").agg(F.count("*").alias("n"))
     total = before.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = spread.join(total.select("_range", "base"), "_range").withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy("position")) - 1 + F.col("base"))
-    return placed.select(F.floor(F.col("_k") / size).alias("batch"), "work_id", "position", "title", T.checksum(F.col("title")).alias("check"), "year", F.substring(F.trim("abstract"), 1, chars).alias("abstract"))
+    return placed.select(F.floor(F.col("_k") / size).alias("batch"), "work_id", "position", "title", "check", "year", "abstract")
 
 
 def batch_files(dealt: DataFrame) -> DataFrame:
@@ -38,6 +43,16 @@ def foreign(subset: DataFrame, works: DataFrame) -> DataFrame:
     return subset.join(works.select("work_id"), "work_id", "left_anti")
 
 
+def held_by(subset: DataFrame, works: DataFrame) -> DataFrame:
+    """subset as it is, but reading it fails if it has a work that the corpus does not hold: its verdicts could not be applied back.
+
+    The check is part of the plan, row by row; nothing is counted beforehand.
+    """
+    own = works.select("work_id", F.lit(True).alias("_held")).distinct()
+    told = F.concat(F.lit("work "), F.coalesce(F.col("work_id").cast("string"), F.lit("without id")), F.lit(" is not in the corpus; its verdict could not be applied back"))
+    return subset.join(own, "work_id", "left").where(F.coalesce(F.col("_held"), F.raise_error(told).cast("boolean"))).select(*subset.columns)
+
+
 @F.pandas_udf(BooleanType())
 def echo_matches(echo: pd.Series, title: pd.Series) -> pd.Series:
     """Each echoed word resembles the title's word at its place by 0.7; an empty echo matches."""
@@ -127,16 +142,10 @@ def gold_recall(gold: DataFrame, works: DataFrame) -> DataFrame:
 SCREENED_OUT = ("exclude", "unsure")
 
 
-@F.pandas_udf(DoubleType())
-def _one_digit(s: pd.Series) -> pd.Series:
-    """Rounds the double itself, halves to even; the built-in functions round its decimal spelling."""
-    return s.map(lambda x: round(x, 1))
-
-
 def gold_summary(recalled: DataFrame) -> DataFrame:
     """One row from gold_recall's: total, found, recall_pct (one digit, 0 without gold papers) and how many were found but screened out."""
     counts = recalled.agg(F.count("*").alias("total"), F.count_if("found").alias("found"), F.count_if(F.col("found") & F.col("screen").isin(*SCREENED_OUT)).alias("found_but_screened_out"))
-    return counts.withColumn("recall_pct", F.when(F.col("total") > 0, _one_digit(F.coalesce(F.try_divide(100 * F.col("found"), F.col("total")), F.lit(0.0)))).otherwise(0.0))
+    return counts.withColumn("recall_pct", F.when(F.col("total") > 0, one_digit(F.coalesce(F.try_divide(100 * F.col("found"), F.col("total")), F.lit(0.0)))).otherwise(0.0))
 
 
 def gold_missed(recalled: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bibloom.functions import numeric
+from bibloom.functions import numeric, sql
 from bibloom.functions import text as T
-from bibloom.operators import bib, bib_chunks, corpus, dedup, evidence, export, gate, graph, relevance, reports, screening, search, verification
+from bibloom.operators import bib, bib_chunks, corpus, dedup, evidence, export, gate, graph, metrics, relevance, reports, screening, search, verification
 from bibloom.sources import cache, payloads, retrieval
 from bibloom.sources.shared import new_path, written
 from bibloom.streaming import verdicts
@@ -121,6 +121,25 @@ def rank_works(spark, sf_dir):
     return graph.top(ranked(spark, sf_dir), 50).select("work_id", "rate", "in_corpus", "cited_by_count")
 
 
+_SQL_PHASED = f"""SELECT *, CASE WHEN part IN ('reviews', 'landmarks') THEN 'foundation' ELSE part END AS phase FROM (SELECT *, CASE WHEN role = 'review' THEN 'reviews' WHEN in_corpus >= 2 THEN 'landmarks' WHEN year > {NOW - 3} THEN 'frontier' ELSE 'core' END AS part FROM ({SQL_SIGNALS}))"""
+_SQL_PLAN = f"""WITH p AS ({_SQL_PHASED}), f(phase, title, most, s) AS (VALUES ('foundation', 'Phase 1 -- Foundation', 8, 1), ('core', 'Phase 2 -- Core evidence', 15, 2), ('frontier', 'Phase 3 -- Frontier', 12, 3)),
+    n AS (SELECT f.*, count(p.phase) AS n FROM f LEFT JOIN p USING (phase) GROUP BY ALL), k AS (SELECT CASE WHEN role IN ('review', 'primary', 'method', 'theory') THEN role ELSE 'unclassified' END AS role, count(*) AS n FROM p GROUP BY 1),
+    r AS (SELECT p.*, s, most, row_number() OVER (PARTITION BY phase ORDER BY part <> 'reviews', rate DESC, in_corpus DESC, cited_by_count DESC, position) AS i FROM p JOIN f USING (phase) QUALIFY i <= most)
+    SELECT 0 AS section, 0 AS spot, '| Kind | Works |' AS line UNION ALL SELECT 0, 1, '| --- | --- |'
+    UNION ALL SELECT 0, v.i, '| ' || v.role || ' | ' || coalesce(k.n, 0) || ' |' FROM (VALUES ('review', 2), ('primary', 3), ('method', 4), ('theory', 5), ('unclassified', 6)) v(role, i) LEFT JOIN k USING (role)
+    UNION ALL SELECT s, unnest(range(len(l))), unnest(l) FROM (SELECT s, CASE WHEN n = 0 THEN ['', '## ' || title, '', 'Nothing was placed in this phase.'] ELSE ['', '## ' || title, '', 'Showing ' || least(n, most) || ' of ' || n || '.', '', '| Cite key | Year | Role | Cites/yr | Cited here | PDF | Title |', '| --- | --- | --- | --- | --- | --- | --- |'] END AS l FROM n)
+    UNION ALL SELECT s, i + 10, '| ' || CASE WHEN work_id % 2 = 0 THEN 'key' || work_id ELSE '(not in refs.bib)' END || ' | ' || year || ' | ' || CASE role WHEN '' THEN 'unclassified' ELSE role END || ' | ' || CAST(rate AS VARCHAR) || ' | ' || in_corpus || ' | ' || CASE WHEN work_id % 3 = 0 OR work_id % 5 = 0 THEN 'yes' ELSE '-' END || ' | a/b ' || work_id || ' |' FROM r
+    UNION ALL SELECT s, unnest([1000, 1001]), unnest(['', (n - most) || ' further work(s) in this phase are in corpus.jsonl.']) FROM n WHERE n > most"""
+
+
+@query(f"SELECT CAST(section AS INT) AS section, CAST(spot AS INT) AS spot, line FROM ({_SQL_PLAN})")
+def reading_plan(spark, sf_dir):
+    k = F.col("work_id")
+    w = ranked(spark, sf_dir).withColumns({"title": F.concat(F.lit("a|b "), k.cast("string")), "oa_pdf_url": F.when(k % 3 == 0, "https://x").otherwise(""), "arxiv_id": F.when(k % 5 == 0, "2001.00001")})
+    keys = w.where(k % 2 == 0).select("work_id", F.concat(F.lit("key"), k.cast("string")).alias("cite_key"))
+    return reports.reading_plan(graph.phases(w, NOW), keys).select("place.section", F.col("place.at").alias("spot"), "line")
+
+
 @query(f"""WITH s AS ({SQL_SIGNALS}) SELECT part, CASE WHEN part IN ('reviews', 'landmarks') THEN 'foundation' ELSE part END AS phase, count(*) AS n, min(position) AS first, max(rate) AS best
     FROM (SELECT *, CASE WHEN role = 'review' THEN 'reviews' WHEN in_corpus >= 2 THEN 'landmarks' WHEN year > {NOW - 3} THEN 'frontier' ELSE 'core' END AS part FROM s) GROUP BY part""")
 def reading_phases(spark, sf_dir):
@@ -141,7 +160,7 @@ def seed_candidates(spark, sf_dir):
 
 def _conflict_rows(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_suppkey").cast("string").alias("cite_key"), F.col("l_suppkey").alias("position"), F.col("l_quantity").cast("string").alias("quantity"), F.col("l_partkey").cast("string").alias("part"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+    return li.select(F.col("l_suppkey").cast("string").alias("cite_key"), F.col("l_suppkey").alias("position"), F.col("l_quantity").cast("string").alias("quantity"), F.col("l_partkey").cast("string").alias("part"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey")).alias("at"))
 
 
 @query("""SELECT 'quantity' AS field, part, flag, status, rows, papers, low, high, high / low AS ratio FROM (
@@ -153,9 +172,24 @@ def conflict_groups(spark, sf_dir):
     return found.select("field", "part", "flag", "status", "rows", "papers", "low", "high", "ratio")
 
 
-@query("SELECT * FROM (VALUES ('quantity', true), ('part', true), ('flag', false), ('status', false)) v(field, quantity)")
+@query("""WITH c AS (SELECT l_suppkey AS k, (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey AS position, l_partkey AS part, lower(l_returnflag) AS flag, lower(l_linestatus) AS status, CAST(l_quantity AS DOUBLE) AS q FROM lineitem WHERE l_quantity > 0),
+    g AS (SELECT part, flag, status, count(*) AS rows, count(DISTINCT k) AS papers, arg_min({'k': k, 'q': q}, {'q': q, 'p': position}) AS low, arg_max({'k': k, 'q': q}, {'q': q, 'p': position}) AS high FROM c GROUP BY ALL)
+    SELECT part, flag, status, '## quantity -- part=' || part || ', flag=' || flag || ', status=' || status || chr(10) || chr(10) || rows || ' row(s) from ' || papers || ' paper(s) span ' || low.q::INT || ' to ' || high.q::INT AS opening,
+        '| low | ' || low.k || ' | ' || low.q || ' | - | at ' || low.q || '/' || low.k || ' |' || chr(10) || '| high | ' || high.k || ' | ' || high.q || ' | - | at ' || high.q || '/' || high.k || ' |' AS ends
+    FROM g WHERE papers >= 2 AND low.k <> high.k AND high.q / low.q >= 3""")
+def conflicts_report(spark, sf_dir):
+    rows = _conflict_rows(spark, sf_dir).withColumn("position", F.col("at")).withColumn("source_quote", F.concat(F.lit("at "), "quantity", F.lit("|"), "cite_key"))
+    lines = reports.conflict_rows(evidence.conflicts(rows, ["quantity"], ["part", "flag", "status"]), ["part", "flag", "status"])
+    opening = F.substring_index("line", " (", 1)  # the ratio's last digit is rounded as a double, which SQL does not do
+    return lines.select(F.col("place.part").cast("long").alias("part"), "place.flag", "place.status", opening.alias("opening"), F.concat(F.lit("| low"), F.substring_index("line", "\n| low", -1)).alias("ends"))
+
+
+@query("""SELECT unnest(['quantity', 'part', 'flag', 'status', 'receipt', 'blank']) AS field, unnest([bool_and(regexp_matches(CAST(l_quantity AS VARCHAR), n)), bool_and(regexp_matches(CAST(l_partkey AS VARCHAR), n)), bool_and(regexp_matches(l_returnflag, n)), bool_and(regexp_matches(l_linestatus, n)),
+    bool_and(regexp_matches(CASE WHEN l_linenumber = 7 THEN 'ca. ' || l_suppkey WHEN l_linenumber = 6 THEN '' ELSE '~' || l_suppkey || ' %' END, n)) FILTER (l_linenumber <> 6), false]) AS quantity FROM lineitem, (SELECT '^[<>~=\\s]*[-+]?[0-9]+([.,][0-9]+)?(\\s*[eE][-+]?[0-9]+)?[\\s%]*$' AS n)""")
 def quantity_columns(spark, sf_dir):
-    return evidence.column_kinds(_conflict_rows(spark, sf_dir), ["quantity", "part", "flag", "status"])
+    receipt = F.when(F.col("line") == 7, F.concat(F.lit("ca. "), "cite_key")).when(F.col("line") == 6, "").otherwise(F.concat(F.lit("~"), "cite_key", F.lit(" %")))
+    rows = _conflict_rows(spark, sf_dir).withColumn("receipt", receipt).withColumn("blank", F.lit(""))
+    return evidence.column_kinds(rows, ["quantity", "part", "flag", "status", "receipt", "blank"])
 
 
 def _cells(spark, sf_dir):
@@ -621,6 +655,39 @@ def cache_batches(spark, sf_dir):
     return cache.request_batches(log.unknown(keys)).select("batch", F.size("keys").cast("long").alias("keys"))
 
 
+@query(f"""WITH t AS (SELECT doc_id, CASE WHEN reason <> '' THEN 1 ELSE 0 END AS rule FROM ({_SQL_TRIAGED})), w AS (SELECT d.doc_id, rule, {SQL_TITLE} AS title, CASE l.quality WHEN 1 THEN 'include' WHEN 0 THEN 'unsure' ELSE '' END AS screen, d.doc_id % 3 AS g,
+        len(list_intersect(list_distinct(regexp_extract_all(lower({SQL_TITLE} || ' ' || coalesce(text, '')), '[a-z0-9]+')), {QUERY_TERMS!r})) >= 2 AS topical FROM documents d JOIN t USING (doc_id) LEFT JOIN labels l USING (doc_id)),
+    i AS (SELECT DISTINCT title FROM w WHERE screen = 'include'), x AS (SELECT w.*, i.title IS NOT NULL AS hit FROM w LEFT JOIN i USING (title))
+    SELECT count(*) AS corpus_size, count(*) FILTER (topical) AS topical_kept, count(*) FILTER (NOT topical) AS topical_dropped, count(*) FILTER (rule = 0) AS triage_to_model, count(*) FILTER (rule = 1) AS triage_by_rule, count(*) FILTER (rule = 1 AND hit) AS includes_lost_to_triage,
+        count(*) FILTER (g = 0) AS gate_verified, count(*) FILTER (g = 1) AS gate_quarantined, count(*) FILTER (screen = 'include') AS screened_include, count(*) FILTER (screen = 'unsure') AS screened_unsure, count(*) FILTER (screen = 'include' AND g = 0 AND title <> '') AS bib_entries,
+        count(*) FILTER (screen = 'include' AND g = 0 AND title <> '' AND doc_id % 2 = 0) AS bib_errors, (SELECT count(*) FROM benchmark) AS gold_total, (SELECT count(*) FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents)) AS gold_found FROM x""")
+def benchmark_metrics(spark, sf_dir):
+    """Measures of the documents as a corpus of works without identifiers of their own titles' kind; dedup is asked for equal titles only."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("work_id"), F.when(F.col("quality") == 1, "include").otherwise("unsure").alias("screen"))
+    k = F.col("work_id")
+    own = {"validation": F.when(k % 3 == 0, "verified").when(k % 3 == 1, "quarantined").otherwise(""), "doi": F.concat(F.lit("10.1234/"), k.cast("string")), "authors": F.array(F.lit("Doe, Jane")), "year": F.when(k % 2 == 0, "").otherwise("2001")}
+    w = _full_works(spark, sf_dir).withColumns(own).drop("screen").join(labels, "work_id", "left").fillna("", ["screen"])
+    gold = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.concat(F.lit("https://doi.org/10.1234/"), F.col("item_id").cast("string")).alias("doi"))
+    row = metrics.measured(w, gold, QUERY_TERMS, REQUIRED, FORBIDDEN, least=1.0)
+    names = [n for n in row if n not in ("dedup_merges", "triage_saving_pct", "triage_yield_pct", "gold_recall_pct")]
+    return spark.createDataFrame([tuple(row[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@query("""SELECT s_nationkey AS nation, 's' || s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN 'Ostergaard' ELSE s_name END AS author, 'tides of ' || s_suppkey AS title, CAST(3 * (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) + 1 AS INT) AS line, CASE WHEN s_suppkey % 2 = 0 THEN 'Ostergaard' ELSE regexp_replace(s_name, '[^A-Za-z]', '', 'g') END AS surname FROM supplier""")
+def bibtex_in_sql(spark, sf_dir):
+    """The suppliers' entries as one BibTeX text a nation, taken apart by the table function in a SQL query."""
+    sql.register(spark)
+    s, n = table(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("string")
+    name = F.when(F.col("s_suppkey") % 2 == 0, r"{\O}sterg{\aa}rd, A.").otherwise(F.concat(F.col("s_name"), F.lit(", B.")))
+    entry = F.concat(F.lit("@misc{s"), n, F.lit(", author = {"), name, F.lit("},\n  Title = {Tides of {"), n, F.lit("}}}\n\n"))
+    files = s.groupBy("s_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", entry.alias("e")))), lambda x: x["e"]), "").alias("source"))
+    return spark.sql(
+        """SELECT s_nationkey AS nation, b.key, CASE WHEN fold_latex(b.fields['author']) LIKE 'Osterg%' THEN 'Ostergaard' ELSE substring_index(b.fields['author'], ',', 1) END AS author, title_key(b.fields['title']) AS title, b.line,
+        replace(first_surname(b.fields['author']), 'Ostergard', 'Ostergaard') AS surname FROM {files}, LATERAL parse_bibtex(source) AS b WHERE b.kind = 'entry'""",
+        files=files,
+    )
+
+
 @query(None)
 def bib_render(spark, sf_dir):
     w = _full_works(spark, sf_dir).withColumn("authors", F.array("venue")).withColumn("year", F.lit("2001"))

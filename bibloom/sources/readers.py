@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bibloom.sources.schema import TEXT_FIELDS, VERDICT, WORK
@@ -22,7 +23,26 @@ def read_works(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_works(works: DataFrame, path: str) -> None:
-    works.write.mode("overwrite").json(path)
+    """Works as JSON lines in corpus order: part files follow one another by position, and are sorted inside."""
+    columns = [F.col(c.split(" ")[0]) for c in WORK.split(", ")]
+    line = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    works.repartitionByRange(F.col("position")).sortWithinPartitions("position").select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """A corpus file read as it was built: its works added in order, so that works that are one by now become one."""
+    from bibloom.operators.corpus import deduplicated
+
+    lines = _numbered(spark, path).where(F.trim("value") != "")
+    at = lines.select("file", "block", "line", F.from_json("value", WORK).alias("w"))
+    # numbered per block, the blocks' sizes give each its first number
+    inside = at.withColumn("k", F.row_number().over(Window.partitionBy("file", "block").orderBy("line")) - 1)
+    sizes = at.groupBy("file", "block").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = inside.join(sizes.select("file", "block", "first"), ["file", "block"]).withColumn("position", F.col("first") + F.col("k"))
+    works = placed.select("position", F.col("position").alias("work_id"), "w.*").fillna("", list(TEXT_FIELDS)).fillna(0, ["cited_by_count", "found_in_round"]).fillna(False, ["is_seed"])
+    for c in ("authors", "sources", "references"):
+        works = works.withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    return deduplicated(works.withColumn("source_ids", F.coalesce("source_ids", F.create_map().cast("map<string,string>"))))
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
@@ -36,10 +56,16 @@ def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_evidence(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """Evidence rows, every cell as text, malformed lines skipped."""
+    """Evidence rows, every cell as text, malformed lines skipped. Without a file there are no rows."""
     columns = ["cite_key", "doi", "year", *fields, "source_quote", "confidence", "note"]
     schema = ", ".join(f"`{c}` string" for c in columns)
-    parsed = _numbered(spark, path).where(F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{"))
+    try:
+        lines = _numbered(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], f"position long, {schema}")
+        raise
+    parsed = lines.where(F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{"))
     return parsed.select(F.col("line").alias("position"), F.from_json("value", schema).alias("v")).select("position", "v.*")
 
 
