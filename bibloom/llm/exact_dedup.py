@@ -6,7 +6,10 @@ the number of rows. A batch of new rows is aggregated by digest, looked up in it
 slot's 32 bytes agree. Nonmembers form groups of their own.
 
 Null text counts as empty, empty texts are equal to each other. Texts are equal when identical after lower-casing A-Z.
-Repeated rows count each. Empty history or batch: the other side alone decides. Other columns are not read.
+Very long texts are hashed whole, a row at a time. Repeated rows and rows of one doc_id count each; of rows with the winning
+doc_id all are kept. Rows without doc_id never win over one that has an id; where no row of a text has one, keep_id is null
+and all are kept, so that the text is not lost. Empty history or batch: the other side alone decides; an empty table gives no
+rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 
 from bibloom.llm.common import U64, mix, texts_of, written
 
-#: Digests in a bucket, about; buckets are counted from the history, so a task's memory is bounded.
+#: Digests in a bucket, about; buckets are counted from history and batch, so a task's memory is bounded.
 BUCKET = 20_000
+#: Stands for a missing doc_id where digests meet the index.
+NO_ID = -(1 << 63)
 GAMMA, LEVELS = 2.0, 40
 
 
@@ -120,7 +125,7 @@ def _lookup(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
 
 def grouped(digest: DataFrame) -> DataFrame:
     """(digest, winner, n), aggregated map-side first."""
-    return digest.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("n"))
+    return digest.groupBy("digest").agg(F.coalesce(F.max("doc_id"), F.lit(NO_ID)).alias("winner"), F.count("*").alias("n"))
 
 
 def with_bucket(df: DataFrame, buckets: int) -> DataFrame:
@@ -149,9 +154,10 @@ def dedup(docs: DataFrame, split: int | None = None) -> DataFrame:
         low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         split = ((low or 0) + (high or 0)) // 2
     past = F.coalesce(F.col("doc_id") <= split, F.lit(True))
-    history = written(grouped(rows.where(past)), "history")
-    buckets = max(1, -(-history.count() // BUCKET))
+    history, batch = written(grouped(rows.where(past)), "history"), written(grouped(rows.where(~past)), "batch")
+    buckets = max(1, -(-(history.count() + batch.count()) // BUCKET))
     index = written(build_index(history, buckets), "index")
-    classes = written(lookup(grouped(rows.where(~past)), index, buckets), "classes")
+    classes = written(lookup(batch, index, buckets), "classes")
     out = rows.join(classes, "digest")
-    return out.select("doc_id", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"), (F.col("doc_id") == F.col("winner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    kept = F.coalesce("doc_id", F.lit(NO_ID)) == F.col("winner")
+    return out.select("doc_id", F.when(F.col("winner") != NO_ID, F.col("winner")).alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

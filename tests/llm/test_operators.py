@@ -130,6 +130,23 @@ def test_exact_dedup(docs, texts):
         assert {r["doc_id"]: tuple(r)[1:] for r in exact_dedup.dedup(docs, split).collect()} == want
 
 
+def test_exact_dedup_without_ids(spark):
+    big = 2**53
+    rows = [(None, "a"), (big + 1, "b"), (big + 3, "c"), (None, "c"), (None, "d"), (None, "d"), (5, "C"), (7, None), (7, "")]
+    got = sorted(tuple(r)[:4] for r in exact_dedup.dedup(spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id long, text string, winner string")).collect() if r["doc_id"])
+    assert got == [(5, big + 3, 3, False), (7, 7, 2, True), (7, 7, 2, True), (big + 1, big + 1, 1, True), (big + 3, big + 3, 3, True)]
+    lost = exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is null").collect()
+    assert sorted((r["group_size"], r["keep_id"] is None, r["kept"]) for r in lost) == [(1, True, True), (2, True, True), (2, True, True), (3, False, False)]
+
+
+def test_exact_dedup_deals_the_batch_too(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET", 50)
+    seen, own = [], exact_dedup.lookup
+    monkeypatch.setattr(exact_dedup, "lookup", lambda batch, index, buckets: seen.append(buckets) or own(batch, index, buckets))
+    docs = spark.createDataFrame([(-(10**12), "one"), *((k, f"text {k}") for k in range(1000))], "doc_id long, text string")
+    assert exact_dedup.dedup(docs).where("kept").count() == 1001 and seen == [21]
+
+
 def test_perfect_hash_is_minimal_and_checked():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     levels, slot = exact_dedup.build_levels(keys)
