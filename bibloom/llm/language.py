@@ -156,13 +156,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
     """A network from at most `sample` labelled rows that are not held out, those with the least hash of doc_id.
 
-    The rows are ranked by hash and id alone; only the texts of those chosen come to the driver.
+    Rows of one doc_id go by a hash of their text. The rows are ranked without their texts; only the texts of those chosen,
+    `sample` rows however often an id or a whole row repeats, come to the driver.
     """
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rank = F.xxhash64("doc_id").alias("h")
-    least = rows.select(rank, "doc_id").orderBy("h", "doc_id").limit(sample).distinct()
-    chosen = rows.select(rank, "doc_id", "lang", "text").join(F.broadcast(least), ["h", "doc_id"]).collect()  # `sample` ids
-    chosen = sorted((r["h"], r["doc_id"], r["lang"], r["text"]) for r in chosen)[:sample]
+    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    order = ["h", "doc_id", "t"]
+    ranked = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text", "lang").alias("t"))
+    least = ranked.orderBy(*order).limit(sample).distinct()
+    mine = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text", "lang").alias("t"), "lang", "text")
+    chosen = mine.join(F.broadcast(least), order).orderBy(*order).limit(sample).collect()
+    chosen = [(r["h"], r["doc_id"], r["lang"], r["text"]) for r in chosen]
     return train([r[3] for r in chosen], [r[2] for r in chosen])
 
 

@@ -501,3 +501,11 @@ def test_language_rejects_noise_and_keeps_short_texts(spark):
 def test_language_sample_is_bounded(spark):
     docs = spark.createDataFrame([(k % 50, "the and " * (k + 1), "xa") for k in range(200)], "doc_id long, text string, lang string")
     assert language.fit(docs, 20).classes == ["xa"] and language.fit(docs, 20).dense.shape[1] == 2
+
+
+def test_language_sample_is_bounded_when_an_id_repeats(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, langs: seen.append(texts))
+    language.fit(spark.createDataFrame([(1, f"the and {'x' * (k % 7)}", "xa") for k in range(3000)] + [(None, "the", "xa")] * 50, "doc_id long, text string, lang string"), 20)
+    language.fit(spark.createDataFrame([(1, "the same", "xa")] * 3000, "doc_id long, text string, lang string"), 20)
+    assert [len(t) for t in seen] == [20, 20]
