@@ -10,7 +10,7 @@ is left is the text. Pages whose kept blocks are all equal are copies and count
 make each other boilerplate.
 
 Unmarked pages of one host are dealt into chunks of about CHUNK_BYTES of blocks, copies into the same chunk, so a host of
-any size is worked on in bounded pieces. A run of LEAST words or more goes over k pages just if each LEAST words of it
+any size is worked on in bounded pieces. A run of LEAST words or more goes over k pages only if each LEAST words of it
 do; so the chunks of a large host count, for every LEAST words in a row, the distinct pages that hold them, the counts
 are summed over the host, and each chunk decides by the host's sums what the suffix array decides on a small host: the
 number of chunks does not change a result.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from bibloom.llm.common import MULTIPLIER, U64, bounded_batches, groups, mix, partitions, sliced, written
 
-#: Words of a suffix that are sorted (a power of two), least words of a repeated run (block ends count as words).
+#: Places of a suffix that are sorted (a power of two; block beginnings take one each), least words of a repeated run.
 REACH, LEAST = 16, 3
 #: Distinct pages that make a run of unmarked pages boilerplate; least pages that make a block of an article so, and their share.
 REPEATS, WIDE_PAGES, WIDE = 3, 8, 0.5
@@ -43,20 +43,35 @@ CHUNK_BYTES = 2 << 20
 BROADCAST_HOSTS = 50_000
 
 # Element names of HTML.
-RAW = "script|style|noscript|template|svg|iframe|object|textarea|title|math|canvas|audio|video"
+RAW = "script|style|noscript|template|svg|iframe|object|textarea|title|canvas|audio|video"
 FURNITURE = frozenset("nav footer aside form button select dialog menu head fieldset label input option".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end without an end tag when one of their kind, or what holds them, begins or ends.
 OPTIONAL = frozenset("p li dd dt td th tr option".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|bottombar|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|paywall|popup|promo\w*|related|reply|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|subscription|toolbar|topbar|widget)(?:$|[\s_-]|s(?:$|\s))", re.I)
+#: Words that may stand beside one of MARKED's in the class of a part of an article that is none of its text.
+BESIDE = frozenset("area bar block body bottom box btn button buttons center code container content cta element form group head header icon icons inline inner item items left link links list outer pages panel post posts right row section slot small stories tags text title top unit widget wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_VALUE = re.compile(r"\"[^\"]*\"|'[^']*'|=\s*[^\s\"'>]+")
 
 OUTSIDE, INSIDE, SKIPPED = 0, 1, 2
 
 
+def _furniture(value: str, now: int) -> bool:
+    """Whether a class or id names furniture. Inside an article one of its names has to say nothing else: `share-buttons` is, `related-work` is not."""
+    if now != INSIDE:
+        return MARKED.search(value) is not None
+    for one in value.lower().split():
+        parts = [p for p in re.split(r"[_-]+", one) if p]
+        told = [MARKED.search(p) is not None for p in parts]
+        if any(told) and all(t or p in BESIDE or p.isdigit() for t, p in zip(told, parts)):
+            return True
+    return False
+
+
 def _place(name: str, attributes: str, now: int) -> int:
     """Where the contents of an element stand, given where it stands itself."""
     if name in ("article", "main"):
@@ -69,11 +84,11 @@ def _place(name: str, attributes: str, now: int) -> int:
     if attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
-            if key in ("class", "id") and MARKED.search(value) or key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true":
+            if key in ("class", "id") and _furniture(value, now) or key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true":
                 return SKIPPED
             if key == "itemprop" and value == "articleBody" or key == "role" and value.lower() in ("main", "article"):
                 return INSIDE
-        if re.search(r"\shidden(\s|$)", attributes):
+        if "hidden" in attributes and re.search(r"\shidden(?=[\s=/]|$)", _VALUE.sub('""', attributes)):
             return SKIPPED
     return now
 
@@ -197,7 +212,9 @@ def repeated(pages: list[list[str]], bodies: list[int], least: int = LEAST) -> l
         block = np.array(block_of)
         reach_of = _shared(order, common, page, REPEATS, least)
         covered = np.zeros(n + 1, np.int64)
-        hit = reach_of > 0
+        # a run needs words of its own: beginnings of blocks are no words, so a heading of one word is no run
+        words_to = np.concatenate((np.zeros(1, np.int64), np.cumsum(s > 1)))
+        hit = words_to[np.arange(n) + reach_of] - words_to[:-1] >= least
         np.add.at(covered, np.flatnonzero(hit), 1)
         np.add.at(covered, np.flatnonzero(hit) + reach_of[hit], -1)
         bare = np.bincount(block, weights=(np.cumsum(covered)[:n] == 0) & (s > 1), minlength=n_blocks + 1)
@@ -234,31 +251,28 @@ def _shared(order: np.ndarray, common: np.ndarray, page: np.ndarray, k: int, lea
 
 
 def grams(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, at, page, block): the digest of every LEAST words in a row of a page, block begins counting as words.
+    """(gram, at, page, block): the digest of every LEAST words in a row of a page, and where blocks begin between them.
 
-    gram and at: digests and where they begin in the stream; page and block: of each place of the stream, block -1
-    where a block begins.
+    gram and at: digests and the number of the word that each begins with; page and block: of each word.
     """
     words: dict[str, int] = {}
     stream, page_of, block_of, n_blocks = [], [], [], 0
     for p, texts in enumerate(pages):
         for text in texts:
-            ids = [words.setdefault(w, len(words) + 1) for w in text.split()]
-            stream += [0, *ids]
-            block_of += [-1] + [n_blocks] * len(ids)
-            page_of += [p] * (len(ids) + 1)
+            ids = [words.setdefault(w, len(words)) for w in text.split()]
+            stream += ids
+            block_of += [n_blocks] * len(ids)
+            page_of += [p] * len(ids)
             n_blocks += 1
-        stream.append(0)
-        block_of.append(-1)
-        page_of.append(p)
     raw = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words)
-    digest = np.concatenate((np.ones(1, np.uint64), np.frombuffer(raw, "<u8").astype(np.uint64)))[np.array(stream, np.int64)]
-    page, n = np.array(page_of, np.int64), max(0, len(stream) - LEAST + 1)
+    digest = np.frombuffer(raw, "<u8").astype(np.uint64)[np.array(stream, np.int64)] if stream else np.zeros(0, np.uint64)
+    page, block, n = np.array(page_of, np.int64), np.array(block_of, np.int64), max(0, len(stream) - LEAST + 1)
     gram = np.zeros(n, np.uint64)
     for k in range(LEAST):
-        gram = mix(gram * U64(MULTIPLIER) + digest[k : n + k])
+        begins = (block[k : n + k] != block[k - 1 : n + k - 1]).astype(np.uint64) if k else np.zeros(n, np.uint64)
+        gram = mix(gram * U64(MULTIPLIER) + digest[k : n + k] + begins * U64(0x9E6C63D0676A9A99))
     at = np.flatnonzero(page[:n] == page[LEAST - 1 :])
-    return gram[at].view(np.int64), at, page, np.array(block_of, np.int64)
+    return gram[at].view(np.int64), at, page, block
 
 
 def gram_counts(pages: list[list[str]], bodies: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +292,7 @@ def repeated_on_host(pages: list[list[str]], hot: np.ndarray) -> list[np.ndarray
     covered = np.zeros(len(page), bool)
     for j in range(LEAST):
         covered[at[np.isin(gram, hot)] + j] = True
-    bare = np.bincount(block[block >= 0], weights=~covered[block >= 0], minlength=n_blocks)
+    bare = np.bincount(block, weights=~covered, minlength=n_blocks)
     out[bare == 0] = REPEATS
     return np.split(out, np.cumsum([len(texts) for texts in pages])[:-1])
 

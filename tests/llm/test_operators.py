@@ -279,7 +279,7 @@ def extracted(spark, html):
 
 
 def html_brute_force(html):
-    """Plain loops: a block of an unmarked page goes if each of its words lies in LEAST words that REPEATS bodies hold."""
+    """Plain loops: a block of an unmarked page goes if each of its words lies in three words, blocks apart alike, that three bodies hold."""
     read = [html_extraction.blocks(h) for h in html]
     kept, is_marked = [html_extraction.kept(r) for r in read], [any(p == html_extraction.INSIDE for p, _ in r) for r in read]
     held, bodies, grams_of = defaultdict(set), set(), {}
@@ -290,8 +290,8 @@ def html_brute_force(html):
             for t in texts:
                 held["block", t].add(body)
         else:
-            stream = [(None, None)] + [x for i, t in enumerate(texts) for x in [*((w, i) for w in t.split()), (None, None)]]
-            grams_of[k] = [(tuple(w for w, _ in stream[j : j + 3]), j, stream) for j in range(len(stream) - 2)]
+            stream = [(w, i) for i, t in enumerate(texts) for w in t.split()]
+            grams_of[k] = [(tuple((w, d > 0 and stream[j + d][1] != stream[j + d - 1][1]) for d, (w, _) in enumerate(stream[j : j + 3])), j, stream) for j in range(len(stream) - 2)]
             for g, *_ in grams_of[k]:
                 held[g].add(body)
     out = []
@@ -300,8 +300,8 @@ def html_brute_force(html):
             out.append("\n\n".join(t for t in texts if len(held["block", t]) < max(8, len(bodies) / 2)))
         else:
             covered = {j + d for g, j, _ in grams_of[k] if len(held[g]) >= 3 for d in range(3)}
-            stream = grams_of[k][0][2] if grams_of[k] else []
-            bare = {i for j, (w, i) in enumerate(stream) if w is not None and j not in covered}
+            stream = [(w, i) for i, t in enumerate(texts) for w in t.split()]
+            bare = {i for j, (w, i) in enumerate(stream) if j not in covered}
             out.append("\n\n".join(t for i, t in enumerate(texts) if i in bare))
     return out
 
@@ -347,6 +347,19 @@ def test_html_depends_on_the_suffix_array(spark, monkeypatch):
     assert all(len(a) < len(b) and "Home News" in b for a, b in zip(want, without))
 
 
+def test_html_keeps_what_an_article_says(spark):
+    inside = "<p class='related-work'>Earlier studies</p><section class='social-history'><p>Of the town</p></section><p data-x='a hidden b'>Seen</p><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p>"
+    gone = "<div class='share-buttons'>Share</div><div class='ad slot-3'>Buy</div><ul class='related-links'><li>More</li></ul><p hidden>Not seen</p><div hidden='hidden'>Nor this</div><aside>Side</aside><div id=comments>Nice</div>"
+    assert extracted(spark, [f"<article><h1>Title</h1>{gone}{inside}{gone}</article>"]) == ["Title\n\nEarlier studies\n\nOf the town\n\nSeen\n\nLet x=2 hold"]
+
+
+@pytest.mark.parametrize("chunk", [2 << 20, 300])
+def test_html_headings_are_no_runs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(html_extraction, "CHUNK_BYTES", chunk)
+    pages = [f"<div>Home News About</div><p>{prose(20, k)}</p><h2>Ingredients</h2><p>{prose(20, 30 + k)}</p><h2>Method</h2><p>{prose(20, 50 + k)}</p>" for k in range(4)]
+    assert extracted(spark, pages) == [f"{prose(20, k)}\n\nIngredients\n\n{prose(20, 30 + k)}\n\nMethod\n\n{prose(20, 50 + k)}" for k in range(4)]
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.b/x", "<p>x"), (2, None, None), (3, "http://a.b/y", "")], "page_id long, url string, html string")
     assert {tuple(r) for r in html_extraction.extract(pages).collect()} == {(1, "http://a.b/x", "x", 1), (2, None, "", 0), (3, "http://a.b/y", "", 0)}
