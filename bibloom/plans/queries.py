@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bibloom.functions import numeric, sql
 from bibloom.functions import text as T
 from bibloom.operators import bib, bib_chunks, corpus, dedup, evidence, export, gate, graph, metrics, relevance, reports, screening, search, verification
-from bibloom.sources import cache, payloads, retrieval
+from bibloom.sources import cache, payloads, readers, retrieval
 from bibloom.sources.shared import new_path, written
 from bibloom.streaming import verdicts
 
@@ -827,3 +827,165 @@ def plain_bibliography(spark, sf_dir):
     fields = F.array(f("author", F.col("s_name")), f("title", F.concat(F.lit("T"), n)), f("journal", F.lit("J")), f("volume", F.col("s_nationkey").cast("string")), f("pages", F.lit("1--9")), f("year", F.lit("2001")), f("doi", F.concat(F.lit("10.1/"), n)))
     e = s.select(F.col("s_nationkey").cast("string").alias("file"), F.col("s_suppkey").cast("int").alias("node_pos"), F.lpad(n, 12, "0").alias("key"), fields.alias("fields"))
     return reports.plain_references(e).select("file", F.col("number").cast("long").alias("number"), "line")
+
+
+def _field(name: str, value: Column | str) -> Column:
+    return F.struct(F.lit(name).alias("name"), (F.lit(value) if isinstance(value, str) else value.cast("string")).alias("text"), F.lit("brace").alias("delim"))
+
+
+_SQL_OWN = "substr(h, 1, 6) || ' ' || substr(h, 7, 6) || ' ' || substr(h, 13, 6) || ' ' || substr(h, 19, 6)"
+
+
+@query("""SELECT 'semanticscholar' AS source, CAST(p_partkey AS VARCHAR) AS id, p_name AS title, CAST(1950 + p_size AS VARCHAR) AS year, CASE WHEN p_partkey % 2 = 0 THEN '10.5/x' || p_partkey END AS doi, CASE WHEN p_partkey % 3 = 0 THEN '1905.' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 5, '0') END AS arxiv_id,
+    2 AS n_authors, p_brand AS venue, p_size AS cited, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 2 END AS n_references FROM part
+    UNION ALL SELECT 'inspire', CAST(p_partkey AS VARCHAR), p_name, CASE WHEN p_partkey % 3 = 0 THEN '2005' ELSE CAST(1950 + p_size AS VARCHAR) END, CASE WHEN p_partkey % 2 = 0 THEN '10.5/x' || p_partkey END, NULL, least(50, p_partkey % 60), CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END, p_size, 0 FROM part""")
+def payload_works(spark, sf_dir):
+    """Answers of two indexes, written as JSON from the parts and mapped to works."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    n, year, doi = k.cast("string"), (F.lit(1950) + F.col("p_size")).cast("int"), F.when(k % 2 == 0, F.concat(F.lit("10.5/X"), k.cast("string")))
+    arxiv = F.when(k % 3 == 0, F.concat(F.lit("1905."), F.lpad((k % 10000).cast("string"), 5, "0"), F.lit("v3")))
+    refs = F.when(k % 5 != 0, F.array(F.struct(F.lit("a").alias("paperId")), F.struct(F.lit(None).cast("string").alias("paperId")), F.struct(n.alias("paperId"))))
+    scholar = F.struct(n.alias("paperId"), F.col("p_name").alias("title"), year.alias("year"), F.array(*[F.struct(F.lit(a).alias("name")) for a in ("A B", "", "C D")]).alias("authors"), F.struct(doi.alias("DOI"), arxiv.alias("ArXiv")).alias("externalIds"), F.col("p_brand").alias("venue"), F.col("p_size").cast("int").alias("citationCount"), refs.alias("references"))
+    people = F.transform(F.filter(F.sequence(F.lit(0), F.lit(59)), lambda i: i < k % 60), lambda i: F.struct(F.concat(F.lit("N"), i.cast("string")).alias("full_name")))
+    info = F.when(k % 3 != 0, F.array(F.struct(year.alias("year"), F.col("p_brand").alias("journal_title"))))
+    inspire = F.struct(F.struct(n.alias("control_number"), F.array(F.struct(F.col("p_name").alias("title"))).alias("titles"), people.alias("authors"), F.when(k % 2 == 0, F.array(F.struct(doi.alias("value")))).alias("dois"), info.alias("publication_info"), F.lit("2005-03").alias("earliest_date"), F.col("p_size").cast("int").alias("citation_count")).alias("metadata"))
+    works_ = payloads.from_semantic_scholar(p.select(F.to_json(scholar).alias("payload"))).unionByName(payloads.from_inspire(p.select(F.to_json(inspire).alias("payload"))))
+    source = F.element_at("sources", 1)
+    return works_.select(source.alias("source"), F.element_at("source_ids", source).alias("id"), "title", "year", "doi", "arxiv_id", F.size("authors").alias("n_authors"), "venue", F.col("cited_by_count").alias("cited"), F.size("references").alias("n_references"))
+
+
+@query("""SELECT 'crossref' AS source, '10.5/X' || p_partkey AS doi, 'On ' || p_name || ' waves' AS title, 'Quill, Ada; The Team' AS authors, CAST(1950 + p_size AS VARCHAR) AS year, p_brand AS journal, CAST(p_size AS VARCHAR) AS volume, '1-9' AS pages, NULL AS published_doi, NULL AS published_journal FROM part
+    UNION ALL SELECT 'datacite', '10.5281/' || p_partkey, p_name, 'Reed, Bo; Lab', CAST(1950 + p_size AS VARCHAR), CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Store' END, CAST(p_size AS VARCHAR), '7', NULL, NULL FROM part
+    UNION ALL SELECT 'arxiv', NULL, p_name || ' and more', 'Quill, Ada B.; Plato', CAST(1950 + p_size AS VARCHAR), NULL, NULL, NULL, CASE WHEN p_partkey % 2 = 0 THEN '10.5/p' || p_partkey END, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END FROM part""")
+def payload_records(spark, sf_dir):
+    """Answers for single works of three indexes, written as JSON and Atom from the parts and mapped to records."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    n, year, size = k.cast("string"), (F.lit(1950) + F.col("p_size")).cast("int"), F.col("p_size").cast("string")
+    crossref = F.struct(F.concat(F.lit("10.5/X"), n).alias("DOI"), F.array(F.concat(F.lit("On <i>"), "p_name", F.lit("</i>\n waves"))).alias("title"), F.array(F.struct(F.lit("Quill").alias("family"), F.lit("Ada").alias("given"), F.lit(None).cast("string").alias("name")), F.struct(F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("given"), F.lit("The Team").alias("name"))).alias("author"), F.array("p_brand").alias("container-title"), size.alias("volume"), F.lit("1-9").alias("page"), F.struct(F.array(F.array(year, F.lit(3))).alias("date-parts")).alias("issued"))
+    datacite = F.struct(F.concat(F.lit("10.5281/"), n).alias("doi"), F.array(F.struct(F.col("p_name").alias("title"))).alias("titles"), F.array(F.struct(F.lit("Bo Reed").alias("name"), F.lit("Reed").alias("familyName"), F.lit("Bo").alias("givenName")), F.struct(F.lit("Lab").alias("name"), F.lit("").alias("familyName"), F.lit(None).cast("string").alias("givenName"))).alias("creators"), year.cast("string").alias("publicationYear"), F.lit("Store").alias("publisher"), F.when(k % 2 == 0, F.struct(F.col("p_brand").alias("title"))).alias("container"), size.alias("volume"), F.lit("7").alias("firstPage"))
+    published = F.when(k % 2 == 0, F.concat(F.lit("<a:doi>10.5/p"), n, F.lit("</a:doi><a:journal_ref>"), "p_brand", F.lit("</a:journal_ref>"))).otherwise("")
+    atom = F.concat(F.lit('<entry xmlns="http://www.w3.org/2005/Atom" xmlns:a="http://arxiv.org/schemas/atom"><id>http://arxiv.org/abs/'), n, F.lit("v1</id><title>"), "p_name", F.lit("\n  and more</title><author><name>Ada B. Quill</name></author><author><name>Plato</name></author><published>"), year.cast("string"), F.lit("-01-02T00:00:00Z</published>"), published, F.lit("</entry>"))
+    # Atom has names given first; a single name stays as it is
+    parts = [payloads.record_from_crossref(p.select(F.to_json(crossref).alias("payload"))), payloads.record_from_datacite(p.select(F.to_json(datacite).alias("payload"))), payloads.record_from_arxiv(p.select(atom.alias("payload")))]
+    columns = ("source", "doi", "title", "authors", "year", "journal", "volume", "pages", "published_doi", "published_journal")
+    out = None
+    for part in parts:
+        part = part.select(*[F.col(c) if c in part.columns else F.lit(None).cast("string").alias(c) for c in columns]).withColumn("authors", F.array_join(F.transform("authors", lambda a: F.regexp_replace(a, r"^,\s*|,\s*$", "")), "; "))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS k, sha256(CAST(s_suppkey AS VARCHAR)) AS h FROM supplier) SELECT k AS work_id, CASE WHEN k % 4 = 0 AND k % 3 = 0 THEN 'arxiv' WHEN k % 4 <> 0 AND k % 5 <> 0 THEN 'openalex' ELSE CASE WHEN k % 4 = 0 AND k % 3 = 1 THEN 'arxiv' ELSE '' END END AS validation_source,
+    CASE WHEN k % 4 = 0 THEN CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 'title disagrees with arxiv' ELSE 'arXiv id 1905.' || lpad(CAST(k % 100000 AS VARCHAR), 5, '0') || ' does not resolve' END WHEN k % 5 <> 0 THEN '' ELSE 'no DOI, no arXiv id, and no index match on title' END AS gate_reason FROM s""")
+def gate_tiers(spark, sf_dir):
+    """Works with an arXiv id, or with a title only, against records whose titles differ by a word, or altogether."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    arxiv = F.concat(F.lit("1905."), F.lpad((k % 100000).cast("string"), 5, "0"))
+    blank = {c: F.lit("") for c in ("year", "venue", "volume", "pages")}
+    w = s.select(k.alias("work_id"), k.alias("position"), _own_title(k).alias("title"), F.lit(None).cast("string").alias("doi"), F.when(k % 4 == 0, arxiv).alias("arxiv_id"), F.array().cast("array<string>").alias("authors")).withColumns(blank)
+    other, near = F.concat(F.lit("wholly "), F.reverse(_own_title(k))), F.concat(_own_title(k), F.lit(" b"))
+    held = s.where(((k % 4 == 0) & (k % 3 != 2)) | ((k % 4 != 0) & (k % 5 != 0)))
+    records = held.select(F.when(k % 4 == 0, "arxiv").otherwise("openalex").alias("source"), F.lit("").alias("doi"), F.when((k % 4 == 0) & (k % 3 == 1), other).otherwise(near).alias("title"), F.array(F.lit("Doe, J")).alias("authors"), F.lit("2019").alias("year"), F.lit("").alias("journal"), F.lit("").alias("volume"), F.lit("").alias("pages"), F.when(k % 4 == 0, F.concat(F.lit("http://arxiv.org/abs/"), arxiv, F.lit("v2"))).otherwise("").alias("url"))
+    return gate.gate(w, records).select("work_id", "validation_source", "gate_reason")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, 'k' || s_suppkey AS key FROM supplier) SELECT key, 'entry-type-case' AS code, 'info' AS level FROM s WHERE k % 2 = 0 UNION ALL SELECT key, 'unknown-type', 'warning' FROM s WHERE k % 7 = 0 UNION ALL SELECT key, 'preprint', 'warning' FROM s WHERE k % 3 = 0 AND k % 7 <> 0
+    UNION ALL SELECT key, 'truncated-authors', 'warning' FROM s WHERE k % 5 = 0 AND k % 7 <> 0 UNION ALL SELECT key, 'unbraced-organisation', 'warning' FROM s WHERE k % 5 = 1 AND k % 7 <> 0 UNION ALL SELECT key, 'bad-author', 'error' FROM s WHERE k % 5 = 2 AND k % 7 <> 0
+    UNION ALL SELECT key, 'bad-title', 'error' FROM s WHERE k % 4 = 1 AND k % 7 <> 0 UNION ALL SELECT key, 'redundant-url', 'info' FROM s WHERE k % 6 = 5 AND k % 7 <> 0 UNION ALL SELECT key, 'missing-field', 'error' FROM s WHERE k % 11 = 0 AND k % 3 <> 0 AND k % 6 <> 5 AND k % 7 <> 0
+    UNION ALL SELECT key, 'unkeyable', 'error' FROM s WHERE k % 5 = 2""")
+def lint_rules(spark, sf_dir):
+    """Entries with one fault or more by key: types, preprints, authors, titles, links, software without any link, keys."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    author = F.when(k % 5 == 0, "Doe, J. and others").when(k % 5 == 1, "Harbour Systems").when(k % 5 == 2, "{}, {}").otherwise("Doe, J.")
+    # software that is no preprint has a DOI with its link, or a link alone; every eleventh has none
+    fields = [("author", author, F.lit(True)), ("title", F.when(k % 4 == 1, "{$}").otherwise("Tides"), F.lit(True)), ("year", F.lit("2001"), F.lit(True)), ("eprint", F.lit("1905.00001"), k % 3 == 0), ("doi", F.concat(F.lit("10.1234/x"), k.cast("string")), k % 6 == 5), ("url", F.concat(F.lit("https://doi.org/10.1234/x"), k.cast("string")), (k % 6 == 5) | (k % 11 != 0))]
+    kind = F.when(k % 7 == 0, "poster").otherwise("software")
+    e = s.select(F.lit("f").alias("file"), k.cast("int").alias("node_pos"), kind.alias("type"), F.when(k % 2 == 0, F.initcap(kind)).otherwise(kind).alias("type_raw"), F.concat(F.lit("k"), k.cast("string")).alias("key"), F.lit(1).alias("line"), F.array_compact(F.array(*[F.when(put, _field(n, v)) for n, v, put in fields])).alias("fields"))
+    found = bib.findings(bib.keyed(e)).where("code not in ('missing-recommended')")
+    old = bib.keyed(e).select(F.col("key").alias("old"), "new_key")
+    return found.join(old, found["key"] == old["new_key"]).select(F.col("old").alias("key"), "code", "level")
+
+
+@query("""SELECT s_suppkey AS file, CASE s_suppkey % 4 WHEN 0 THEN 'unbalanced ''{'' on line 2' WHEN 1 THEN 'expected an entry type after @ on line 3' WHEN 2 THEN 'duplicate field ''title'' in entry ''k' || s_suppkey || ''' on line 2' END AS error, CASE WHEN s_suppkey % 4 = 3 THEN s_name END AS title FROM supplier""")
+def broken_files(spark, sf_dir):
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    n = k.cast("string")
+    source = F.when(k % 4 == 0, F.concat(F.lit("% x\n@misc{k"), n, F.lit(", title = {a"))).when(k % 4 == 1, F.lit("\n\n@ misc{a}")).when(k % 4 == 2, F.concat(F.lit("\n@misc{k"), n, F.lit(", title = {a}, title = {b}}"))).otherwise(F.concat(F.lit('@misc{k, title = "'), "s_name", F.lit('"}')))
+    nodes = bib.parse_files(s.select(n.alias("file"), source.alias("source")), strict=False)
+    return nodes.select(F.col("file").cast("long").alias("file"), "error", F.when(F.col("kind") == "entry", bib.field("title")).alias("title"))
+
+
+@query(f"""SELECT batch, count(*) AS n, min(doc_id) AS first_index, arg_min(title, doc_id) AS first_title, arg_min(c, doc_id) AS first_check, arg_min(a, doc_id) AS first_abstract FROM (
+    SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 25 AS batch, doc_id, {SQL_TITLE} AS title, array_to_string(list_slice(string_split({SQL_TITLE}, ' '), 1, 4), ' ') AS c, nullif(substr(trim(text), 1, 600), '') AS a FROM documents) GROUP BY batch""")
+def screen_payloads(spark, sf_dir):
+    """The JSON objects that a screener gets, one a batch, taken apart again."""
+    files = screening.batch_files(screening.batches(works(spark, sf_dir).withColumn("year", F.lit(""))))
+    first = lambda c: F.get_json_object("payload", f"$.works[0].{c}")
+    n = F.size(F.from_json(F.get_json_object("payload", "$.works"), "array<struct<i:long>>")).cast("long")
+    return files.select("batch", n.alias("n"), first("i").cast("long").alias("first_index"), first("t").alias("first_title"), first("c").alias("first_check"), first("a").alias("first_abstract"))
+
+
+@query("""SELECT o_orderkey AS index, CASE WHEN o_orderkey % 3 = 0 THEN 'unsure' ELSE 'include' END AS verdict, o_orderstatus AS t, CASE WHEN o_orderkey % 2 = 0 THEN 'method' ELSE '' END AS role FROM orders WHERE o_orderkey % 5 <> 0""")
+def verdict_file(spark, sf_dir):
+    """Verdict lines of the orders, broken lines among them; the last line of an index counts."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    line = lambda v: F.to_json(F.struct(k.cast("string").alias("index"), F.col("o_orderstatus").alias("t"), v.alias("verdict"), F.when(k % 2 == 0, "method").otherwise("poet").alias("role")))
+    lines = F.when(k % 5 == 0, F.concat(F.lit("{broken "), k.cast("string"))).when(k % 3 == 0, F.concat_ws("\n", line(F.lit("exclude")), line(F.lit("unsure")))).otherwise(F.concat_ws("\n", line(F.lit("include")), line(F.lit("perhaps"))))
+    path = new_path(spark, "verdicts")
+    o.select(lines.alias("value")).write.text(path)
+    return readers.read_verdicts(spark, path).select("index", "verdict", "t", "role")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS cite_key, CAST(l_quantity AS VARCHAR) AS quantity, l_returnflag AS source_quote, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_linenumber <> 2 GROUP BY ALL")
+def evidence_file(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    row = F.to_json(F.struct(F.col("l_orderkey").alias("cite_key"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("source_quote"), F.lit(1).alias("unknown")))
+    path = new_path(spark, "evidence")
+    li.select(F.when(F.col("l_linenumber") == 2, F.concat(F.lit("["), row)).otherwise(row).alias("value")).write.text(path)
+    back = readers.read_evidence(spark, path, ["quantity"])
+    return back.groupBy("cite_key", "quantity", "source_quote").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey AS k, 's' || s_suppkey AS key, 'https://doi.org/10.5/' || s_suppkey AS doi, CAST(1900 + s_nationkey AS INT) AS year FROM supplier")
+def gold_file(spark, sf_dir):
+    """Gold sets of the suppliers, one file a nation: objects with papers, or bare lists."""
+    s, n = table(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("string")
+    paper = F.struct(F.concat(F.lit("s"), n).alias("key"), F.concat(F.lit("https://doi.org/10.5/"), n).alias("doi"), (F.lit(1900) + F.col("s_nationkey")).cast("int").alias("year"), F.lit("x").alias("coupler"))
+    papers = s.groupBy("s_nationkey").agg(F.to_json(F.collect_list(paper)).alias("p"))
+    path = new_path(spark, "gold")
+    whole = F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit('{"papers": '), "p", F.lit("}"))).otherwise(F.col("p"))
+    papers.select("s_nationkey", whole.alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    return readers.read_gold(spark, path).select(F.substring("key", 2, 20).cast("long").alias("k"), "key", "doi", "year")
+
+
+@query(f"SELECT min(doc_id) AS first, count(*) AS n, max(length({SQL_TITLE})) AS cited_by_count FROM documents WHERE {SQL_TITLE} <> '' GROUP BY {SQL_TITLE}")
+def corpus_file(spark, sf_dir):
+    """The documents as a corpus file, equal titles with one DOI, written in order and read back through the merge."""
+    w = _full_works(spark, sf_dir).where("title <> ''")
+    w = w.withColumns({"doi": F.concat(F.lit("10.5/"), F.sha2(F.col("title").cast("binary"), 256)), "sources": F.array(F.col("work_id").cast("string")), "abstract": F.lit(""), "title": F.regexp_replace("title", "[a-z0-9]", "?")})
+    path = new_path(spark, "corpus")
+    readers.write_works(w, path)
+    # titles are blotted out, so that only the DOI links works
+    back = readers.read_corpus(spark, path)
+    return back.select(F.element_at("sources", 1).cast("long").alias("first"), F.size("sources").cast("long").alias("n"), F.col("cited_by_count").cast("long").alias("cited_by_count"))
+
+
+@query("""SELECT s_suppkey, 3 AS n_authors, 'Ostergard' AS second, regexp_replace(s_name, '[^A-Za-z]', '', 'g') AS representative, '{\\''e}' || s_name || '--' AS spelled, CASE WHEN s_suppkey % 2 = 0 THEN 'hep-th/990' || lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') ELSE '1905.' || lpad(CAST(s_suppkey % 100000 AS VARCHAR), 5, '0') END AS arxiv,
+    s_name || ' --- "a" ...' AS plain, s_suppkey % 2 = 0 AS pages, true AS journal, CASE WHEN s_suppkey % 2 = 0 THEN 'https://arxiv.org/pdf/' || s_suppkey ELSE '' END AS pdf FROM supplier""")
+def name_functions(spark, sf_dir):
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    n = k.cast("string")
+    names = F.concat("s_name", F.lit(", B.\n and {The Group and Co} and Østergård, Å."))
+    arxiv = F.when(k % 2 == 0, F.concat(F.lit("see hep-th/990"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("v2, now"))).otherwise(F.concat(F.lit("arXiv:1905."), F.lpad((k % 100000).cast("string"), 5, "0"), F.lit("v1")))
+    people = F.array(F.lit("The Harbour Collaboration"), F.concat("s_name", F.lit(", B.")))
+    return s.select(
+        k, F.size(T.authors_udf(names)).alias("n_authors"), T.surname_udf(F.element_at(T.authors_udf(names), -1)).alias("second"), gate.representative_surname(people).alias("representative"), T.latex_udf(F.concat(F.lit("é"), "s_name", F.lit("–"))).alias("spelled"), T.find_arxiv_id(arxiv).alias("arxiv"),
+        T.ascii_punctuation(F.concat(F.lit("{"), "s_name", F.lit("}\n — “a” …"))).alias("plain"), T.same_pages(F.concat(F.lit("1--9"), F.substring(n, 1, 0)), F.when(k % 2 == 0, "1 – 9").otherwise("1-8")).alias("pages"), T.same_journal(F.concat(F.lit("phys rev b"), F.substring(n, 1, 0)), F.lit("physical review b")).alias("journal"), T.arxiv_pdf_url(F.when(k % 2 == 0, n)).alias("pdf"),
+    )
+
+
+@query(f"""WITH x AS ({ORACLE_SQL['snowball_rounds']}) SELECT r AS round, count(*) FILTER (found_in_round = r) AS new, count(*) FILTER (found_in_round <= r) AS corpus, round(count(*) FILTER (found_in_round = r) / count(*) FILTER (found_in_round <= r), 4) AS new_fraction FROM x, (VALUES (1), (2)) v(r) GROUP BY r""")
+def snowball_report(spark, sf_dir):
+    w = parts(spark, sf_dir).withColumn("found_in_round", F.when(F.col("work_id") % 5 == 0, F.lit(0)))
+    _, report = graph.snowball(w, edges(spark, sf_dir), rounds=2, n_seeds=10, saturation=0.0)
+    return spark.createDataFrame([(r["round"], r["new"], r["corpus"], r["new_fraction"]) for r in report], "round long, new long, corpus long, new_fraction double")
