@@ -178,7 +178,7 @@ def json_reports(findings: DataFrame, entries: DataFrame, strict: bool = False,
         whole = whole.join(by_key.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_told")), "file", "left")
         told = F.coalesce("_told", told)
     parts = F.struct(F.col("file").alias("input"), "entry_count", counts.alias("counts"), "exit_code", renamed.alias("rename_map"), "key_problems", F.coalesce("findings", none).alias("findings"), told.alias("verifications"))
-    return whole.select("file", F.to_json(parts, {"ignoreNullFields": "false"}).alias("report"))
+    return whole.select("file", F.to_json(parts, {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}).alias("report"))
 
 
 def verification_rows(checked: DataFrame) -> DataFrame:
