@@ -1,11 +1,11 @@
 """Token counts through a digest cache.
 
-The key of a count is the SHA-256 of the content and a digest of the tokenizer file, so a changed tokenizer never meets
-old counts. Content is normalised only by taking null as empty: any further change could change its count. Rows are
+The key of a count is the SHA-256 of the content and a digest of the tokenizer file and its library's version, so a changed
+tokenizer never meets old counts. Content is normalised only by taking null as empty: any further change could change its count. Rows are
 joined to the stored counts, one row of each distinct missing content is encoded, and its count is appended.
 
-Empty texts have no tokens. Repeated rows share one encoding. Long texts are encoded whole. An empty table appends
-nothing. Other columns are not read.
+Empty texts have no tokens. Repeated rows share one encoding, null ids stay null. Very long texts are encoded whole. An
+empty table appends nothing. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import hashlib
 import os
 import uuid
 from collections.abc import Iterator
+from importlib.metadata import version
 from pathlib import Path
 
 import pyarrow as pa
@@ -28,7 +29,9 @@ CACHE = "content binary, tokenizer string, n_tokens long"
 
 def tokenizer_version(path: str) -> str:
     """Digest of the tokenizer file and its library."""
-    return hashlib.sha256(Path(path).suffix.encode() + b"\0" + Path(path).read_bytes()).hexdigest()
+    suffix = Path(path).suffix
+    library = f"{suffix} {version('tokenizers' if suffix == '.json' else 'sentencepiece')}"
+    return hashlib.sha256(library.encode() + b"\0" + Path(path).read_bytes()).hexdigest()
 
 
 class _Counts(dict):
