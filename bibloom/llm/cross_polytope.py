@@ -8,7 +8,9 @@ into blocks, and every pair of blocks is a task. A pair is counted in the first
 need no list of pairs; a task returns sums and spanning links only.
 
 Null labels, null or zero vectors and vectors with null or non-finite components link with nothing. Vectors of other
-lengths link with their own length only. Repeated rows link with each other. Ties: the smallest vec_id leads.
+lengths link with their own length only. Repeated rows link with each other. Ties: the smallest vec_id leads. Rows without
+vec_id count as links of equal vectors and follow those with an id; a vector that no row names is no one's link but its
+copies', has no component and stays. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -137,4 +139,4 @@ def link(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     done = classes.join(sums, "rep", "left").join(comps, "rep", "left").select("d1", "d2", (F.col("n") - 1 + F.coalesce("add", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = vectors.select("vec_id", F.when(F.coalesce(ok, F.lit(False)), F.xxhash64("label", "embedding")).alias("d1"), F.when(F.coalesce(ok, F.lit(False)), F.xxhash64(F.lit(1), "embedding", "label")).alias("d2")).join(done, ["d1", "d2"], "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
