@@ -6,7 +6,8 @@ its length), the place of that vector on a Hilbert curve, and its token ids. Doc
 curve share sequences. What a range leaves over becomes sequences whose lengths are powers of two, which need no padding.
 
 Null and empty texts have their end marker as only token. Ties on the curve (copies) are dealt by a hash of doc_id.
-Texts of any length are cut wherever a sequence ends. An empty table gives no pieces. Other columns are not read.
+Texts of any length are cut wherever a sequence ends. A null doc_id counts, and is returned, as
+-1; rows of one doc_id are packed each on its own. An empty table gives no pieces. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ are encoded and decoded by the library's threads. Words (each with the gap befor
 crosses from a word into the next gap, and so is what the rebuilt decoder gives for each piece. The ids are always those of the rebuilt pipeline; each word is compared with the sentencepiece library when first met, so parity is
 checked for every text, and a text with a word on which the two differ is marked by parity false.
 
-Null text counts as empty and has no ids. Texts of any length are encoded whole. Repeated rows get equal results. An
-empty table gives no rows. Other columns are not read, whatever their names.
+Null text counts as empty and has no ids. Texts of any length are encoded whole. Repeated rows get equal results, and
+so do ties; null ids stay null. An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
