@@ -71,7 +71,7 @@ def test_json_report_and_escapes(spark):
     found = spark.createDataFrame([("f", "c", 2, "info", "i", "m"), ("f", "b", 1, "error", "e", "m")], "file string, key string, line int, level string, code string, message string")
     out = {r.file: json.loads(r.report) for r in reports.json_reports(found, entries).collect()}
     assert [x["code"] for x in out["f"]["findings"]] == ["e", "i"] and out["f"]["counts"] == {"error": 1, "warning": 0, "info": 1}
-    assert out["f"]["rename_map"] == [{"old": "a", "new": "b"}] and out["f"]["exit_code"] == 2
+    assert out["f"]["rename_map"] == {"a": "b"} and out["f"]["exit_code"] == 2
     assert out["g"]["findings"] == [] and out["g"]["exit_code"] == 0 and out["g"]["entry_count"] == 1
     line = spark.createDataFrame([("né",), (None,)], "line string").select(reports.escaped("line").alias("x"))
     assert [r.x for r in line.collect()] == ["n\\xe9", None]

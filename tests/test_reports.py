@@ -68,7 +68,7 @@ def test_tables(spark):
     w = spark.createDataFrame([(1, "A|b", None, "", "2001", "", "", "no DOI", "quarantined"), (2, "", "10.1/x", "1", "", "unsure", "why", "", "verified")], "position int, title string, doi string, arxiv_id string, year string, screen string, screen_reason string, gate_reason string, validation string")
     assert [r["line"] for r in reports.quarantine_rows(w).collect()] == ["| A/b | - | - | no DOI |"]
     assert [r["line"] for r in reports.review_rows(w).orderBy("place").collect()] == ["| 2001 | A/b | unscreened |  |", "| - | (no title) | unsure | why |"]
-    assert reports.run_log(w, {"question": F.lit("q")}).first()["line"] == '{"question":"q","corpus_size":2,"verified":1,"quarantined":1}'
+    assert reports.run_log(w, {"question": F.lit("q")}).first()["line"] == '{"question":"q","corpus_size":2,"verified":1,"quarantined":1,"saturation_curve":[]}'
 
 
 def test_general(spark):
