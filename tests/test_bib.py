@@ -82,3 +82,20 @@ def test_changes_are_told(spark):
     e = spark.createDataFrame(rows, "file string, node_pos int, key string, line int, fields array<struct<name:string,text:string,delim:string>>")
     got = {(r.key, r.code, r.level, r.message.split(" ")[0]) for r in bib.changes(e).collect()}
     assert {("b", "bad-eprint", "info", "dropped"), ("c", "bad-eprint", "info", "moved"), ("d", "bad-eprint", "warning", "eprint"), ("e", "arxiv-relocated", "info", "copied"), ("a", "arxiv-eprint", "info", "added"), ("a", "arxiv-eprint", "info", "eprint")} == got
+
+
+def test_every_member_of_a_large_group_has_a_key_of_its_own(spark):
+    def spelled(i):
+        out, i = "", i + 1
+        while i:
+            i, d = divmod(i - 1, 26)
+            out = chr(97 + d) + out
+        return out
+
+    places = [*range(0, 60), *range(675, 730), 4_813, 18_277, 18_278, 475_253, 475_254, 2**31 - 1]
+    got = spark.createDataFrame([(i,) for i in places], "i int").select("i", bib.letters(F.col("i"))).collect()
+    assert [r[1] for r in got] == [spelled(r[0]) for r in got]
+    field = lambda n, v: {"name": n, "text": v, "delim": "brace"}
+    fields = [field("author", "Doe, J."), field("title", "Tides"), field("year", "2001")]
+    many = spark.createDataFrame([("f", k, f"k{k}", fields) for k in range(6_000)], "file string, node_pos int, key string, fields array<struct<name:string,text:string,delim:string>>")
+    assert bib.keyed(many).select("new_key").distinct().count() == 6_000
