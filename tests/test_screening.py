@@ -55,3 +55,14 @@ def test_gold_recall_rules(spark):
 def test_recall_is_rounded_as_a_double(spark, found, total):
     rows = spark.range(total).selectExpr(f"id < {found} as found", "'' as screen")
     assert screening.gold_summary(rows).first().recall_pct == round(100 * found / total, 1)
+
+
+def test_of_equal_echoes_at_a_place_the_earlier_document_stays(spark, tmp_path):
+    from bibloom.plans.queries import QUERIES
+
+    spark.createDataFrame([(11, "one title twice here", "en", "s", 20), (12, "one title twice here", "en", "s", 20)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for k, order in enumerate(([11, 12], [12, 11])):
+        spark.createDataFrame([(i, int(i == 11), 0) for i in order], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        (tmp_path / str(k) / "documents.parquet").symlink_to(tmp_path / "documents.parquet")
+        out = QUERIES["verdict_align"](spark, f"{tmp_path}/{k}").first()
+        assert (out["include"], out["exclude"]) == (1, 0)
