@@ -2,8 +2,9 @@
 
 Lines are normalised (lower case, one space for white space) and equal ones collapse into one class. A class is
 sketched by minwise hashes of its character shingles: SHINGLE bytes of UTF-8 that begin at word starts, at characters of
-three bytes or more (scripts without spaces), and at every byte of a long token after its first SHINGLE. The shingles are
-exploded and aggregated, so that the minima are taken map-side in generated code. Pairs of minima form the bands.
+three bytes or more (scripts without spaces), and at every byte of a long token after its first SHINGLE. They are put
+together from the words, or tried at every byte in scripts without spaces, then exploded and aggregated, so that the
+minima are taken map-side in generated code. Pairs of minima form the bands.
 Classes that share a band are compared: first with their bucket's lead, then with PIVOTS of its classes, then all pairs
 of the bucket that these have not brought into one component. Large buckets are dealt into blocks that meet block
 against block. Bitmaps of the shingle sets, made once a class, leave out pairs that cannot be similar; no other pair is
@@ -33,10 +34,12 @@ SHINGLE, VERIFY, SIMILARITY, LEAST_CHARS = 12, 5, 0.8, 10
 BANDS = 6
 #: Classes of a bucket that all of it meets first; classes of a cell that meet in one task.
 PIVOTS, BLOCK = 8, 256
-#: Words of 64 bits of the bitmaps that leave out pairs before they are verified: of any pair, and within large buckets.
-COARSE, MAPS = 32, 128
+#: Words of 64 bits of the bitmaps that leave out pairs before they are verified.
+WORDS = 32
 #: Masks whose exclusive-or with a hash orders the shingles anew: multiples of an odd constant.
 MASKS = [((k + 1) * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63) for k in range(BANDS)]
+#: A token that shingles begin inside of.
+LONG = f"[^ ]{{{SHINGLE + 1}}}"
 #: Base of a line's rank among all lines: doc_id * LINES + line, as a decimal.
 LINES = 10**10
 
@@ -50,32 +53,74 @@ def normal(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, line, norm): the lines that can be duplicates; line counts from 0."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return split.where(F.length(F.trim("raw")) >= least_chars).select("doc_id", "line", normal(F.col("raw")).alias("norm"))
+    """(doc_id, line, d1, d2, norm, kind): the lines that can be duplicates; line counts from 0."""
+    split = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "raw"))  # outer: else it is split twice
+    lines = split.where(F.length(F.trim("raw")) >= least_chars).select("doc_id", "line", normal(F.col("raw")).alias("norm"))
+    return lines.select("doc_id", "line", *_digest(), "norm", kind().alias("kind"))
 
 
 def _digest(norm: str = "norm") -> list[Column]:
     return [F.xxhash64(norm).alias("d1"), F.xxhash64(F.lit(1), norm).alias("d2")]
 
 
+def _hashed(raw: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(raw, at, F.lit(SHINGLE)))
+
+
 def shingled(lines: DataFrame, *keep: str) -> DataFrame:
     """(keep, at, h) of lines (norm, ...): hashes of the shingles that sketches are made of; at counts from 1."""
     raw = F.col("norm").cast("binary")
-    flat = lines.select(*keep, raw.alias("b"), F.octet_length("norm").alias("n"), (F.octet_length("norm") != F.length("norm")).alias("wide"), F.col("norm").rlike(f"[^ ]{{{SHINGLE + 1}}}").alias("long"))
-    places = flat.select(*keep, "b", "wide", "long", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "n"))).alias("at"))
+    flat = lines.select(*keep, raw.alias("b"), F.octet_length("norm").alias("n"), (F.octet_length("norm") != F.length("norm")).alias("wide"), F.col("norm").rlike(LONG).alias("long"))
+    # outer: else the optimizer adds a filter that makes each sequence again
+    places = flat.select(*keep, "b", "wide", "long", F.explode_outer(F.sequence(F.lit(1), F.greatest(F.lit(1), "n"))).alias("at"))
     begins = (F.col("at") == 1) | (F.substring("b", F.col("at") - 1, F.lit(1)) == F.lit(b" "))
     unspaced = F.col("wide") & (F.substring("b", F.col("at"), F.lit(1)) >= F.lit(b"\xe0"))
     inside = F.col("long") & (F.col("at") > SHINGLE) & (F.instr(F.substring("b", F.col("at") - SHINGLE, F.lit(SHINGLE)).cast("string"), " ") == 0)
-    return places.where(begins | unspaced | inside).select(*keep, "at", F.xxhash64(F.substring("b", F.col("at"), F.lit(SHINGLE))).alias("h"))
+    return places.where(begins | unspaced | inside).select(*keep, "at", _hashed(F.col("b"), F.col("at")).alias("h"))
+
+
+def kind() -> Column:
+    """How a line's shingles are cut: 0 from words, 1 from words and inside long ones, 2 byte by byte (characters of three bytes)."""
+    narrow = (F.octet_length("norm") == F.length("norm")) | ~F.col("norm").rlike(r"[^\x00-\u07FF]")
+    return F.when(~narrow, 2).when(F.col("norm").rlike(LONG), 1).otherwise(0)
+
+
+def _text_from(words: DataFrame) -> Column:
+    """The word of words (w, at, word) with as many words after it as a shingle needs."""
+    after = [F.get("w", F.col("at") + k) for k in range(1, SHINGLE // 2 + 1)]
+    enough = (F.octet_length("word") < SHINGLE) & (F.octet_length("word") + F.octet_length(after[0]) + F.octet_length(after[1]) >= SHINGLE - 2)
+    return F.when(enough, F.concat_ws(" ", "word", *after[:2])).otherwise(F.concat_ws(" ", "word", *after)).cast("binary")
+
+
+def _worded(lines: DataFrame, *keep: str) -> DataFrame:
+    words = lines.select(*keep, F.split("norm", " ").alias("w"))
+    return words.select(*keep, "w", F.posexplode_outer("w").alias("at", "word"))
+
+
+def worded(lines: DataFrame, *keep: str) -> DataFrame:
+    """What `shingled` gives for lines of kind 0; at counts words."""
+    words = _worded(lines, *keep)
+    return words.select(*keep, (F.col("at") + 1).alias("at"), _hashed(_text_from(words), F.lit(1)).alias("h"))
+
+
+def long_worded(lines: DataFrame, *keep: str) -> DataFrame:
+    """What `shingled` gives for lines of kind 1: also from each byte of a token after its first SHINGLE, up to the space."""
+    words = _worded(lines, *keep)
+    # the end of the last word is the end of the line
+    last = F.octet_length("word") - F.when(F.col("at") == F.size("w") - 1, 1).otherwise(0)
+    inside = F.when(last >= SHINGLE, F.concat(F.array(F.lit(0)), F.sequence(F.lit(SHINGLE), last))).otherwise(F.array(F.lit(0)))
+    begins = words.select(*keep, "at", _text_from(words).alias("text"), inside.alias("begins")).select(*keep, "at", "text", F.explode_outer("begins").alias("begin"))
+    return begins.select(*keep, (F.col("at") + F.col("begin") + 1).alias("at"), _hashed(F.col("text"), F.col("begin") + 1).alias("h"))
 
 
 def sketched(lines: DataFrame) -> DataFrame:
     """(d1, d2, doc_id, line, b0, ...) of each class of lines: its earliest line, and its band keys, of two minima each."""
     rank = (F.col("doc_id").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(11,0)") + F.col("line")).cast("decimal(38,0)")
-    h = shingled(lines.select(*_digest(), rank.alias("rank"), "norm"), "d1", "d2", "rank")
+    ranked = lines.select("d1", "d2", rank.alias("rank"), "norm", "kind")
     ends = [f(F.col("h").bitwiseXOR(F.lit(MASKS[b]))).alias(f"{f.__name__}{b}") for b in range(BANDS) for f in (F.min, F.max)]
-    found = h.groupBy("d1", "d2").agg(F.min(F.when(F.col("at") == 1, F.col("rank"))).alias("rank"), *ends)
+    # each kind is aggregated before they are united, so that no row is made of a shingle
+    each = [cut(ranked.where(F.col("kind") == k), "d1", "d2", "rank").groupBy("d1", "d2").agg(F.min(F.when(F.col("at") == 1, F.col("rank"))).alias("rank"), *ends) for k, cut in enumerate((worded, long_worded, shingled))]
+    found = reduce(DataFrame.unionByName, each)
     doc = F.floor(F.col("rank") / LINES)
     place = [doc.cast("long").alias("doc_id"), (F.col("rank") - doc * LINES).cast("int").alias("line")]
     return found.select("d1", "d2", *place, *[F.xxhash64(F.lit(b), f"min{b}", f"max{b}").alias(f"b{b}") for b in range(BANDS)])
@@ -115,59 +160,46 @@ def _texts(lines: DataFrame, reps: DataFrame) -> DataFrame:
 
     A row that is there twice gives a class twice, which adds pairs but no link.
     """
-    return written(lines.join(reps.hint("merge"), ["doc_id", "line"]).select("rep", "norm"), "texts")
+    return written(lines.select("doc_id", "line", "norm").join(reps.hint("shuffle_hash"), ["doc_id", "line"]).select("rep", "norm"), "texts")
 
 
 def _bitmaps(texts: DataFrame) -> DataFrame:
-    """(rep, n, w0, w1, ...): a bitmap of COARSE words of each class's shingles, and how many shingles it has at most."""
-    raw = texts.select("rep", F.encode("norm", "UTF-32").alias("raw"))
-    places = raw.select("rep", "raw", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("raw") - (4 * VERIFY - 1)), F.lit(4))).alias("at"))
-    bit = places.select("rep", "at", F.pmod(F.xxhash64(F.substring("raw", F.col("at"), F.lit(4 * VERIFY))), F.lit(64 * COARSE)).cast("int").alias("bit"))
-    word = bit.select("rep", "at", F.shiftright("bit", 6).alias("k"), F.expr("shiftleft(1L, bit & 63)").alias("w"))
-    words = [F.bit_or(F.when(F.col("k") == k, F.col("w")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(COARSE)]
-    return written(word.groupBy("rep").agg(F.floor((F.max("at") + 3) / 4).cast("int").alias("n"), *words), "bitmaps")
-
-
-def _possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that can be similar by their classes' bitmaps: lossless, as a union has as many members as bits at least."""
-    side = lambda rep, n, w: bitmaps.select(F.col("rep").alias(rep), F.col("n").alias(n), *[F.col(f"w{k}").alias(f"{w}{k}") for k in range(COARSE)])
-    both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
-    return both.where(F.col("n") + F.col("m") >= (1 + SIMILARITY) * _union_bits(COARSE)).select("a", "b")
-
-
-def _union_bits(words: int) -> Column:
-    return reduce(Column.__add__, [F.bit_count(F.col(f"x{k}").bitwiseOR(F.col(f"y{k}"))) for k in range(words)])
+    """(rep, n, w0, w1, ...): how many shingles each class has, and a bitmap of WORDS words of them.
 
+    Dealt by class once: bits become words, then words a row, without another exchange.
+    """
+    sets = texts.repartition("rep").select("rep", F.encode("norm", "UTF-32").alias("raw")).select("rep", shingles("raw").alias("s"))
+    bit = sets.select("rep", F.size("s").alias("n"), F.explode_outer("s").alias("h"))
+    word = bit.select("rep", "n", F.expr(f"shiftright(cast(h & {64 * WORDS - 1} as int), 6)").alias("k"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("w"))
+    word = word.groupBy("rep", "k").agg(F.max("n").alias("n"), F.bit_or("w").alias("w"))
+    words = [F.bit_or(F.when(F.col("k") == k, F.col("w")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    return written(word.groupBy("rep").agg(F.max("n").alias("n"), *words), "bitmaps")
 
-def _several(held: DataFrame, least: int = 2) -> DataFrame:
-    """The rows of held (band, bucket, rep, comp) in buckets of `least` classes at least that are in two components or more, with the bucket's size."""
-    parts = held.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return held.join(parts.where((F.col("lo") != F.col("hi")) & (F.col("size") >= least)).select("bucket", "size"), "bucket")
 
+def _side(bitmaps: DataFrame, rep: str, n: str, w: str) -> DataFrame:
+    return bitmaps.select(F.col("rep").alias(rep), F.col("n").alias(n), *[F.col(f"w{k}").alias(f"{w}{k}") for k in range(WORDS)])
 
-def _mapped(held: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, n, m, b0, ...) of the classes of held (rep, ...), written; m as an array, as a file of many columns takes memory.
 
-    n: the size of the shingle set; m: its bitmap of hashed shingles; b: the band keys.
-    """
-    own = texts.join(held.select("rep").distinct().hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
-    own = written(own.select("rep", F.encode("norm", "UTF-32").alias("raw")), "raw")
-    places = own.select("rep", "raw", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("raw") - (4 * VERIFY - 1)), F.lit(4))).alias("at"))
-    bit = places.select("rep", F.pmod(F.xxhash64(F.substring("raw", F.col("at"), F.lit(4 * VERIFY))), F.lit(64 * MAPS)).cast("int").alias("bit"))
-    words = bit.select("rep", F.floor(F.col("bit") / 64).cast("int").alias("k"), F.expr("shiftleft(1L, bit % 64)").alias("w")).groupBy("rep", "k").agg(F.bit_or("w").alias("w"))
-    words = words.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"))
-    wide = words.select("rep", F.transform(F.sequence(F.lit(0), F.lit(MAPS - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0).cast("long"))).alias("m"))
-    keys = classes.select(F.col("d1").alias("rep"), *[f"b{b}" for b in range(BANDS)])
-    return written(wide.join(own.select("rep", F.size(shingles("raw")).alias("n")), "rep").join(keys, "rep"), "maps")
+def _possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can be similar by their classes' bitmaps."""
+    return pairs.join(_side(bitmaps, "a", "n", "x"), "a").join(_side(bitmaps, "b", "m", "y"), "b").where(_may_link()).select("a", "b")
 
 
 def _may_link() -> Column:
     """Whether sets of n and m shingles with bitmaps x0, x1, ... and y0, y1, ... can be similar.
 
-    A union has as many members as its bitmap has bits at least, so the intersection has n + m less these at most.
+    Each bit that only one of the bitmaps has is a shingle that only one of the sets has, so these bits are a lower bound
+    of the sets' difference; hashes that meet in a bit do not loosen it.
     """
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(WORDS)])
     near = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
-    return near & (F.col("n") + F.col("m") >= (1 + SIMILARITY) * _union_bits(MAPS))
+    return near & ((1 + SIMILARITY) * differ <= (1 - SIMILARITY) * (F.col("n") + F.col("m")) + 1e-6)
+
+
+def _several(held: DataFrame, least: int = 2) -> DataFrame:
+    """The rows of held (band, bucket, rep, comp) in buckets of `least` classes at least that are in two components or more, with the bucket's size."""
+    parts = held.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return held.join(parts.where((F.col("lo") != F.col("hi")) & (F.col("size") >= least)).select("bucket", "size"), "bucket")
 
 
 def _pivoted(held: DataFrame) -> DataFrame:
@@ -182,53 +214,55 @@ def _pivoted(held: DataFrame) -> DataFrame:
     return met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
 
-def _met(held: DataFrame, maps: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket in held (band, bucket, rep, comp) that are in two components and can be similar.
+def _met(held: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket in held (bucket, rep, comp) that are in two components and can be similar.
 
-    What is outside a bucket's largest component meets all of the bucket, block by block; a pair is taken in the first
-    band that holds it (in a bucket that was met whole, it is verified already).
+    What is outside a bucket's largest component meets all of the bucket, block by block.
     """
     parts = held.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     sizes = parts.groupBy("bucket").agg(F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("most"))
     sizes = sizes.select("bucket", F.col("most.comp").alias("most"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most.size")) / BLOCK).cast("int").alias("rest"))
-    full = held.drop("size").join(sizes, "bucket").join(maps.withColumnRenamed("m", "bits"), "rep")
+    full = held.drop("size").join(sizes, "bucket")
     block = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys, words = range(BANDS), range(MAPS)
-    x = full.where("comp <> most").select("bucket", "most", "band", block("rest").alias("i"), every("blocks").alias("k"), F.col("rep").alias("a"), F.col("comp").alias("p"), "n", *[F.col(f"b{b}").alias(f"c{b}") for b in keys], *[F.col("bits")[k].alias(f"x{k}") for k in words])
-    y = full.select("bucket", every("rest").alias("i"), block("blocks").alias("k"), F.col("rep").alias("b"), F.col("comp").alias("q"), F.col("n").alias("m"), *[f"b{b}" for b in keys], *[F.col("bits")[k].alias(f"y{k}") for k in words])
-    first = reduce(Column.__and__, [(F.col("band") <= b) | (F.col(f"b{b}") != F.col(f"c{b}")) for b in keys])
+    x = full.where("comp <> most").select("bucket", "most", block("rest").alias("i"), every("blocks").alias("k"), F.col("rep").alias("a"), F.col("comp").alias("p"))
+    y = full.select("bucket", every("rest").alias("i"), block("blocks").alias("k"), F.col("rep").alias("b"), F.col("comp").alias("q"))
     once = (F.col("p") != F.col("q")) & ((F.col("q") == F.col("most")) | (F.col("a") < F.col("b")))
-    met = x.join(y, ["bucket", "i", "k"]).where(once & first & _may_link())
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = x.join(_side(bitmaps, "a", "n", "x"), "a").join(y.join(_side(bitmaps, "b", "m", "y"), "b"), ["bucket", "i", "k"]).where(once & _may_link())
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _held(classes: DataFrame) -> DataFrame:
+    """(rep, bucket, lead) of the classes in buckets of two classes at least, lead being the bucket's least class, written."""
+    banded = classes.select(F.col("d1").alias("rep"), F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("bucket")).repartition("bucket")
+    met = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("bucket", "lead")
+    return written(banded.join(met.hint("shuffle_hash"), "bucket"), "buckets")
 
 
 def line_classes(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """(rows, members): every line's digest, and each class with the earliest line of its component."""
-    lines = lines_of(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), least_chars)
+    lines = written(lines_of(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), least_chars), "lines")
     classes = written(sketched(lines), "classes")
-    banded = classes.select(F.col("d1").alias("rep"), F.posexplode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band", "bucket"))
-    met = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("bucket", "lead")
-    held = written(banded.join(met, "bucket"), "buckets")
-    ends = held.select("rep").distinct().join(classes.select(F.col("d1").alias("rep"), "doc_id", "line"), "rep")
-    texts = _texts(lines, ends)
+    held = _held(classes)
+    firsts = classes.select(F.col("d1").alias("rep"), "d2", "doc_id", "line")
+    texts = _texts(lines, firsts.join(held.select("rep").distinct().hint("shuffle_hash"), "rep").drop("d2"))
     bitmaps = _bitmaps(texts)
     pairs = held.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = _linked(written(_possible(pairs, bitmaps), "pairs"), texts)
     comps = components(links).withColumnRenamed("id", "rep")
     for least in (2, PIVOTS + 1):  # what the lead, then the pivots leave apart; what they met is verified
-        known = held.join(comps, "rep", "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+        known = held.join(comps.hint("shuffle_hash"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
         inner = written(_several(known, least), "inner")
         if inner.isEmpty():
             break
-        pairs = _possible(_pivoted(inner), bitmaps) if least == 2 else _met(inner, _mapped(inner, texts, classes))
+        pairs = _possible(_pivoted(inner), bitmaps) if least == 2 else _met(inner, bitmaps)
         links = links.unionByName(_linked(written(pairs, "pairs"), texts))
         comps = components(links).withColumnRenamed("id", "rep")
-    linked = classes.select(F.col("d1").alias("rep"), "d1", "d2", F.struct("doc_id", "line").alias("first")).join(comps, "rep", "left")
-    alone, linked = linked.where(F.col("component").isNull()), linked.where(F.col("component").isNotNull())
+    linked = firsts.join(comps.hint("shuffle_hash"), "rep").select("rep", "component", F.struct("doc_id", "line").alias("first"))
     kept = linked.groupBy("component").agg(F.min("first").alias("kept"))
-    members = linked.join(kept, "component").select("d1", "d2", F.col("kept").alias("component")).unionByName(alone.select("d1", "d2", F.col("first").alias("component")))
-    return lines.select("doc_id", "line", *_digest()), members
+    kept = linked.join(kept, "component").select("rep", "kept")
+    members = firsts.join(kept.hint("shuffle_hash"), "rep", "left").select(F.col("rep").alias("d1"), "d2", F.coalesce("kept", F.struct("doc_id", "line")).alias("component"))
+    return lines.select("doc_id", "line", "d1", "d2"), members
 
 
 def fuzzy_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:

@@ -522,3 +522,34 @@ def test_language_sample_is_bounded_when_an_id_repeats(spark, monkeypatch):
     language.fit(spark.createDataFrame([(1, f"the and {'x' * (k % 7)}", "xa") for k in range(3000)] + [(None, "the", "xa")] * 50, "doc_id long, text string, lang string"), 20)
     language.fit(spark.createDataFrame([(1, "the same", "xa")] * 3000, "doc_id long, text string, lang string"), 20)
     assert [len(t) for t in seen] == [20, 20]
+
+
+def test_line_sketches_by_words_equal_those_by_bytes(spark):
+    """Each way of cutting a line's shingles gives what trying every byte gives; most lines are not tried at every byte."""
+    rng = random.Random(3)
+    words = ["a", "of", "naïve", "été", "word", "x" * 11, "y" * 12, "z" * 13, "é" * 7, "https://example.org/" + "q" * 20, "übergrößenträger"]
+    lines = [" ".join(rng.choices(words[: rng.choice([5, 7, 11])], k=rng.randint(1, 14))) for _ in range(300)] + ["春天 来了 abc", "", "w" * 3000, "a b c d e f g h"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "k int, norm string").withColumn("kind", line_dedup.kind())
+    found = {0: line_dedup.worded, 1: line_dedup.long_worded, 2: line_dedup.shingled}
+    own = lambda d: sorted((r["k"], r["h"], r["at"] == 1) for r in d.collect())
+    kinds = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
+    assert kinds[0] > 50 and kinds[1] > 50 and kinds[2] == 1
+    for kind, cut in found.items():
+        some = rows.where(f"kind = {kind}")
+        assert own(cut(some, "k")) == own(line_dedup.shingled(some, "k"))
+
+
+def test_line_bitmaps_leave_out_unlike_lines(spark):
+    """No similar pair is left out, and pairs well under the threshold are, however full the bitmaps are."""
+    rng, texts = random.Random(8), []
+    for k in range(60):
+        base = prose(55, 900 + k)
+        texts += [base, edited(base, 2, k), edited(base, 6, k)]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    pairs = [(3 * k, 3 * k + j) for k in range(60) for j in (1, 2)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rep long, norm string")
+    got = {(r["a"], r["b"]) for r in line_dedup._possible(spark.createDataFrame(pairs, "a long, b long"), line_dedup._bitmaps(rows)).collect()}
+    assert {p for p in pairs if near(*p) >= 0.8} <= got
+    under = [p for p in pairs if near(*p) < 0.74]
+    assert len(under) > 30 and sum(p in got for p in under) <= len(under) // 20
