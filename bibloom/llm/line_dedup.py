@@ -215,34 +215,52 @@ def _pivoted(held: DataFrame) -> DataFrame:
 
 
 def _met(held: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket in held (bucket, rep, comp) that are in two components and can be similar.
+    """All pairs (a, b) of a bucket in held (band, bucket, rep, comp) that are in two components and can be similar.
 
-    What is outside a bucket's largest component meets all of the bucket, block by block.
+    What is outside a bucket's largest component meets all of the bucket, block by block; a pair is taken in the first
+    band of held that holds it.
     """
     parts = held.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     sizes = parts.groupBy("bucket").agg(F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("most"))
     sizes = sizes.select("bucket", F.col("most.comp").alias("most"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most.size")) / BLOCK).cast("int").alias("rest"))
-    full = held.drop("size").join(sizes, "bucket")
+    keys = range(BANDS)
+    bands = held.groupBy("rep").agg(*[F.max(F.when(F.col("band") == b, F.col("bucket"))).alias(f"b{b}") for b in keys])
+    full = held.drop("size").join(sizes, "bucket").join(bands, "rep")
     block = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = full.where("comp <> most").select("bucket", "most", block("rest").alias("i"), every("blocks").alias("k"), F.col("rep").alias("a"), F.col("comp").alias("p"))
-    y = full.select("bucket", every("rest").alias("i"), block("blocks").alias("k"), F.col("rep").alias("b"), F.col("comp").alias("q"))
+    x = full.where("comp <> most").select("bucket", "most", "band", *[F.col(f"b{b}").alias(f"c{b}") for b in keys], block("rest").alias("i"), every("blocks").alias("k"), F.col("rep").alias("a"), F.col("comp").alias("p"))
+    y = full.select("bucket", *[f"b{b}" for b in keys], every("rest").alias("i"), block("blocks").alias("k"), F.col("rep").alias("b"), F.col("comp").alias("q"))
+    first = reduce(Column.__and__, [(F.col("band") <= b) | ~F.col(f"b{b}").eqNullSafe(F.col(f"c{b}")) | F.col(f"b{b}").isNull() for b in keys])
     once = (F.col("p") != F.col("q")) & ((F.col("q") == F.col("most")) | (F.col("a") < F.col("b")))
-    met = x.join(_side(bitmaps, "a", "n", "x"), "a").join(y.join(_side(bitmaps, "b", "m", "y"), "b"), ["bucket", "i", "k"]).where(once & _may_link())
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = x.join(_side(bitmaps, "a", "n", "x"), "a").join(y.join(_side(bitmaps, "b", "m", "y"), "b"), ["bucket", "i", "k"]).where(once & first & _may_link())
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _held(classes: DataFrame) -> DataFrame:
-    """(rep, bucket, lead) of the classes in buckets of two classes at least, lead being the bucket's least class, written."""
-    banded = classes.select(F.col("d1").alias("rep"), F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("bucket")).repartition("bucket")
+    """(bucket, rep, lead) of the classes in buckets of two classes at least, lead being the bucket's least class, written.
+
+    The last three bits of a bucket are its band, so that both sides of the join read one exchange of the same columns.
+    """
+    banded = classes.select(F.col("d1").alias("rep"), F.explode(F.array(*[F.col(f"b{b}").bitwiseAND(F.lit(-8)).bitwiseOR(F.lit(b)) for b in range(BANDS)])).alias("bucket")).repartition("bucket")
     met = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("bucket", "lead")
     return written(banded.join(met.hint("shuffle_hash"), "bucket"), "buckets")
 
 
+def _discard(table: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more: all lines beside what is shuffled later would take disk."""
+    spark, files = table.sparkSession, table.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def line_classes(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """(rows, members): every line's digest, and each class with the earliest line of its component."""
-    lines = written(lines_of(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), least_chars), "lines")
-    classes = written(sketched(lines), "classes")
+    lines = lines_of(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), least_chars)
+    whole = written(lines, "lines")
+    classes = written(sketched(whole), "classes")
+    rows = written(whole.select("doc_id", "line", "d1", "d2"), "rows")
+    _discard(whole)
     held = _held(classes)
     firsts = classes.select(F.col("d1").alias("rep"), "d2", "doc_id", "line")
     texts = _texts(lines, firsts.join(held.select("rep").distinct().hint("shuffle_hash"), "rep").drop("d2"))
@@ -251,7 +269,7 @@ def line_classes(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataF
     links = _linked(written(_possible(pairs, bitmaps), "pairs"), texts)
     comps = components(links).withColumnRenamed("id", "rep")
     for least in (2, PIVOTS + 1):  # what the lead, then the pivots leave apart; what they met is verified
-        known = held.join(comps.hint("shuffle_hash"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+        known = held.join(comps.hint("shuffle_hash"), "rep", "left").select(F.col("bucket").bitwiseAND(F.lit(7)).cast("int").alias("band"), "bucket", "rep", F.coalesce("component", "rep").alias("comp"))
         inner = written(_several(known, least), "inner")
         if inner.isEmpty():
             break
@@ -262,7 +280,7 @@ def line_classes(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataF
     kept = linked.groupBy("component").agg(F.min("first").alias("kept"))
     kept = linked.join(kept, "component").select("rep", "kept")
     members = firsts.join(kept.hint("shuffle_hash"), "rep", "left").select(F.col("rep").alias("d1"), "d2", F.coalesce("kept", F.struct("doc_id", "line")).alias("component"))
-    return lines.select("doc_id", "line", "d1", "d2"), members
+    return rows, members
 
 
 def fuzzy_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
