@@ -34,12 +34,12 @@ SHINGLE, VERIFY, SIMILARITY, LEAST_CHARS = 12, 5, 0.8, 10
 BANDS = 6
 #: Classes of a bucket that all of it meets first; classes of a cell that meet in one task.
 PIVOTS, BLOCK = 8, 256
-#: Words of 64 bits of the bitmaps that leave out pairs before they are verified.
-WORDS = 32
+#: Words of 64 bits of the bitmaps that leave out pairs before they are verified, and how many of them are tried first.
+WORDS, FIRST = 32, 8
 #: Masks whose exclusive-or with a hash orders the shingles anew: multiples of an odd constant.
 MASKS = [((k + 1) * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63) for k in range(BANDS)]
-#: A token that shingles begin inside of.
-LONG = f"[^ ]{{{SHINGLE + 1}}}"
+#: A token that shingles begin inside of, found token by token: each letter is read once.
+LONG = f"^(?:[^ ]{{0,{SHINGLE}}}+ )*+[^ ]{{{SHINGLE + 1}}}"
 #: Base of a line's rank among all lines: doc_id * LINES + line, as a decimal.
 LINES = 10**10
 
@@ -176,8 +176,8 @@ def _bitmaps(texts: DataFrame) -> DataFrame:
     return written(word.groupBy("rep").agg(F.max("n").alias("n"), *words), "bitmaps")
 
 
-def _side(bitmaps: DataFrame, rep: str, n: str, w: str) -> DataFrame:
-    return bitmaps.select(F.col("rep").alias(rep), F.col("n").alias(n), *[F.col(f"w{k}").alias(f"{w}{k}") for k in range(WORDS)])
+def _side(bitmaps: DataFrame, rep: str, n: str, w: str, words: int = WORDS) -> DataFrame:
+    return bitmaps.select(F.col("rep").alias(rep), F.col("n").alias(n), *[F.col(f"w{k}").alias(f"{w}{k}") for k in range(words)])
 
 
 def _possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -185,13 +185,13 @@ def _possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return pairs.join(_side(bitmaps, "a", "n", "x"), "a").join(_side(bitmaps, "b", "m", "y"), "b").where(_may_link()).select("a", "b")
 
 
-def _may_link() -> Column:
+def _may_link(words: int = WORDS) -> Column:
     """Whether sets of n and m shingles with bitmaps x0, x1, ... and y0, y1, ... can be similar.
 
-    Each bit that only one of the bitmaps has is a shingle that only one of the sets has, so these bits are a lower bound
-    of the sets' difference; hashes that meet in a bit do not loosen it.
+    Each bit that only one of the bitmaps has is a shingle that only one of the sets has, so these bits, of some words as of
+    all, are a lower bound of the sets' difference; hashes that meet in a bit do not loosen it.
     """
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(WORDS)])
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(words)])
     near = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
     return near & ((1 + SIMILARITY) * differ <= (1 - SIMILARITY) * (F.col("n") + F.col("m")) + 1e-6)
 
@@ -217,8 +217,8 @@ def _pivoted(held: DataFrame) -> DataFrame:
 def _met(held: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """All pairs (a, b) of a bucket in held (band, bucket, rep, comp) that are in two components and can be similar.
 
-    What is outside a bucket's largest component meets all of the bucket, block by block; a pair is taken in the first
-    band of held that holds it.
+    What is outside a bucket's largest component meets all of the bucket, block by block, first by FIRST words of the
+    bitmaps; a pair is taken in the first band of held that holds it.
     """
     parts = held.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     sizes = parts.groupBy("bucket").agg(F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("most"))
@@ -231,9 +231,10 @@ def _met(held: DataFrame, bitmaps: DataFrame) -> DataFrame:
     x = full.where("comp <> most").select("bucket", "most", "band", *[F.col(f"b{b}").alias(f"c{b}") for b in keys], block("rest").alias("i"), every("blocks").alias("k"), F.col("rep").alias("a"), F.col("comp").alias("p"))
     y = full.select("bucket", *[f"b{b}" for b in keys], every("rest").alias("i"), block("blocks").alias("k"), F.col("rep").alias("b"), F.col("comp").alias("q"))
     first = reduce(Column.__and__, [(F.col("band") <= b) | ~F.col(f"b{b}").eqNullSafe(F.col(f"c{b}")) | F.col(f"b{b}").isNull() for b in keys])
+    some = [_side(bitmaps, *names, FIRST) for names in (("a", "n", "x"), ("b", "m", "y"))]
     once = (F.col("p") != F.col("q")) & ((F.col("q") == F.col("most")) | (F.col("a") < F.col("b")))
-    met = x.join(_side(bitmaps, "a", "n", "x"), "a").join(y.join(_side(bitmaps, "b", "m", "y"), "b"), ["bucket", "i", "k"]).where(once & first & _may_link())
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = x.join(some[0], "a").join(y.join(some[1], "b"), ["bucket", "i", "k"]).where(once & first & _may_link(FIRST))
+    return _possible(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), bitmaps)
 
 
 def _held(classes: DataFrame) -> DataFrame:
